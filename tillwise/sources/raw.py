@@ -37,8 +37,8 @@ def read_raw(
                 F.monotonically_increasing_id().alias("row"),
             ),
         )
-    typed = {f.name: F.col(f.name).cast(f.dataType) for f in RAW_SCHEMAS[table] if f.name in df.columns}
-    return df.withColumns(typed)
+    known = {c: t for c, t in RAW_SCHEMAS[table].items() if c in df.columns}
+    return df.withColumns({c: F.col(c).cast(t) for c, t in known.items()}) if known else df
 
 
 def read_all_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
