@@ -47,3 +47,10 @@ def ratio_round(num: Column, den: Column | int, digits: int = 0) -> Column:
     """round(num / den, digits) as double, half away from zero; NULL when den is 0."""
     units = ratio_units(num, den, digits).cast("double")
     return units / F.lit(float(10**digits)) if digits else units
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate; NULL when one side is constant."""
+    x, y = x.cast("double"), y.cast("double")
+    spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))

@@ -223,17 +223,26 @@ def business_impact(
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns in long form, one pass."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    values = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs]
+    """Pearson correlation of every pair of columns in long form, one pass.
+
+    Only covariances are aggregated; NULL where a column is constant.
+    """
+    at = range(len(cols))
+    x = [F.col(c).cast("double") for c in cols]
+    covs = df.agg(
+        *[F.covar_pop(x[i], x[j]).alias(f"{i}_{j}") for i in at for j in at if i <= j]
     )
-    both_ways = pairs + [(b, a) for a, b in pairs if a != b]
-    rows = []
-    for a, b in both_ways:
-        name = f"{a}|{b}" if (a, b) in pairs else f"{b}|{a}"
-        rows.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{name}`").alias("corr")))
-    return values.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+    def corr(i: int, j: int) -> Column:
+        spread = F.sqrt(f"{i}_{i}") * F.sqrt(f"{j}_{j}")
+        return F.col(f"{min(i, j)}_{max(i, j)}") / F.nullif(spread, F.lit(0.0))
+
+    cells = [
+        F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), corr(i, j).alias("corr"))
+        for i in at
+        for j in at
+    ]
+    return covs.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
 def label_correlation(matrix: DataFrame, label: str = LABEL) -> DataFrame:

@@ -184,8 +184,11 @@ def running_totals(df: DataFrame, order_col: str, sums: list[str]) -> DataFrame:
         .collect()
     )
     reports.sort(key=lambda r: r["lo"])
-    splits = [-float("inf")] + [r["lo"] for r in reports[1:]] + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(df)
+    if len(reports) > 1:
+        splits = [-float("inf"), *[r["lo"] for r in reports[1:]], float("inf")]
+        bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(df)
+    else:
+        bucketed = df.withColumn("_range", F.lit(0.0))
     window = W.partitionBy("_range").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0)
     out = bucketed
     for c in sums:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import as_date, ratio_round
+from tillwise.functions.numeric import pearson
 from tillwise.operators.skew import spread_join
 from tillwise.params import DEFAULTS
 
@@ -91,7 +92,7 @@ def sentiment_distribution(labelled: DataFrame) -> DataFrame:
 
 
 def score_churn_corr(df: DataFrame) -> DataFrame:
-    return df.agg(F.corr("review_score", "churned").alias("corr"))
+    return df.agg(pearson(F.col("review_score"), F.col("churned")).alias("corr"))
 
 
 def score_histogram(df: DataFrame) -> DataFrame:

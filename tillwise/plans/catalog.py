@@ -17,7 +17,8 @@ from tillwise.ml import classify, cluster, explain, forecast, metrics
 from tillwise.operators import analytics, clean, features, insights, quality, rfm, reviews, views
 from tillwise.operators.features import FEATURES, LABEL
 from tillwise.session import materialize
-from tillwise.sources.trade import trade_raw, trade_star
+from tillwise.sources.star import build_star
+from tillwise.sources.trade import TradeTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,10 +54,16 @@ class Retail:
     """Frames of one folder, built when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.raw = trade_raw(spark, folder)
-        self.star = trade_star(spark, folder)
-        self.facts = (self.star.customers, self.star.orders, self.star.payments)
-        self.paid = (self.star.orders, self.star.payments)
+        self.raw = TradeTables(spark, folder)
+        self.star = build_star(self.raw)
+
+    @property
+    def facts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return self.star.customers, self.star.orders, self.star.payments
+
+    @property
+    def paid(self) -> tuple[DataFrame, DataFrame]:
+        return self.star.orders, self.star.payments
 
     @property
     def as_of(self):

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.operators import clean
 from tillwise.params import DEFAULTS
 
+# fixed values: stored names of the tables
+TABLES = {
+    "customers": "dim_customers",
+    "products": "dim_products",
+    "sellers": "dim_sellers",
+    "orders": "fact_orders",
+    "items": "fact_items",
+    "payments": "fact_payments",
+    "reviews": "fact_reviews",
+}
+
 
-@dataclass(frozen=True)
 class Star:
-    """Three dimensions and four facts.
+    """Three dimensions and four facts, as attributes named like the keys of ``TABLES``.
 
     customer_id, product_id, seller_id and orders.order_id are unique, payments
-    and reviews have one row per order (``operators.quality`` checks this).
+    and reviews have one row per order (``operators.quality`` checks this).  A
+    table may be given as a function; its plan is then built on first use.
     """
 
     customers: DataFrame
@@ -26,49 +37,49 @@ class Star:
     payments: DataFrame
     reviews: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        if set(tables) != set(TABLES):
+            raise ValueError(f"needs exactly the tables {sorted(TABLES)}")
+        self._tables = tables
 
-# fixed values: stored names of the tables
-TABLES = {
-    "customers": "dim_customers",
-    "products": "dim_products",
-    "sellers": "dim_sellers",
-    "orders": "fact_orders",
-    "items": "fact_items",
-    "payments": "fact_payments",
-    "reviews": "fact_reviews",
-}
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = table()
+        setattr(self, name, table)
+        return table
 
 
 def build_star(
-    raw: dict[str, DataFrame],
+    raw: Mapping[str, DataFrame],
     status: str | None = DEFAULTS.delivered_status,
     customer_order: list[str] | None = None,
     review_order: list[str] | None = None,
     payment_seq: str = "payment_sequential",
 ) -> Star:
+    """Cleaned tables; the ``*_order`` columns say which of several rows came first."""
     return Star(
-        customers=clean.clean_customers(raw["customers"], customer_order),
-        products=clean.clean_products(raw["products"], raw["category"]),
-        sellers=clean.clean_sellers(raw["sellers"]),
-        orders=clean.clean_orders(raw["orders"], status),
-        items=clean.clean_items(raw["order_items"]),
-        payments=clean.aggregate_payments(raw["payments"], payment_seq),
-        reviews=clean.clean_reviews(raw["reviews"], review_order),
+        customers=lambda: clean.clean_customers(raw["customers"], customer_order),
+        products=lambda: clean.clean_products(raw["products"], raw["category"]),
+        sellers=lambda: clean.clean_sellers(raw["sellers"]),
+        orders=lambda: clean.clean_orders(raw["orders"], status),
+        items=lambda: clean.clean_items(raw["order_items"]),
+        payments=lambda: clean.aggregate_payments(raw["payments"], payment_seq),
+        reviews=lambda: clean.clean_reviews(raw["reviews"], review_order),
     )
 
 
 def write_star(star: Star, folder: str) -> None:
     """Each table as Parquet under its stored name, replacing what was there."""
-    for f in fields(star):
-        getattr(star, f.name).write.mode("overwrite").parquet(
-            f"{folder.rstrip('/')}/{TABLES[f.name]}"
-        )
+    for name, stored in TABLES.items():
+        getattr(star, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{stored}")
 
 
 def load_star(spark: SparkSession, folder: str) -> Star:
-    return Star(
-        **{name: spark.read.parquet(f"{folder.rstrip('/')}/{t}") for name, t in TABLES.items()}
-    )
+    root = folder.rstrip("/")
+    return Star(**{name: spark.read.parquet(f"{root}/{stored}") for name, stored in TABLES.items()})
 
 
 def save_star_tables(star: Star, database: str | None = None, buckets: int | None = None) -> None:
@@ -77,15 +88,14 @@ def save_star_tables(star: Star, database: str | None = None, buckets: int | Non
     With ``buckets`` the order-keyed facts are bucketed and sorted by order_id,
     so that their joins on it need no shuffle.
     """
-    for f in fields(star):
-        writer = getattr(star, f.name).write.mode("overwrite").format("parquet")
-        if buckets and f.name in ("orders", "items", "payments", "reviews"):
+    for name, stored in TABLES.items():
+        writer = getattr(star, name).write.mode("overwrite").format("parquet")
+        if buckets and name in ("orders", "items", "payments", "reviews"):
             writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
-        name = TABLES[f.name]
-        writer.saveAsTable(f"{database}.{name}" if database else name)
+        writer.saveAsTable(f"{database}.{stored}" if database else stored)
 
 
 def publish_jdbc(star: Star, url: str, properties: dict[str, str]) -> None:
     """Star to a relational database, replacing its tables."""
-    for f in fields(star):
-        getattr(star, f.name).write.mode("overwrite").jdbc(url, TABLES[f.name], properties=properties)
+    for name, stored in TABLES.items():
+        getattr(star, name).write.mode("overwrite").jdbc(url, stored, properties=properties)

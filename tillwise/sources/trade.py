@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,118 +22,153 @@ def _place(df: DataFrame, nation_key: str, nation: DataFrame, region: DataFrame)
     )
 
 
-def trade_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The raw tables (without geolocation), each a lazy plan over the Parquet files."""
+def _amount(cents: Column) -> Column:
+    return (cents.cast("decimal(18,0)") / 100).cast(MONEY)
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
-    nation, region = table("nation"), table("region")
-    key = F.col("c_custkey")
-    customers = _place(table("customer"), "c_nationkey", nation, region).select(
-        key.alias("customer_id"),
-        F.when(key % 5 == 4, key - 1).otherwise(key).alias("customer_unique_id"),
-        F.col("n_name").alias("customer_city"),
-        F.col("r_name").alias("customer_state"),
-    )
-    sellers = _place(table("supplier"), "s_nationkey", nation, region).select(
-        F.col("s_suppkey").alias("seller_id"),
-        F.col("n_name").alias("seller_city"),
-        F.col("r_name").alias("seller_state"),
-    )
+class TradeTables(Mapping):
+    """The raw tables (without geolocation), each a plan over the Parquet files built on first use."""
 
-    ok, ck, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
-    bought = F.col("o_orderdate").cast("timestamp_ntz")
-    shipped = bought + _days_hours(ck % 7, ok % 48)
-    orders = table("orders").select(
-        ok.alias("order_id"),
-        ck.alias("customer_id"),
-        F.when(status == "F", "delivered")
-        .when(status == "O", "shipped")
-        .otherwise("processing")
-        .alias("order_status"),
-        bought.alias("order_purchase_timestamp"),
-        F.when(~((status == "P") & (ok % 2 == 0)), bought + _days_hours(0, ok % 48)).alias(
-            "order_approved_at"
-        ),
-        F.when(status.isin("O", "F"), shipped).alias("order_delivered_carrier_date"),
-        F.when(status == "F", shipped + _days_hours((ok * 7 + ck) % 23, 0)).alias(
-            "order_delivered_customer_date"
-        ),
-        (bought + _days_hours(18, 0)).alias("order_estimated_delivery_date"),
+    names = (
+        "customers",
+        "orders",
+        "order_items",
+        "payments",
+        "reviews",
+        "products",
+        "sellers",
+        "category",
     )
-    # Not every order is reviewed: one without a stated priority has no review row.
-    reviews = (
-        table("orders")
-        .filter(F.col("o_orderpriority") != "4-NOT SPECIFIED")
-        .select(
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = getattr(self, f"_{name}")()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def _read(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+
+    def _placed(self, df: DataFrame, nation_key: str) -> DataFrame:
+        nation, region = self._read("nation"), self._read("region")
+        return df.join(nation, F.col(nation_key) == F.col("n_nationkey")).join(
+            region, F.col("n_regionkey") == F.col("r_regionkey")
+        )
+
+    def _customers(self) -> DataFrame:
+        key = F.col("c_custkey")
+        return self._placed(self._read("customer"), "c_nationkey").select(
+            key.alias("customer_id"),
+            F.when(key % 5 == 4, key - 1).otherwise(key).alias("customer_unique_id"),
+            F.col("n_name").alias("customer_city"),
+            F.col("r_name").alias("customer_state"),
+        )
+
+    def _sellers(self) -> DataFrame:
+        return self._placed(self._read("supplier"), "s_nationkey").select(
+            F.col("s_suppkey").alias("seller_id"),
+            F.col("n_name").alias("seller_city"),
+            F.col("r_name").alias("seller_state"),
+        )
+
+    def _orders(self) -> DataFrame:
+        ok, ck, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+        bought = F.col("o_orderdate").cast("timestamp_ntz")
+        shipped = bought + _days_hours(ck % 7, ok % 48)
+        arrived = shipped + _days_hours((ok * 7 + ck) % 23, 0)
+        skipped = (status == "P") & (ok % 2 == 0)
+        return self._read("orders").select(
             ok.alias("order_id"),
-            F.when(F.col("o_orderpriority") != "5-LOW", F.substring("o_orderpriority", 1, 1))
-            .when(F.col("o_totalprice") < 250000, "4")
-            .otherwise("5")
-            .cast("int")
-            .alias("review_score"),
+            ck.alias("customer_id"),
+            F.when(status == "F", "delivered")
+            .when(status == "O", "shipped")
+            .otherwise("processing")
+            .alias("order_status"),
+            bought.alias("order_purchase_timestamp"),
+            F.when(~skipped, bought + _days_hours(0, ok % 48)).alias("order_approved_at"),
+            F.when(status.isin("O", "F"), shipped).alias("order_delivered_carrier_date"),
+            F.when(status == "F", arrived).alias("order_delivered_customer_date"),
+            (bought + _days_hours(18, 0)).alias("order_estimated_delivery_date"),
         )
-    )
 
-    price_cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
-    tax_percent = F.rint(F.col("l_tax") * 100).cast("bigint")
-    lines = table("lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").cast("timestamp_ntz").alias("shipping_limit_date"),
-        F.col("l_linenumber").alias("line"),
-        F.col("l_returnflag").alias("payment_type"),
-        price_cents.alias("p"),
-        F.call_function("div", price_cents * tax_percent, F.lit(100)).alias("f"),
-    )
+    def _reviews(self) -> DataFrame:
+        """Not every order is reviewed: one without a stated priority has no review row."""
+        priority = F.col("o_orderpriority")
+        return (
+            self._read("orders")
+            .filter(priority != "4-NOT SPECIFIED")
+            .select(
+                F.col("o_orderkey").alias("order_id"),
+                F.when(priority != "5-LOW", F.substring(priority, 1, 1))
+                .when(F.col("o_totalprice") < 250000, "4")
+                .otherwise("5")
+                .cast("int")
+                .alias("review_score"),
+            )
+        )
 
-    def amount(c: Column) -> Column:
-        return (c.cast("decimal(18,0)") / 100).cast(MONEY)
+    def _lines(self) -> DataFrame:
+        """Order lines with price and freight in cents."""
+        price = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+        percent = F.rint(F.col("l_tax") * 100).cast("bigint")
+        return self._read("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_suppkey").alias("seller_id"),
+            F.col("l_shipdate").cast("timestamp_ntz").alias("shipping_limit_date"),
+            F.col("l_linenumber").alias("payment_sequential"),
+            F.col("l_returnflag").alias("payment_type"),
+            price.alias("p"),
+            F.call_function("div", price * percent, F.lit(100)).alias("f"),
+        )
 
-    items = lines.select(
-        "order_id",
-        "product_id",
-        "seller_id",
-        "shipping_limit_date",
-        amount(F.col("p")).alias("price"),
-        amount(F.col("f")).alias("freight_value"),
-    )
-    payments = lines.select(
-        "order_id",
-        F.col("line").alias("payment_sequential"),
-        "payment_type",
-        (F.col("line") + 1).alias("payment_installments"),
-        amount(F.col("p") + F.col("f")).alias("payment_value"),
-    )
-    part = table("part").withColumn("_type", F.lower("p_type"))
-    products = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("_type") != "promo", F.col("_type")).alias("product_category_name"),
-        F.length("p_name").alias("product_name_lenght"),
-        F.length("p_brand").alias("product_description_lenght"),
-        F.col("p_size").alias("product_photos_qty"),
-    )
-    category = (
-        part.filter(F.col("_type") != "small")
-        .select(F.col("_type").alias("product_category_name"))
-        .distinct()
-        .withColumn(
-            "product_category_name_english", F.concat(F.lit("en_"), "product_category_name")
+    def _order_items(self) -> DataFrame:
+        return self._lines().select(
+            "order_id",
+            "product_id",
+            "seller_id",
+            "shipping_limit_date",
+            _amount(F.col("p")).alias("price"),
+            _amount(F.col("f")).alias("freight_value"),
+        )
+
+    def _payments(self) -> DataFrame:
+        return self._lines().select(
+            "order_id",
+            "payment_sequential",
+            "payment_type",
+            (F.col("payment_sequential") + 1).alias("payment_installments"),
+            _amount(F.col("p") + F.col("f")).alias("payment_value"),
+        )
+
+    def _products(self) -> DataFrame:
+        kind = F.lower("p_type")
+        return self._read("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.when(kind != "promo", kind).alias("product_category_name"),
+            F.length("p_name").alias("product_name_lenght"),
+            F.length("p_brand").alias("product_description_lenght"),
+            F.col("p_size").alias("product_photos_qty"),
+        )
+
+    def _category(self) -> DataFrame:
+        name = F.col("product_category_name")
+        names = self._read("part").select(F.lower("p_type").alias("product_category_name"))
+        return names.filter(name != "small").distinct().withColumn(
+            "product_category_name_english", F.concat(F.lit("en_"), name)
         )
-    )
-    return {
-        "customers": customers,
-        "orders": orders,
-        "order_items": items,
-        "payments": payments,
-        "reviews": reviews,
-        "products": products,
-        "sellers": sellers,
-        "category": category,
-    }
 
 
 def trade_star(spark: SparkSession, folder: str, status: str | None = "delivered") -> Star:
-    return build_star(trade_raw(spark, folder), status)
+    return build_star(TradeTables(spark, folder), status)
