@@ -22,6 +22,11 @@ def cents(amount: Column | str) -> Column:
     return (col.cast("decimal(18,2)") * 100).cast("bigint")
 
 
+def amount(whole_cents: Column) -> Column:
+    """Whole cents to an amount as decimal(18,2)."""
+    return (whole_cents.cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+
+
 def money(whole_cents: Column | str) -> Column:
     """Whole cents to an amount as double."""
     col = F.col(whole_cents) if isinstance(whole_cents, str) else whole_cents

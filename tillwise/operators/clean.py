@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions import cents, whole_days
+from tillwise.functions import amount, cents, whole_days
 from tillwise.operators.ranking import first_per_key
 from tillwise.params import DEFAULTS
 
@@ -91,7 +91,7 @@ def aggregate_payments(payments: DataFrame, seq_col: str = "payment_sequential")
     )
     seen = F.array_sort(F.collect_list(F.struct("seq", "payment_type")))
     return by_type.groupBy("order_id").agg(
-        (F.sum("c").cast("decimal(20,0)") / 100).cast("decimal(18,2)").alias("total_payment"),
+        amount(F.sum("c")).alias("total_payment"),
         F.array_join(F.transform(seen, lambda x: x["payment_type"]), ",").alias("payment_types"),
         F.max("installments").alias("installments"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import as_date, money, month_start, ratio_round
 from tillwise.operators.grain import customer_orders, paid_orders
 from tillwise.operators.rfm import rfm_base, rfm_scored, rfm_segments
-from tillwise.operators.skew import spread_join
+from tillwise.operators.skew import hot_keys, spread_join
 from tillwise.params import DEFAULTS
 from tillwise.sources.star import TABLES, Star
 
@@ -85,7 +85,7 @@ def v_category_performance(star: Star, dedupe_orders: bool = False) -> DataFrame
     pairs = star.items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     products = star.products.select("product_id", "product_category_name_english")
     in_category = (
-        spread_join(pairs, products, "product_id", ["order_id"])
+        spread_join(pairs, products, "product_id", ["order_id"], hot=hot_keys(star.items, "product_id"))
         .groupBy("order_id", "product_category_name_english")
         .agg((F.lit(1) if dedupe_orders else F.sum("n")).cast("bigint").alias("n"))
     )

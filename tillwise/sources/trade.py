@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.sources.schemas import MONEY
+from tillwise.functions import amount
 from tillwise.sources.star import Star, build_star
 
 
@@ -22,10 +22,6 @@ def _place(df: DataFrame, nation_key: str, nation: DataFrame, region: DataFrame)
     )
 
 
-def _amount(cents: Column) -> Column:
-    return (cents.cast("decimal(18,0)") / 100).cast(MONEY)
-
-
 class TradeTables(Mapping):
     """The raw tables (without geolocation), each a plan over the Parquet files built on first use."""
 
@@ -139,8 +135,8 @@ class TradeTables(Mapping):
             "product_id",
             "seller_id",
             "shipping_limit_date",
-            _amount(F.col("p")).alias("price"),
-            _amount(F.col("f")).alias("freight_value"),
+            amount(F.col("p")).alias("price"),
+            amount(F.col("f")).alias("freight_value"),
         )
 
     def _payments(self) -> DataFrame:
@@ -149,7 +145,7 @@ class TradeTables(Mapping):
             "payment_sequential",
             "payment_type",
             (F.col("payment_sequential") + 1).alias("payment_installments"),
-            _amount(F.col("p") + F.col("f")).alias("payment_value"),
+            amount(F.col("p") + F.col("f")).alias("payment_value"),
         )
 
     def _products(self) -> DataFrame:
