@@ -7,6 +7,7 @@ rows: months, segments, labels, categories.
 from __future__ import annotations
 
 import datetime as dt
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,25 +248,85 @@ def seller_facts(sellers: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- report text
 
-
-def _amount(col: Column, currency: str) -> Column:
-    return F.concat(F.lit(currency), F.format_number(col, 2))
-
-
-def _whole(col: Column) -> Column:
-    return F.format_number(col, 0)
-
-
-def _fixed(col: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", col)
-
-
-def _month(col: Column) -> Column:
-    return F.date_format(col, "MMMM yyyy")
-
-
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+# fixed values: the wording of the report; {fact:kind} is filled from the facts
+REPORT = {
+    "REVENUE PERFORMANCE": [
+        "The platform generated {r.total_rev:money} in total revenue across {r.n_months} months, "
+        "averaging {r.avg_rev:money} per month.",
+        "Revenue grew in {r.positive_months} months and declined in {r.negative_months} months, "
+        "with an average month-over-month growth rate of {r.avg_growth:tenth}%.",
+        "Peak revenue was recorded in {r.max_month:month} at {r.max_rev:money}, while the lowest "
+        "month was {r.min_month:month} at {r.min_rev:money}.",
+    ],
+    "ANOMALY DETECTION": [],
+    "CUSTOMER SEGMENTATION": [
+        "RFM analysis segmented {s.total_customers:count} customers into {s.n_segments} distinct "
+        "groups.",
+        "The largest segment is '{s.largest_segment}' with {s.largest_count:count} customers "
+        "({s.largest_share_pct:tenth}% of base).",
+        "The highest-value segment is '{s.best_segment}' with avg spend of "
+        "{s.best_avg_monetary:money} per customer.",
+    ],
+    "CHURN RISK ANALYSIS": [
+        "{w.high_risk_customers:count} customers are classified as High Risk (inactive 180+ days), "
+        "with an average historical spend of {w.avg_spend:money}.",
+        "A targeted win-back campaign achieving a conservative 15% reactivation rate could recover "
+        "{w.recoverable_revenue:money} in revenue.",
+    ],
+    "CATEGORY PERFORMANCE": [
+        "The top revenue category is '{c.top_category}' generating {c.top_revenue:money} across "
+        "{c.top_orders:count} orders with an avg review score of {c.top_review_score}.",
+        "Among the top 5 categories, '{c.bottom_category}' has the lowest review score "
+        "({c.bottom_review_score}) — a quality improvement opportunity worth investigating.",
+    ],
+    "SELLER RISK": [
+        "Seller risk analysis identified {v.high_risk_sellers} high-risk sellers and "
+        "{v.medium_risk_sellers} medium-risk sellers among those with 50+ orders.",
+        "The {nullif(v.medium_risk_sellers, 0)} medium-risk sellers show 25-50% late delivery "
+        "rates with direct correlation to below-average review scores. Immediate operational "
+        "review recommended.",
+    ],
+    "STRATEGIC RECOMMENDATIONS": [
+        "1. Launch win-back campaign targeting High Risk segment — "
+        "{coalesce(w.recoverable_revenue, 0D):money} recoverable revenue opportunity.",
+        "2. Invest in '{c.top_category}' category expansion — highest revenue with growth "
+        "potential.",
+        "3. Review medium-risk seller contracts — late deliveries directly reduce review scores "
+        "and repeat purchase rates.",
+        "4. Build loyalty programme for top RFM segments — protect the highest-value customer "
+        "base.",
+    ],
+}
+ANOMALY = (
+    "ANOMALY DETECTED: {x.month:month} shows a revenue {x.direction} of {x.pct_diff:tenth}% from "
+    "the monthly average ({x.revenue:money} vs avg {r.avg_rev:money}). Investigate for external "
+    "factors or data issues."
+)
+NO_ANOMALY = "No significant revenue anomalies detected."
+
+
+def _line(template: str, currency: str) -> str:
+    """A template as a SQL expression; NULL when one of its facts is NULL."""
+    kinds = {
+        "": "cast({0} AS string)",
+        "money": "concat(" + _quoted(currency) + ", format_number({0}, 2))",
+        "count": "format_number({0}, 0)",
+        "tenth": "format_string('%.1f', {0})",
+        "month": "date_format({0}, 'MMMM yyyy')",
+    }
+    parts = []
+    for text, fact, kind, _ in Formatter().parse(template):
+        if text:
+            parts.append(_quoted(text))
+        if fact is not None:
+            value = kinds[kind].format(fact)
+            # format_string would print a NULL as text
+            parts.append(f"if({fact} IS NULL, NULL, {value})" if kind == "tenth" else value)
+    return f"concat({', '.join(parts)})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def insight_report(
@@ -285,149 +346,26 @@ def insight_report(
     The monthly view is needed for two of them, so its few rows are stored first.
     """
     monthly = materialize(monthly)
-    listed = revenue_anomalies(monthly)
-    anomaly_rows = F.array_sort(
-        F.collect_list(F.struct("month", "direction", "pct_diff", "revenue"))
-    )
+    found = F.array_sort(F.collect_list(F.struct("month", "direction", "pct_diff", "revenue")))
     facts = _one_row(
         r=revenue_facts(monthly),
-        a=listed.agg(anomaly_rows.alias("rows")),
+        a=revenue_anomalies(monthly).agg(found.alias("rows")),
         s=segment_facts(segment_overview(segments)),
         w=winback_value(churn_overview(churn)),
         c=category_facts(categories),
         v=seller_facts(sellers),
     )
-
-    def f(name: str) -> Column:
-        return F.col(name)
-
-    # fixed values: the wording of the report
-    headings = [
-        "REVENUE PERFORMANCE",
-        "ANOMALY DETECTION",
-        "CUSTOMER SEGMENTATION",
-        "CHURN RISK ANALYSIS",
-        "CATEGORY PERFORMANCE",
-        "SELLER RISK",
-        "STRATEGIC RECOMMENDATIONS",
-    ]
-    revenue = [
-        _text(
-            "The platform generated ", _amount(f("r.total_rev"), currency),
-            " in total revenue across ", f("r.n_months"), " months, averaging ",
-            _amount(f("r.avg_rev"), currency), " per month.",
-        ),
-        _text(
-            "Revenue grew in ", f("r.positive_months"), " months and declined in ",
-            f("r.negative_months"), " months, with an average month-over-month growth rate of ",
-            _fixed(f("r.avg_growth"), 1), "%.",
-        ),
-        _text(
-            "Peak revenue was recorded in ", _month(f("r.max_month")), " at ",
-            _amount(f("r.max_rev"), currency), ", while the lowest month was ",
-            _month(f("r.min_month")), " at ", _amount(f("r.min_rev"), currency), ".",
-        ),
-    ]
-    anomalies = F.transform(
-        F.col("a.rows"),
-        lambda x: _text(
-            "ANOMALY DETECTED: ", _month(x["month"]), " shows a revenue ", x["direction"], " of ",
-            _fixed(x["pct_diff"], 1), "% from the monthly average (",
-            _amount(x["revenue"], currency), " vs avg ", _amount(f("r.avg_rev"), currency),
-            "). Investigate for external factors or data issues.",
-        ),
-    )
-    nothing = F.array(F.lit("No significant revenue anomalies detected."))
-    customers = [
-        _text(
-            "RFM analysis segmented ", _whole(f("s.total_customers")), " customers into ",
-            f("s.n_segments"), " distinct groups.",
-        ),
-        _text(
-            "The largest segment is '", f("s.largest_segment"), "' with ",
-            _whole(f("s.largest_count")), " customers (", _fixed(f("s.largest_share_pct"), 1),
-            "% of base).",
-        ),
-        _text(
-            "The highest-value segment is '", f("s.best_segment"), "' with avg spend of ",
-            _amount(f("s.best_avg_monetary"), currency), " per customer.",
-        ),
-    ]
-    risk = [
-        _text(
-            _whole(f("w.high_risk_customers")), " customers are classified as High Risk "
-            "(inactive 180+ days), with an average historical spend of ",
-            _amount(f("w.avg_spend"), currency), ".",
-        ),
-        _text(
-            "A targeted win-back campaign achieving a conservative 15% reactivation rate "
-            "could recover ", _amount(f("w.recoverable_revenue"), currency), " in revenue.",
-        ),
-    ]
-    products = [
-        _text(
-            "The top revenue category is '", f("c.top_category"), "' generating ",
-            _amount(f("c.top_revenue"), currency), " across ", _whole(f("c.top_orders")),
-            " orders with an avg review score of ", f("c.top_review_score"), ".",
-        ),
-        _text(
-            "Among the top 5 categories, '", f("c.bottom_category"),
-            "' has the lowest review score (", f("c.bottom_review_score"),
-            ") — a quality improvement opportunity worth investigating.",
-        ),
-    ]
-    medium = f("v.medium_risk_sellers")
-    delivery = [
-        _text(
-            "Seller risk analysis identified ", f("v.high_risk_sellers"),
-            " high-risk sellers and ", medium,
-            " medium-risk sellers among those with 50+ orders.",
-        ),
-        F.when(
-            medium > 0,
-            _text(
-                "The ", medium, " medium-risk sellers show 25-50% late delivery rates with "
-                "direct correlation to below-average review scores. Immediate operational "
-                "review recommended.",
-            ),
-        ),
-    ]
-    advice = [
-        _text(
-            "1. Launch win-back campaign targeting High Risk segment — ",
-            F.coalesce(_amount(f("w.recoverable_revenue"), currency), F.lit(currency + "0.00")),
-            " recoverable revenue opportunity.",
-        ),
-        _text(
-            "2. Invest in '", f("c.top_category"),
-            "' category expansion — highest revenue with growth potential.",
-        ),
-        F.lit(
-            "3. Review medium-risk seller contracts — late deliveries directly reduce review "
-            "scores and repeat purchase rates."
-        ),
-        F.lit(
-            "4. Build loyalty programme for top RFM segments — protect the highest-value "
-            "customer base."
-        ),
-    ]
     stamp = generated_at.strftime("%d %b %Y, %H:%M")
-    opening = F.array(*[F.lit(x) for x in (title, f"Generated: {stamp}", "=" * 60)])
-    bodies = [
-        F.array(*revenue),
-        F.when(F.size("a.rows") > 0, anomalies).otherwise(nothing),
-        F.array(*customers),
-        F.array(*risk),
-        F.array(*products),
-        F.array(*delivery),
-        F.array(*advice),
-    ]
-    sections = [opening] + [
-        F.concat(F.array(F.lit(""), F.lit(f"{n}. {name}"), F.lit("-" * 40)), body)
-        for n, (name, body) in enumerate(zip(headings, bodies), start=1)
-    ]
-    lines = facts.select(F.posexplode(F.array(*sections)).alias("section", "lines")).select(
-        "section", F.posexplode("lines").alias("seq", "line")
-    )
+    opening = ", ".join(_quoted(x) for x in (title, f"Generated: {stamp}", "=" * 60))
+    sections = [f"array({opening})"]
+    for n, (heading, lines) in enumerate(REPORT.items(), start=1):
+        head = f"array('', {_quoted(f'{n}. {heading}')}, '{'-' * 40}')"
+        body = f"array({', '.join(_line(x, currency) for x in lines)})"
+        if not lines:
+            listed = f"transform(a.rows, x -> {_line(ANOMALY, currency)})"
+            body = f"if(size(a.rows) > 0, {listed}, array({_quoted(NO_ANOMALY)}))"
+        sections.append(f"concat({head}, {body})")
+    numbered = facts.select(F.expr(f"posexplode(array({', '.join(sections)})) AS (section, lines)"))
+    lines = numbered.select("section", F.expr("posexplode(lines) AS (seq, line)"))
     # Lines about facts that do not exist (no high-risk customer) are NULL.
     return lines.filter(F.col("line").isNotNull()).orderBy("section", "seq")
