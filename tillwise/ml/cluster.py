@@ -73,6 +73,15 @@ def best_k(scan: DataFrame) -> int:
     return scan.orderBy(F.col("silhouette").desc(), "k").first()["k"]
 
 
+def cluster_segments(
+    df: DataFrame, cols: list[str] | None = None, ks=CLUSTER_COUNTS, starts: int = 10
+) -> DataFrame:
+    """Labelled profile of the clusters for the number of clusters with the best silhouette."""
+    stored = materialize(df)
+    k = best_k(kmeans_scan(stored, cols, ks, starts))
+    return cluster_label(cluster_profile(kmeans_assign(stored, k, cols, starts)))
+
+
 def kmeans_assign(
     df: DataFrame, k: int, cols: list[str] | None = None, starts: int = 10
 ) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tillwise.ml import classify, cluster, explain, forecast, metrics
 from tillwise.operators import analytics, clean, features, insights, quality, rfm, reviews, views
 from tillwise.operators.features import FEATURES, LABEL
-from tillwise.session import materialize
-from tillwise.sources.star import build_star
+from tillwise.session import materialize, scratch_path
+from tillwise.sources.star import Star, build_star, load_star, write_star
 from tillwise.sources.trade import TradeTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,10 @@ def portable(df: DataFrame) -> DataFrame:
 class Retail:
     """Frames of one folder, built when asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, star: Star | None = None):
+        self.spark = spark
         self.raw = TradeTables(spark, folder)
-        self.star = build_star(self.raw)
+        self.star = star or build_star(self.raw)
 
     @property
     def facts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -209,6 +210,29 @@ def _forecast(r: Retail) -> DataFrame:
     return forecast.forecast_revenue(series, ["customer_state"])
 
 
+def _stored_star(r: Retail) -> DataFrame:
+    """Revenue over the star after writing and loading it."""
+    folder = scratch_path(r.spark)
+    write_star(r.star, folder)
+    stored = load_star(r.spark, folder)
+    return views.v_monthly_revenue(stored.orders, stored.payments)
+
+
+def _view_sql(r: Retail) -> DataFrame:
+    """SQL over registered views and tables."""
+    views.register_views(r.spark, r.star, r.as_of)
+    return r.spark.sql(
+        """SELECT v.churn_risk_label, c.customer_state, count(*) AS customers
+        FROM v_churn_risk v JOIN dim_customers c ON v.customer_unique_id = c.customer_unique_id
+        GROUP BY 1, 2"""
+    )
+
+
+def _cluster_segments(r: Retail) -> DataFrame:
+    found = cluster.cluster_segments(r.rfm(), starts=STARTS)
+    return insights.cluster_actions(found)
+
+
 def _weekly_as_forecast(r: Retail) -> DataFrame:
     return forecast.weekly_revenue(*r.paid).withColumnRenamed("y", "yhat")
 
@@ -242,6 +266,8 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "check_foreign_key": _foreign_keys,
     "orphan_orders": lambda r: quality.orphan_orders(r.star.orders, r.star.customers),
     "single_purchase_rate": lambda r: quality.single_purchase_rate(r.features()),
+    "load_star": _stored_star,
+    "register_views": _view_sql,
     # analysis queries and views
     "rfm_base": lambda r: rfm.rfm_base(*r.facts, r.as_of, by_place=True),
     "rfm_scored": lambda r: r.scored(),
@@ -355,6 +381,7 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "explain_forest": _explain,
     "kmeans_scan": lambda r: cluster.kmeans_scan(r.rfm(), starts=STARTS),
     "kmeans_assign": lambda r: cluster.kmeans_assign(r.rfm(), 3, starts=STARTS),
+    "cluster_segments": _cluster_segments,
     "forecast_revenue": _forecast,
 }
 
@@ -363,5 +390,10 @@ def _query(build: Callable[[Retail], DataFrame]) -> Query:
     return lambda spark, folder: portable(build(Retail(spark, folder)))
 
 
+def on_star(name: str, spark: SparkSession, folder: str, star: Star) -> DataFrame:
+    """A query over a star that is already stored."""
+    return portable(_BUILDERS[name](Retail(spark, folder, star)))
+
+
 def catalog() -> dict[str, Query]:
     return {name: _query(build) for name, build in _BUILDERS.items()}

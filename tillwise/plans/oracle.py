@@ -444,6 +444,11 @@ _QUERIES = {
         WHERE customer_id NOT IN (SELECT customer_id FROM dim_customers) GROUP BY 1""",
     "single_purchase_rate": """SELECT count(*) FILTER (frequency = 1) * 100.0::DOUBLE / count(*)
         AS single_pct FROM features""",
+    "load_star": f"""SELECT {day("month")} AS month, total_orders, unique_customers,
+        {m("c")} AS revenue, {m("aov")} AS avg_order_value FROM monthly""",
+    "register_views": """SELECT churn_risk_label, customer_state, count(*) AS customers
+        FROM churn_risk v JOIN dim_customers c ON v.customer_unique_id = c.customer_unique_id
+        GROUP BY 1, 2""",
     "rfm_base": f"""SELECT {_PLACE}, recency_days, frequency, {m("c")} AS monetary
         FROM (SELECT c.customer_unique_id, c.customer_city, c.customer_state,
             (SELECT d FROM ref) - max(o.bought)::DATE AS recency_days,
