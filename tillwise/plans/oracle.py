@@ -77,7 +77,7 @@ _CTES = {
         round(l_extendedprice * 100)::BIGINT * round(l_tax * 100)::BIGINT // 100 AS f
         FROM lineitem""",
     "reviews_raw": """SELECT o_orderkey AS order_id,
-        CASE WHEN o_orderpriority <> '5-LOW' THEN substr(o_orderpriority, 1, 1)::INT
+        CASE WHEN o_orderpriority <> '5-LOW' THEN substr(o_orderpriority, 1, 1)::BIGINT
             WHEN o_totalprice < 250000 THEN 4 ELSE 5 END AS review_score
         FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'""",
     "products_raw": """SELECT p_partkey AS product_id,
@@ -98,10 +98,10 @@ _CTES = {
         FROM products_raw p LEFT JOIN category c
         ON p.product_category_name = c.product_category_name""",
     "fact_orders": """SELECT *, floor((epoch_us(arrived) - epoch_us(estimated))
-        / 86400000000.0)::INT AS delay FROM orders_raw WHERE order_status = 'delivered'""",
+        / 86400000000.0)::BIGINT AS delay FROM orders_raw WHERE order_status = 'delivered'""",
     "fact_payments": """SELECT order_id, sum(c)::BIGINT AS pay,
         string_agg(payment_type, ',' ORDER BY q, payment_type) AS payment_types,
-        max(inst) AS installments
+        max(inst)::BIGINT AS installments
         FROM (SELECT order_id, payment_type, min(line) AS q, sum(p + f) AS c,
             max(line + 1) AS inst FROM items_raw GROUP BY ALL) GROUP BY order_id""",
     "fact_reviews": "SELECT * FROM reviews_raw",
@@ -200,13 +200,13 @@ _CTES = {
         {rr("sum(i.f * 1000000000 // nullif(i.p, 0))", "count(nullif(i.p, 0)) * 1000000000", 4)}
             AS avg_freight_ratio,
         count(DISTINCT i.product_id) AS unique_products,
-        CASE WHEN avg(r.review_score) IS NOT NULL THEN 1 ELSE 0 END AS gave_review,
+        (avg(r.review_score) IS NOT NULL)::BIGINT AS gave_review,
         {m("max(p.pay)")} AS max_order_value, {m("min(p.pay)")} AS min_order_value
         FROM dim_customers c JOIN fact_orders o ON c.customer_id = o.customer_id
         JOIN fact_payments p ON o.order_id = p.order_id
         JOIN items_raw i ON o.order_id = i.order_id
         LEFT JOIN fact_reviews r ON o.order_id = r.order_id GROUP BY 1""",
-    "labelled": "SELECT *, (recency_days > 180)::INT AS churned FROM features",
+    "labelled": "SELECT *, (recency_days > 180)::BIGINT AS churned FROM features",
     "complete": "SELECT * FROM labelled WHERE "
     + " AND ".join(f"{f} IS NOT NULL" for f in FEATURES),
     "score_rows": """SELECT churned AS label, 1.0::DOUBLE / (1 + frequency) AS score,
@@ -235,7 +235,7 @@ _CTES = {
         (SELECT d FROM ref) - max(o.bought)::DATE AS recency_days
         FROM fact_reviews r JOIN fact_orders o ON r.order_id = o.order_id
         JOIN dim_customers c ON o.customer_id = c.customer_id GROUP BY 1, 2, 3, 4""",
-    "review_labelled": """SELECT *, (recency_days > 180)::INT AS churned,
+    "review_labelled": """SELECT *, (recency_days > 180)::BIGINT AS churned,
         CASE WHEN review_score > 0 AND review_score <= 2 THEN 'Negative'
             WHEN review_score > 2 AND review_score <= 3 THEN 'Neutral'
             WHEN review_score > 3 AND review_score <= 5 THEN 'Positive' END AS sentiment_label
@@ -321,7 +321,7 @@ def _correlation() -> str:
 def _histogram(source: str, col: str, upper: float, by: str | None) -> str:
     over = f"PARTITION BY {by}" if by else ""
     lead = f"{by}, " if by else ""
-    return f"""SELECT {lead}least(floor((v - lo) / (hi - lo) * 50), 49)::INT AS bin, count(*) AS count
+    return f"""SELECT {lead}least(floor((v - lo) / (hi - lo) * 50), 49)::BIGINT AS bin, count(*) AS count
         FROM (SELECT {lead}v, min(v) OVER ({over}) AS lo, max(v) OVER ({over}) AS hi
             FROM (SELECT {lead}least({col}, {upper}::DOUBLE) AS v FROM {source}))
         GROUP BY ALL"""
@@ -385,7 +385,7 @@ def _report() -> str:
         (7, 6, "'4. Build loyalty programme for top RFM segments — protect the highest-value customer base.'", ""),
     ]
     selects = [
-        f"SELECT {section} AS section, {seq} AS seq, {text} AS line" + (f" FROM {source}" if source else "")
+        f"SELECT {section}::BIGINT AS section, {seq} AS seq, {text} AS line" + (f" FROM {source}" if source else "")
         for section, seq, text, source in lines
     ]
     selects.append(
@@ -420,7 +420,7 @@ _QUERIES = {
     "filter_delivered": """SELECT order_id, customer_id, order_status FROM orders_raw
         WHERE order_status = 'delivered'""",
     "delivery_delay_days": """SELECT order_id, floor((epoch_us(arrived) - epoch_us(estimated))
-        / 86400000000.0)::INT AS delivery_delay_days FROM orders_raw""",
+        / 86400000000.0)::BIGINT AS delivery_delay_days FROM orders_raw""",
     "item_total_value": f"""SELECT order_id, product_id, seller_id, {m("p")} AS price,
         {m("f")} AS freight_value, {m("p + f")} AS total_value FROM items_raw""",
     "aggregate_payments": f"""SELECT order_id, {m("pay")} AS total_payment, payment_types,
@@ -432,7 +432,7 @@ _QUERIES = {
         english AS product_category_name_english FROM dim_products""",
     "clean_reviews": "SELECT order_id, review_score FROM fact_reviews",
     "drop_incomplete": f"SELECT {_FEATURE_COLUMNS} FROM complete",
-    "check_unique": """SELECT order_id, line AS payment_sequential, count(*) AS n FROM items_raw
+    "check_unique": """SELECT order_id, line::BIGINT AS payment_sequential, count(*) AS n FROM items_raw
         GROUP BY 1, 2 HAVING count(*) > 1""",
     "check_foreign_key": """SELECT 'items_orders' AS name, order_id AS key, count(*) AS n_rows
         FROM items_raw WHERE order_id NOT IN (SELECT order_id FROM fact_orders) GROUP BY 2
