@@ -6,7 +6,7 @@ flow of loading once and asking often.
 
 BENCH_SF_DIR  folder of the test tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    timed runs per query after one warm-up (default 3, median counts)
+BENCH_RUNS    timed runs per query after one warm-up (default 2, median counts)
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ FROM_STAR = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tillwise.operators.ranking import first_per_key, ntile_distributed, running_totals, top_k
-from tillwise.operators.skew import hot_keys, spread_join
+from tillwise.operators.skew import hot_keys, spread_join, vocabulary_join
 
 
 def tiles(df, k, column, descending=False):
@@ -109,3 +109,20 @@ def test_spread_join_spreads_the_hot_key(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_vocabulary_join_spreads_every_key_and_the_missing_one(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fact = spark.range(900).select(
+            F.col("id").alias("row"), F.when(F.col("id") % 3 == 1, "a").when(F.col("id") % 3 == 2, "b").alias("k")
+        )
+        names = spark.createDataFrame([("a", "A")], "k string, english string")
+        joined = vocabulary_join(fact, names, "k", ["row"])
+        assert joined.count() == 900 and joined.filter("english = 'A'").count() == 300
+        per_task = joined.filter("k IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert len(per_task) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

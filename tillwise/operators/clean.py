@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import amount, cents, whole_days
 from tillwise.operators.ranking import first_per_key
+from tillwise.operators.skew import spread_join, vocabulary_join
 from tillwise.params import DEFAULTS
 
 # fixed values: columns read as timestamps, and product columns that are dropped
@@ -35,11 +36,10 @@ def customer_id_map(customers: DataFrame, order_cols: list[str] | None = None) -
     Joining orders through ``kept_customer_id`` saves the orders that
     de-duplication orphans.
     """
-    kept = clean_customers(customers, order_cols)
-    return customers.join(
-        kept.select("customer_unique_id", F.col("customer_id").alias("kept_customer_id")),
-        "customer_unique_id",
+    kept = clean_customers(customers, order_cols).select(
+        "customer_unique_id", F.col("customer_id").alias("kept_customer_id")
     )
+    return spread_join(customers, kept, "customer_unique_id", ["customer_id"])
 
 
 def parse_timestamps(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -99,7 +99,7 @@ def aggregate_payments(payments: DataFrame, seq_col: str = "payment_sequential")
 
 def translate_category(products: DataFrame, category: DataFrame) -> DataFrame:
     """Products with their English category name, NULL where there is none."""
-    return products.join(category, "product_category_name", "left")
+    return vocabulary_join(products, category, "product_category_name", ["product_id"])
 
 
 def fill_unknown(

@@ -48,11 +48,35 @@ def spread_join(
     """
     if hot is None:
         hot = hot_keys(fact, key)
-    if not hot:
+    if not hot and how == "inner":
         return fact.join(dim, key, how)
-    is_hot: Column = F.col(key).isin(hot)
+    return _salted(fact, dim, key, spread_by, how, F.col(key).isin(hot), salts)
+
+
+def vocabulary_join(
+    fact: DataFrame, names: DataFrame, key: str, spread_by: list[str], salts: int = SALTS
+) -> DataFrame:
+    """``fact`` left-joined to a list of names, a table of few keys that are all hot.
+
+    Every key is spread, and the short list is repeated for each of ``salts``;
+    nothing has to be counted first.
+    """
+    return _salted(fact, names, key, spread_by, "left", F.lit(True), salts)
+
+
+def _salted(
+    fact: DataFrame,
+    dim: DataFrame,
+    key: str,
+    spread_by: list[str],
+    how: str,
+    is_hot: Column,
+    salts: int,
+) -> DataFrame:
+    """Join on key and salt; fact rows without key match nothing and are always spread."""
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = fact.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    spread = is_hot | F.col(key).isNull()
+    left = fact.withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0)))
     right = dim.withColumn("_salt", F.explode(slots))
     return left.join(right, [key, "_salt"], how).drop("_salt")

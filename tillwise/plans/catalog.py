@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tillwise.ml import classify, cluster, explain, forecast, metrics
 from tillwise.operators import analytics, clean, features, insights, quality, rfm, reviews, views
 from tillwise.operators.features import FEATURES, LABEL
+from tillwise.operators.skew import spread_join
 from tillwise.session import materialize, scratch_path
 from tillwise.sources.star import Star, build_star, load_star, write_star
 from tillwise.sources.trade import TradeTables
@@ -130,7 +131,8 @@ class Retail:
         """order_id with the region of its customer."""
         orders = self.star.orders.select("order_id", "customer_id")
         placed = self.star.customers.select("customer_id", "customer_state")
-        return orders.join(placed, "customer_id").select("order_id", "customer_state")
+        owned = spread_join(orders, placed, "customer_id", ["order_id"])
+        return owned.select("order_id", "customer_state")
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
