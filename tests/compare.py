@@ -13,6 +13,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES += ["documents", "pages", "benchmark", "labels"]
 
 
 def duck(folder: str) -> duckdb.DuckDBPyConnection:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +34,28 @@ def build_session(
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package to the executors once per application, for functions that run there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tillwise_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tillwise-")) / "tillwise.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, str(Path(home.name) / file.relative_to(home)))
+    sc.addPyFile(str(target))
+    sc._tillwise_shipped = True
 
 
 def scratch_path(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
