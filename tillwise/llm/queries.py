@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact
+from tillwise.llm import decontam, exact, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, folder, "documents"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pii_report(_table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
@@ -28,6 +32,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_pii": op9_pii,
         "op10_decontamination": op10_decontamination,
     }
 
