@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, pagetext, pii
+from tillwise.llm import decontam, exact, langid, pagetext, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.predict_language(_table(spark, folder, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pagetext.extract_pages(_table(spark, folder, "pages"))
 
@@ -35,6 +39,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language_id": op1_language_id,
         "op5_html_extraction": op5_html_extraction,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_pii": op9_pii,
