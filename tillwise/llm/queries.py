@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, langid, pagetext, pii
+from tillwise.llm import decontam, exact, langid, lm, pagetext, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict_language(_table(spark, folder, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, folder, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pagetext.extract_pages(_table(spark, folder, "pages"))
 
@@ -40,6 +44,7 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_lm_scoring": op2_lm_scoring,
         "op5_html_extraction": op5_html_extraction,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_pii": op9_pii,
