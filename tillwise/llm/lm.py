@@ -33,8 +33,8 @@ from tillwise.session import materialize
 END = b"\n"  # no word holds a line break
 CLASSES, TAIL = 384, 64
 WIDTH, NOISE = 16, 16
-BATCH = 4096
-RATE = 0.08
+BATCH, GROUP = 4096, 128
+RATE, CALM = 0.1, 1e-6  # step size, and the squared gradients that each weight starts from
 ROUNDS = 3
 FREQUENT = 100_000
 LONGEST_FREQUENT = 64  # bytes; with FREQUENT this bounds what is broadcast
@@ -251,31 +251,37 @@ class LogBilinear:
 
 
 def contrast(model: LogBilinear, noise: np.ndarray, y, before, second, rng, memory) -> None:
-    """One step of noise-contrastive estimation on a batch, in place, with per-weight step sizes."""
-    drawn = np.searchsorted(noise.cumsum(), rng.random(NOISE)).clip(0, CLASSES - 1)
-    log_noise = np.log(noise * NOISE)
+    """One step of noise-contrastive estimation on a batch, in place, with per-weight step sizes.
+
+    Every ``GROUP`` tokens share ``NOISE`` draws, so a batch sees many different ones at the cost of
+    one small matrix product per group.
+    """
+    n, groups = CLASSES, len(y) // GROUP
+    drawn = np.searchsorted(noise.cumsum(), rng.random((groups, NOISE))).clip(0, n - 1)
+    log_noise = np.log(noise * NOISE).astype(np.float32)
     a, b = model.inputs[before], model.inputs[second]
     guess = a @ model.turn1 + b @ model.turn2
     real = (guess * model.outputs[y]).sum(1) + model.bias[y] - log_noise[y]
-    fake = guess @ model.outputs[drawn].T + model.bias[drawn] - log_noise[drawn]
+    grouped = guess.reshape(groups, GROUP, WIDTH)
+    against = model.outputs[drawn]
+    fake = grouped @ against.transpose(0, 2, 1) + (model.bias - log_noise)[drawn][:, None, :]
     d_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))  # of minus the log-likelihood
     d_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-    d_guess = d_real[:, None] * model.outputs[y] + d_fake @ model.outputs[drawn]
-    n = CLASSES
+    d_guess = d_real[:, None] * model.outputs[y] + (d_fake @ against).reshape(-1, WIDTH)
 
     def gather(where: np.ndarray, what: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(where, what[:, j], minlength=n) for j in range(what.shape[1])], 1)
 
+    flat = drawn.ravel()
     outputs = gather(y, d_real[:, None] * guess)
-    np.add.at(outputs, drawn, d_fake.T @ guess)
-    bias = np.bincount(y, d_real, minlength=n)
-    np.add.at(bias, drawn, d_fake.sum(0))
+    outputs += gather(flat, (d_fake.transpose(0, 2, 1) @ grouped).reshape(-1, WIDTH))
+    bias = np.bincount(y, d_real, minlength=n) + np.bincount(flat, d_fake.sum(1).ravel(), minlength=n)
     inputs = gather(before, d_guess @ model.turn1.T) + gather(second, d_guess @ model.turn2.T)
     grads = [inputs, a.T @ d_guess, b.T @ d_guess, outputs, bias]
     for p, g, m in zip(model.parts(), grads, memory, strict=True):
         g = g / len(y)
         m += g * g
-        p -= (RATE * g / (np.sqrt(m) + 1e-6)).astype(np.float32)
+        p -= (RATE * g / np.sqrt(m)).astype(np.float32)
 
 
 def _train(broadcast):
@@ -284,7 +290,7 @@ def _train(broadcast):
         model = LogBilinear.fresh(vocab.class_n).unpack(flat)
         noise = (vocab.class_n + 0.5) / (vocab.class_n + 0.5).sum()
         lookup, rng = _Lookup(vocab), np.random.default_rng(TaskContext.get().partitionId())
-        memory = [np.zeros(p.shape) for p in model.parts()]
+        memory = [np.full(p.shape, CALM) for p in model.parts()]
         seen = 0
         for b in small_batches(batches):
             words, sizes = [], []
@@ -297,6 +303,7 @@ def _train(broadcast):
             order = rng.permutation(len(y))
             for lo in range(0, len(order), BATCH):
                 k = order[lo : lo + BATCH]
+                k = np.resize(k, -(-len(k) // GROUP) * GROUP)  # the last group is filled up
                 contrast(model, noise, y[k], before[k], second[k], rng, memory)
             seen += len(y)
         if seen:
