@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, langid, lm, pagetext, pii
+from tillwise.llm import decontam, exact, langid, lines, lm, pagetext, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,11 @@ def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.lm_scores(_table(spark, folder, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs)
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pagetext.extract_pages(_table(spark, folder, "pages"))
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op2_lm_scoring": op2_lm_scoring,
+        "op3_line_dedup": op3_line_dedup,
         "op5_html_extraction": op5_html_extraction,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_pii": op9_pii,
