@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, langid, lines, lm, pagetext, pii
+from tillwise.llm import decontam, exact, jaccard, langid, lines, lm, pagetext, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, folder, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_classes(_table(spark, folder, "documents"))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(_table(spark, folder, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op3_line_dedup": op3_line_dedup,
         "op5_html_extraction": op5_html_extraction,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_pii": op9_pii,
         "op10_decontamination": op10_decontamination,
     }
