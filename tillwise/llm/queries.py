@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, jaccard, langid, lines, lm, pagetext, pii
+from tillwise.llm import decontam, exact, jaccard, langid, lines, lm, pagetext, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,12 @@ def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_classes(_table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    )
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_report(_table(spark, folder, "documents"))
 
@@ -58,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op5_html_extraction": op5_html_extraction,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_quality": op8_quality,
         "op9_pii": op9_pii,
         "op10_decontamination": op10_decontamination,
     }
