@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, jaccard, langid, lines, lm, pagetext, pii, quality
+from tillwise.llm import decontam, exact, jaccard, langid, lines, lm, mixing, pagetext, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs)
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pagetext.extract_pages(_table(spark, folder, "pages"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_line_dedup": op3_line_dedup,
+        "op4_source_mixing": op4_source_mixing,
         "op5_html_extraction": op5_html_extraction,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_jaccard_join": op7_jaccard_join,
