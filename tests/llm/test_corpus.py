@@ -255,7 +255,7 @@ def test_block_keys_are_complete(spark):
 def test_group_links_finds_chains(spark):
     """A link between followers of two heads is found although neither meets the other's head."""
     members = spark.createDataFrame(
-        [(1, n, 0) for n in (1, 2, 3, 4)] + [(2, 9, 0)], "bucket bigint, node bigint, tag int"
+        [(1, n, 0) for n in (1, 2, 3, 4)] + [(2, 9, 0)], "bucket bigint, node bigint, tag bigint"
     )
     true = {(1, 2), (3, 4), (2, 3)}
 
@@ -266,6 +266,29 @@ def test_group_links_finds_chains(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1} and len(true) == 3
 
 
+def test_large_buckets_stream(spark, monkeypatch):
+    """Buckets cut over many batches, and pieces of large ones, give the same members."""
+    rng = np.random.default_rng(4)
+    bucket = np.sort(np.concatenate([rng.integers(0, 40, 150), np.full(90, 7), np.full(60, 41)]))
+    node = np.arange(len(bucket))
+    tag = rng.integers(0, 3, len(bucket))
+    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node), pa.array(tag)], names=["bucket", "node", "tag"])
+    size = Counter(bucket.tolist())
+    want = {(b, n, int(node[bucket == b][0])) for b, n in zip(bucket.tolist(), node.tolist()) if size[b] > 1}
+    for large, step in ((100_000, 300), (100_000, 7), (20, 7), (20, 1)):
+        monkeypatch.setattr(links, "LARGE", large)
+        out = links._bucket_mates(None)(whole.slice(i, step) for i in range(0, len(bucket), step))
+        got = {(r["bucket"], r["node"], r["least"]) for b in out for r in b.to_pylist()}
+        assert got == want
+    near = links._bucket_mates(1)(iter([whole]))
+    got = {r["node"] for b in near for r in b.to_pylist() if size[r["bucket"]] <= links.SMALL}
+    close = {
+        n for b, n in zip(bucket.tolist(), node.tolist()) if size[b] <= links.SMALL
+        and sum(bin(int(tag[n] ^ t)).count("1") <= 1 for t in tag[bucket == b]) > 1
+    }
+    assert got == close
+
+
 def test_contaminated(spark):
     rng = random.Random(8)
     items = [sentence(rng, n) + f" end{n}" for n in (5, 7, 16, 17, 40, 100, 300)] + ["too short", "", None]

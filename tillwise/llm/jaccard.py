@@ -255,7 +255,7 @@ def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     heads = materialize(
         heads.select(F.col("doc_id").alias("node"), "copies", "bands", "sig").dropDuplicates(["node"])
     )
-    members = heads.select(F.explode("bands").alias("bucket"), "node", F.lit(0).alias("tag"))
+    members = heads.select(F.explode("bands").alias("bucket"), "node", F.lit(0).cast("bigint").alias("tag"))
     groups = materialize(group_links(members, _verifier(slim, heads, threshold)))
     return signed, classes, heads, groups
 
