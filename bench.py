@@ -22,8 +22,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tillwise.plans.catalog import catalog, on_star  # noqa: E402
 from tillwise.session import build_session, scratch_path  # noqa: E402
-from tillwise.sources.star import build_star, load_star, write_star  # noqa: E402
-from tillwise.sources.trade import TradeTables  # noqa: E402
+from tillwise.sources.star import load_star, write_star  # noqa: E402
+from tillwise.sources.trade import TradeTables, trade_star  # noqa: E402
 
 FROM_RAW = ["aggregate_payments", "clean_customers", "revenue_trends", "order_funnel"]
 
@@ -76,7 +76,7 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
 
     stored = scratch_path(spark)
-    timed("etl_star", lambda: write_star(build_star(raw), stored), 2)
+    timed("etl_star", lambda: write_star(trade_star(raw), stored), 2)
     star = load_star(spark, stored)
     for name in FROM_RAW:
         timed(f"raw:{name}", lambda: drain(queries[name](spark, folder)))

@@ -58,8 +58,10 @@ def test_metrics_against_brute_force(spark, levels):
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
     assert abs(got["AUC-ROC"] - evaluator.evaluate(df)) < 1e-4
     curve = metrics.roc_curve(df, "label", "score").orderBy(F.col("threshold").desc()).collect()
-    assert len(curve) == len({s for _, s in rows}) and (curve[-1]["fpr"], curve[-1]["tpr"]) == (1.0, 1.0)
-    top = curve[0]
+    assert len(curve) == len({s for _, s in rows}) + 1
+    assert (curve[-1]["fpr"], curve[-1]["tpr"]) == (1.0, 1.0)
+    assert tuple(curve[0]) == (math.inf, 0.0, 0.0)
+    top = curve[1]
     assert top["tpr"] == sum(y and s >= top["threshold"] for y, s in rows) / sum(y for y, _ in rows)
 
 
@@ -184,6 +186,25 @@ def test_forecast_finds_trend_and_season(spark):
     assert daily.count() == 208 + 90
 
 
+def test_forecast_keeps_its_season_below_two_years(spark):
+    start, rows = dt.date(2015, 1, 5), []
+    for w in range(96):
+        level = 1000.0 * (1 + 0.3 * math.sin(2 * math.pi * w * 7 / 365.25))
+        rows.append((start + dt.timedelta(days=w * 7), level))
+    out = forecast.forecast_revenue(spark.createDataFrame(rows, "ds date, y double")).collect()
+    for r in out:
+        truth = 1000.0 * (1 + 0.3 * math.sin(2 * math.pi * (r["ds"] - start).days / 365.25))
+        assert abs(r["yhat"] / truth - 1) < 0.05
+
+
+def test_forecast_interval_widens_with_a_bending_trend(spark):
+    start = dt.date(2015, 1, 5)
+    rows = [(start + dt.timedelta(days=w * 7), 1000.0 + 400 * abs(w % 80 - 40)) for w in range(208)]
+    out = forecast.forecast_revenue(spark.createDataFrame(rows, "ds date, y double")).orderBy("ds").collect()
+    widths = [r["yhat_upper"] - r["yhat_lower"] for r in out[207:]]
+    assert widths == sorted(widths) and widths[-1] > widths[0]
+
+
 def test_forecast_of_a_short_series(spark):
     rows = [(dt.date(2020, 1, 6), 5.0), (dt.date(2020, 1, 13), 0.0)]
     out = forecast.forecast_revenue(spark.createDataFrame(rows, "ds date, y double"), horizon_days=7)

@@ -4,7 +4,7 @@ import pytest
 
 from tillwise.session import materialize, scratch_path
 from tillwise.sources import sinks
-from tillwise.sources.raw import read_raw
+from tillwise.sources.raw import read_all_raw, read_raw
 from tillwise.sources.star import TABLES, Star, build_star, load_star, save_star_tables, write_star
 
 FILES = {
@@ -32,9 +32,7 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def star(spark, folder):
-    names = ["customers", "orders", "order_items", "payments", "reviews", "products", "sellers", "category"]
-    raw = {n: read_raw(spark, folder, n, with_order=n in ("customers", "reviews")) for n in names}
-    return build_star(raw, customer_order=["row_order"], review_order=["row_order"])
+    return build_star(read_all_raw(spark, folder))
 
 
 def test_raw_types_and_extra_columns(spark, folder):
@@ -57,6 +55,13 @@ def test_csv_to_star(star):
     assert star.products.first()["product_category_name_english"] == "toys"
 
 
+def test_first_row_needs_an_order(spark, folder):
+    raw = read_all_raw(spark, folder)
+    star = build_star(raw | {"reviews": raw["reviews"].drop("row_order")})
+    with pytest.raises(ValueError, match="reviews"):
+        star.reviews  # noqa: B018
+
+
 def test_store_and_load(spark, star, tmp_path):
     folder = str(tmp_path / "star")
     write_star(star, folder)

@@ -40,9 +40,11 @@ def _wide(value: Column | int) -> Column:
 def ratio_units(num: Column, den: Column | int, digits: int = 0) -> Column:
     """round(num / den, digits) counted in units of the last digit; NULL when den is 0.
 
-    ``num`` is a whole number, ``den`` a whole number not below 0.
+    ``num`` and ``den`` are whole numbers.
     """
-    n, d = _wide(num), F.nullif(_wide(den), F.lit(Decimal(0)).cast(WIDE))
+    n, below = _wide(num), _wide(den)
+    n = F.when(below < 0, -n).otherwise(n)
+    d = F.nullif(F.abs(below), F.lit(Decimal(0)).cast(WIDE))
     twice = F.lit(Decimal(2 * 10**digits))
     size = F.call_function("div", F.abs(n) * twice + d, d * F.lit(Decimal(2)))
     return F.when(n < 0, -size).otherwise(size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from statistics import NormalDist
 
 import numpy as np
@@ -16,6 +17,9 @@ from tillwise.params import DEFAULTS
 
 # fixed values: seasonal periods in days with the number of waves fitted for each
 SEASONS = {365.25: 10, 7.0: 3}
+BENDS = 25
+BEND_PENALTY, WAVE_PENALTY = 0.3, 0.01
+ROUNDS = 12
 
 
 def weekly_revenue(
@@ -34,42 +38,67 @@ def weekly_revenue(
     return paid.groupBy(*by, week).agg(money(F.sum("pay")).alias("y"))
 
 
-def _design(days: np.ndarray, n: int, span: float, gap: float) -> np.ndarray:
-    """Level, trend and waves; only waves the series is long and fine enough for."""
-    columns = [np.ones(len(days)), days / span]
-    for period, waves in SEASONS.items():
-        if span < 2 * period or gap * 2 > period:
-            continue
-        for wave in range(1, min(waves, max(n // 8, 1)) + 1):
-            angle = 2 * np.pi * wave * days / period
-            columns += [np.sin(angle), np.cos(angle)]
-    return np.column_stack(columns)
+def _trend(days: np.ndarray, span: float, bends: int) -> np.ndarray:
+    """Level, slope, and a further slope from each of ``bends`` days of the first 80 % of the history."""
+    places = np.linspace(0, 0.8 * span, bends + 1)[1:]
+    turns = [np.maximum(days - p, 0) / span for p in places]
+    return np.column_stack([np.ones(len(days)), days / span, *turns])
+
+
+def _waves(days: np.ndarray, seasons: Mapping[float, int]) -> np.ndarray:
+    angles = [2 * np.pi * w * days / period for period, n in seasons.items() for w in range(1, n + 1)]
+    return np.column_stack([f(a) for a in angles for f in (np.sin, np.cos)] or [np.zeros(len(days))])
+
+
+def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
 
 
 def _fit_one(
-    ds: pd.Series, y: np.ndarray, future: pd.DatetimeIndex, level: float
+    ds: pd.Series,
+    y: np.ndarray,
+    future: pd.DatetimeIndex,
+    level: float,
+    seasons: Mapping[float, int],
+    multiplicative: bool,
+    bends: int,
 ) -> pd.DataFrame:
-    """Least squares on the logarithm (multiplicative) or, with values <= 0, on the values."""
+    """trend * (1 + waves) or trend + waves, by least squares with a ridge on bends and waves.
+
+    The penalty, not a rule on the length of the series, keeps what the data cannot tell apart small.
+    """
     start = ds.iloc[0]
     days = (ds - start).dt.days.to_numpy(dtype=float)
-    n, span = len(days), max(days[-1], 1.0)
-    gap = float(np.median(np.diff(days))) if n > 1 else 1.0
-    multiplicative = bool((y > 0).all())
-    target = np.log(y) if multiplicative else y
-    x = _design(days, n, span, gap)
-    coef, *_ = np.linalg.lstsq(x, target, rcond=None)
-    spread = np.sqrt(((target - x @ coef) ** 2).sum() / max(n - x.shape[1], 1))
     every = ds.tolist() + list(future)
     all_days = np.array([(d - start).days for d in every], dtype=float)
-    middle = _design(all_days, n, span, gap) @ coef
+    n, span = len(days), max(days[-1], 1.0)
+    size = np.abs(y).mean() or 1.0
+    target = y / size
+    t, w = _trend(days, span, bends), _waves(days, seasons)
+    penalty = np.concatenate([[1e-9, 1e-6], np.full(bends, BEND_PENALTY), np.full(w.shape[1], WAVE_PENALTY)])
+    trend = np.full(n, target.mean())
+    for _ in range(ROUNDS if multiplicative else 1):
+        factor = trend[:, None] if multiplicative else 1.0
+        coef = _ridge(np.column_stack([t, w * factor]), target, penalty)
+        # where the trend nears zero there is no level for waves to multiply
+        trend = np.maximum(t @ coef[: t.shape[1]], target.mean() / 10)
+    all_t, all_w = _trend(all_days, span, bends), _waves(all_days, seasons)
+    line, wave = all_t @ coef[: t.shape[1]], all_w @ coef[t.shape[1] :]
+    middle = line * (1 + wave) if multiplicative else line + wave
+    left = target - middle[:n]
+    noise = (left**2).sum() / max(n - 2, 1)
+    # bends as frequent and as sharp as those of the history may follow: their variance grows with time
+    turn = np.abs(coef[2 : 2 + bends]).mean() if bends else 0.0
+    ahead = np.maximum(all_days - days[-1], 0) / span
+    drift = 2 * turn**2 * bends * ahead**3 / 3
+    spread = np.sqrt(noise + drift * ((1 + wave) ** 2 if multiplicative else 1.0))
     z = NormalDist().inv_cdf(0.5 + level / 2)
-    back = np.exp if multiplicative else (lambda v: v)
     return pd.DataFrame(
         {
             "ds": [d.date() for d in every],
-            "yhat": back(middle),
-            "yhat_lower": back(middle - z * spread),
-            "yhat_upper": back(middle + z * spread),
+            "yhat": middle * size,
+            "yhat_lower": (middle - z * spread) * size,
+            "yhat_upper": (middle + z * spread) * size,
         }
     )
 
@@ -80,12 +109,18 @@ def forecast_revenue(
     horizon_days: int = DEFAULTS.horizon_days,
     step_days: int = 7,
     level: float = DEFAULTS.interval_level,
+    seasons: Mapping[float, int] = SEASONS,
+    multiplicative: bool = True,
+    bends: int = BENDS,
 ) -> DataFrame:
     """Fitted history and forecast of every series (keys, ds, y) with its interval.
 
     A series is one row per week, so a group is bounded by the calendar whatever
     the number of orders; series run side by side.  The horizon moves in steps
     of the series itself; ``step_days=1`` predicts a weekly level for every day.
+    All ``seasons`` are fitted whatever the length of the series, and seasons multiply the trend
+    unless ``multiplicative`` is off, whatever its values.  The trend may bend, and the interval
+    widens with the horizon.
     """
     keys = keys or []
     frame = series if keys else series.withColumn("_all", F.lit(1))
@@ -98,7 +133,9 @@ def forecast_revenue(
         future = pd.date_range(
             pdf["ds"].iloc[-1], periods=-(-horizon_days // step_days) + 1, freq=f"{step_days}D"
         )[1:]
-        fitted = _fit_one(pdf["ds"], pdf["y"].to_numpy(dtype=float), future, level)
+        fitted = _fit_one(
+            pdf["ds"], pdf["y"].to_numpy(dtype=float), future, level, seasons, multiplicative, bends
+        )
         for k in reversed(keys):
             fitted.insert(0, k, pdf[k].iloc[0])
         return fitted

@@ -22,14 +22,19 @@ def _score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def roc_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """False and true positive rate when rows at or above each distinct score count as positive."""
+    """False and true positive rate when rows at or above each distinct score count as positive.
+
+    The curve begins at (0, 0) with an infinite threshold, above all scores.
+    """
     counts = _score_counts(scored, label, score)
     ends = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    return counts.withColumn("_e", ends).select(
-        (-F.col("down")).alias("threshold"),
+    start = counts.sparkSession.sql("SELECT double('Infinity') threshold, 0.0D fpr, 0.0D tpr")
+    curve = counts.withColumn("_e", ends).select(
+        (F.lit(0.0) - F.col("down")).alias("threshold"),  # never -0.0
         (F.col("cum_neg") / F.nullif(F.col("_e.n"), F.lit(0))).alias("fpr"),
         (F.col("cum_pos") / F.nullif(F.col("_e.p"), F.lit(0))).alias("tpr"),
     )
+    return start.union(curve)
 
 
 def auc(scored: DataFrame, label: str, score: str, digits: int = 4) -> DataFrame:

@@ -117,8 +117,8 @@ def clean_sellers(sellers: DataFrame) -> DataFrame:
 
 
 def clean_reviews(reviews: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
-    """One (order_id, review_score) per order, the first in file order."""
-    order_cols = order_cols or ["review_score"]
+    """One (order_id, review_score) per order, the first by ``order_cols`` (``row_order``)."""
+    order_cols = order_cols or ["row_order"]
     needed = list(dict.fromkeys(["order_id", "review_score", *order_cols]))
     kept = first_per_key(reviews.select(*needed), ["order_id"], order_cols)
     return kept.select("order_id", "review_score")

@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from tillwise.operators import analytics, clean, features, insights, quality, rf
 from tillwise.operators.features import FEATURES, LABEL
 from tillwise.operators.skew import spread_join
 from tillwise.session import materialize, scratch_path
-from tillwise.sources.star import Star, build_star, load_star, write_star
-from tillwise.sources.trade import TradeTables
+from tillwise.sources.star import Star, load_star, write_star
+from tillwise.sources.trade import TradeTables, trade_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +58,7 @@ class Retail:
     def __init__(self, spark: SparkSession, folder: str, star: Star | None = None):
         self.spark = spark
         self.raw = TradeTables(spark, folder)
-        self.star = star or build_star(self.raw)
+        self.star = star or trade_star(self.raw)
 
     @property
     def facts(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -162,6 +163,33 @@ def _foreign_keys(r: Retail) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _profile_all(r: Retail) -> DataFrame:
+    """Profile of every raw table."""
+    found = [
+        quality.profile_table(r.raw[name]).select(F.lit(name).alias("table"), "*") for name in r.raw
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _unique_keys(r: Retail) -> DataFrame:
+    """Rows of the star that break one of its four unique keys, with one key that is broken."""
+    s = r.star
+    checks = {
+        "customers": (s.customers, "customer_id"),
+        "orders": (s.orders, "order_id"),
+        "products": (s.products, "product_id"),
+        "sellers": (s.sellers, "seller_id"),
+        "items": (s.items, "order_id"),
+    }
+    found = [
+        quality.check_unique(table, [key]).select(
+            F.lit(name).alias("name"), F.col(key).alias("key"), "n"
+        )
+        for name, (table, key) in checks.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _report(r: Retail) -> DataFrame:
     return insights.insight_report(
         r.monthly(), r.segments(), r.churn(), r.categories(), r.sellers(), GENERATED_AT
@@ -177,7 +205,10 @@ def _model_benchmark(r: Retail) -> DataFrame:
 def _score_only(r: Retail) -> DataFrame:
     rows = materialize(clean.drop_incomplete(r.reviews(), ["review_score", LABEL]))
     split = features.stratified_split(rows, "order_id")
-    return classify.score_only_model(split.filter(~F.col("is_test")), split.filter("is_test"))
+    full_auc = classify.champion(_model_benchmark(r)).first()["AUC-ROC"]
+    return classify.score_only_model(
+        split.filter(~F.col("is_test")), split.filter("is_test"), full_auc
+    )
 
 
 def _cross_validate(r: Retail) -> DataFrame:
@@ -185,20 +216,22 @@ def _cross_validate(r: Retail) -> DataFrame:
     folds = materialize(
         classify.with_folds(classify.with_weights(train), "customer_unique_id")
     )
-    models = {
-        "Logistic Regression": classify.logistic_regression(),
-        "Random Forest": classify.random_forest(trees=TREES, depth=DEPTH),
-    }
+    models = classify.default_models(trees=TREES, depth=DEPTH, rounds=ROUNDS)
     return classify.cross_validate(folds, models)
 
 
-def _grid_search(r: Retail) -> DataFrame:
+def _grid_search(r: Retail) -> tuple[DataFrame, Model]:
     train, _ = r.split()
     folds = materialize(
         classify.with_folds(classify.with_weights(train), "customer_unique_id", folds=3)
     )
-    result, _ = classify.grid_search(folds, SMALL_GRID, folds=3)
-    return result
+    return classify.grid_search(folds, SMALL_GRID, folds=3)
+
+
+def _tuned_gain(r: Retail) -> DataFrame:
+    """Test AUC of the best forest of the grid and its gain on the champion."""
+    _, tuned = _grid_search(r)
+    return classify.tuned_gain(tuned, r.split()[1], _model_benchmark(r))
 
 
 def _explain(r: Retail) -> DataFrame:
@@ -262,6 +295,8 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "fill_unknown": lambda r: r.star.products,
     "clean_reviews": lambda r: r.star.reviews,
     "drop_incomplete": lambda r: clean.drop_incomplete(r.features(), FEATURES).select(*_FEATURE_OUT),
+    "profile_all": _profile_all,
+    "check_unique_star": _unique_keys,
     "check_unique": lambda r: quality.check_unique(
         r.raw["payments"], ["order_id", "payment_sequential"]
     ),
@@ -283,6 +318,7 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     ),
     "revenue_trends": lambda r: analytics.revenue_trends(*r.paid),
     "top_categories": lambda r: analytics.top_categories(r.star),
+    "top_categories_three": lambda r: analytics.top_categories(r.star, limit=3),
     "seller_delivery": lambda r: analytics.seller_delivery(r.star),
     "order_funnel": lambda r: analytics.order_funnel(r.raw["orders"]),
     "v_monthly_revenue": lambda r: r.monthly(),
@@ -305,6 +341,7 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
         insights.worst_sellers(r.sellers())
     ),
     "customer_sample": lambda r: insights.customer_sample(r.segments()),
+    "customer_sample_hundred": lambda r: insights.customer_sample(r.segments(), n=100),
     "mom_growth": lambda r: _rounded(insights.mom_growth(r.monthly()), "mom_growth"),
     "revenue_cards": lambda r: insights.revenue_cards(r.monthly()),
     "segment_actions": lambda r: insights.segment_actions(
@@ -378,7 +415,8 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "model_benchmark": _model_benchmark,
     "champion": lambda r: classify.champion(_model_benchmark(r)),
     "cross_validate": _cross_validate,
-    "grid_search": _grid_search,
+    "grid_search": lambda r: _grid_search(r)[0],
+    "tuned_gain": _tuned_gain,
     "score_only_model": _score_only,
     "explain_forest": _explain,
     "kmeans_scan": lambda r: cluster.kmeans_scan(r.rfm(), starts=STARTS),

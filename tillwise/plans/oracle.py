@@ -9,8 +9,36 @@ from __future__ import annotations
 
 import re
 
-from tillwise.operators.features import FEATURES
-from tillwise.operators.insights import CLUSTER_ACTIONS, DEFAULT_ACTION, SEGMENT_ACTIONS
+# Fixed values, written out a second time so that a wrong one in the operators does not pass.
+FEATURES = [
+    "frequency",
+    "monetary",
+    "avg_order_value",
+    "avg_review_score",
+    "active_months",
+    "avg_installments",
+    "avg_freight_ratio",
+    "unique_products",
+    "gave_review",
+    "max_order_value",
+    "min_order_value",
+]
+SEGMENT_ACTIONS = {
+    "Champions": "🏆 VIP loyalty programme + early access",
+    "Loyal Customers": "🔄 Subscription model + referral incentives",
+    "Potential Loyalists": "📈 Personalised recommendations + discounts",
+    "New Customers": "👋 Onboarding campaign + first purchase offer",
+    "At Risk": "⚠️ Win-back campaign + personalised discount",
+    "Need Attention": "📧 Low-cost email reactivation",
+}
+CLUSTER_ACTIONS = {
+    "High Value Active": "VIP loyalty programme + early access offers",
+    "Loyal Regulars": "Subscription model + referral incentives",
+    "Lapsed High Value": "Win-back campaign + personalised discount",
+    "Churned Low Value": "Low-cost email reactivation only",
+    "Occasional Buyers": "Category-based push notifications",
+}
+DEFAULT_ACTION = "Monitor and analyse further"
 
 
 def m(c: str) -> str:
@@ -45,6 +73,7 @@ def lookup(col: str, pairs: dict[str, str]) -> str:
     return f"CASE {col} {cases} ELSE {quoted(DEFAULT_ACTION)} END"
 
 
+# fixed values: labels and bounds of the segments
 _SEGMENT = """CASE WHEN r_score + f_score + m_score >= 13 THEN 'Champions'
     WHEN r_score + f_score + m_score >= 10 THEN 'Loyal Customers'
     WHEN r_score + f_score + m_score >= 7 THEN 'Potential Loyalists'
@@ -76,12 +105,18 @@ _CTES = {
         round(l_extendedprice * 100)::BIGINT AS p,
         round(l_extendedprice * 100)::BIGINT * round(l_tax * 100)::BIGINT // 100 AS f
         FROM lineitem""",
-    "reviews_raw": """SELECT o_orderkey AS order_id,
+    "reviews_once": """SELECT o_orderkey AS order_id,
         CASE WHEN o_orderpriority <> '5-LOW' THEN substr(o_orderpriority, 1, 1)::BIGINT
             WHEN o_totalprice < 250000 THEN 4 ELSE 5 END AS review_score
         FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'""",
+    "reviews_raw": """SELECT order_id, 0 AS review_seq,
+            CASE WHEN review_score = 2 THEN 3 ELSE review_score END AS review_score FROM reviews_once
+        UNION ALL SELECT order_id, 1, CASE review_score WHEN 2 THEN 2 ELSE 5 END
+            FROM reviews_once WHERE review_score IN (2, 3)
+        UNION ALL SELECT order_id, 2, 1 FROM reviews_once WHERE review_score = 2""",
     "products_raw": """SELECT p_partkey AS product_id,
-        CASE WHEN lower(p_type) <> 'promo' THEN lower(p_type) END AS product_category_name
+        CASE WHEN lower(p_type) <> 'promo' THEN lower(p_type) END AS product_category_name,
+        length(p_name) AS name_len, length(p_brand) AS brand_len, p_size AS size
         FROM part""",
     "category": """SELECT DISTINCT lower(p_type) AS product_category_name,
         'en_' || lower(p_type) AS product_category_name_english
@@ -104,7 +139,8 @@ _CTES = {
         max(inst)::BIGINT AS installments
         FROM (SELECT order_id, payment_type, min(line) AS q, sum(p + f) AS c,
             max(line + 1) AS inst FROM items_raw GROUP BY ALL) GROUP BY order_id""",
-    "fact_reviews": "SELECT * FROM reviews_raw",
+    "fact_reviews": """SELECT order_id, review_score FROM reviews_raw
+        QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY review_seq) = 1""",
     "ref": "SELECT max(bought)::DATE AS d FROM fact_orders",
     # ------------------------------------------------------------ views
     "rfm": """SELECT c.customer_unique_id, (SELECT d FROM ref) - max(o.bought)::DATE AS recency_days,
@@ -278,6 +314,57 @@ def _profile_orders() -> str:
     )
 
 
+def _profile_all() -> str:
+    tables = {
+        "customers": ("customers_raw", "customer_id customer_unique_id customer_city customer_state"),
+        "orders": (
+            "orders_raw",
+            "order_id customer_id order_status order_purchase_timestamp=bought order_approved_at=approved "
+            "order_delivered_carrier_date=carrier order_delivered_customer_date=arrived "
+            "order_estimated_delivery_date=estimated",
+        ),
+        "order_items": (
+            "items_raw",
+            "order_id product_id seller_id shipping_limit_date=line price=p freight_value=f",
+        ),
+        "payments": (
+            "items_raw",
+            "order_id payment_sequential=line payment_type payment_installments=line payment_value=p",
+        ),
+        "reviews": ("reviews_raw", "order_id review_seq review_score"),
+        "products": (
+            "products_raw",
+            "product_id product_category_name product_name_lenght=name_len "
+            "product_description_lenght=brand_len product_photos_qty=size",
+        ),
+        "sellers": ("dim_sellers", "seller_id seller_city seller_state"),
+        "category": ("category", "product_category_name product_category_name_english"),
+    }
+    parts = []
+    for table, (source, columns) in tables.items():
+        for c in columns.split():
+            name, _, expr = c.partition("=")
+            parts.append(
+                f"SELECT '{table}' AS \"table\", '{name}' AS \"column\", count(*) AS n_rows, "
+                f"count(*) - count({expr or name}) AS n_nulls FROM {source}"
+            )
+    return "\nUNION ALL\n".join(parts)
+
+
+def _unique_star() -> str:
+    keys = {
+        "customers": ("dim_customers", "customer_id"),
+        "orders": ("fact_orders", "order_id"),
+        "products": ("dim_products", "product_id"),
+        "sellers": ("dim_sellers", "seller_id"),
+        "items": ("items_raw", "order_id"),
+    }
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS name, {key} AS key, count(*) AS n FROM {table} GROUP BY 2 HAVING count(*) > 1"
+        for name, (table, key) in keys.items()
+    )
+
+
 def _funnel() -> str:
     def hours(later: str, earlier: str) -> str:
         took = f"epoch_us({later}) - epoch_us({earlier})"
@@ -432,6 +519,8 @@ _QUERIES = {
         english AS product_category_name_english FROM dim_products""",
     "clean_reviews": "SELECT order_id, review_score FROM fact_reviews",
     "drop_incomplete": f"SELECT {_FEATURE_COLUMNS} FROM complete",
+    "profile_all": _profile_all(),
+    "check_unique_star": _unique_star(),
     "check_unique": """SELECT order_id, line::BIGINT AS payment_sequential, count(*) AS n FROM items_raw
         GROUP BY 1, 2 HAVING count(*) > 1""",
     "check_foreign_key": """SELECT 'items_orders' AS name, order_id AS key, count(*) AS n_rows
@@ -476,6 +565,8 @@ _QUERIES = {
         FROM (SELECT *, lag(c) OVER (ORDER BY month) AS b FROM monthly)""",
     "top_categories": f"""SELECT {_CATEGORY_COLUMNS}, rank() OVER (ORDER BY c DESC) AS revenue_rank
         FROM categories ORDER BY c DESC NULLS FIRST, category LIMIT 15""",
+    "top_categories_three": f"""SELECT {_CATEGORY_COLUMNS}, rank() OVER (ORDER BY c DESC) AS revenue_rank
+        FROM categories ORDER BY c DESC NULLS FIRST, category LIMIT 3""",
     "seller_delivery": """SELECT seller_id, seller_city, seller_state, total_orders, avg_delay_days,
         late_deliveries, late_pct, avg_review_score, rating AS seller_risk_rating FROM seller_rated
         ORDER BY late_pct DESC NULLS FIRST, seller_id LIMIT 20""",
@@ -518,6 +609,8 @@ _QUERIES = {
         GROUP BY 1""",
     "customer_sample": f"""SELECT {_RFM_COLUMNS}, r_score, f_score, m_score, segment FROM segments
         ORDER BY customer_unique_id LIMIT 5000""",
+    "customer_sample_hundred": f"""SELECT {_RFM_COLUMNS}, r_score, f_score, m_score, segment FROM segments
+        ORDER BY customer_unique_id LIMIT 100""",
     "mom_growth": f"""SELECT {day("month")} AS month, total_orders, unique_customers,
         {m("c")} AS revenue, {m("aov")} AS avg_order_value, round(g, 6) AS mom_growth
         FROM monthly JOIN (SELECT month AS k, g FROM growth) ON month = k""",
@@ -545,7 +638,8 @@ _QUERIES = {
     "classification_metrics": _metrics(),
     "roc_curve": """SELECT score AS threshold,
         sum(neg) OVER (ORDER BY score DESC)::DOUBLE / sum(neg) OVER () AS fpr,
-        sum(pos) OVER (ORDER BY score DESC)::DOUBLE / sum(pos) OVER () AS tpr FROM score_groups""",
+        sum(pos) OVER (ORDER BY score DESC)::DOUBLE / sum(pos) OVER () AS tpr FROM score_groups
+        UNION ALL SELECT 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
     "business_impact": f"""SELECT n AS total_at_risk, {m(ri("s", "n"))} AS avg_spend,
         {m(ri("s * 15", "100"))} AS recoverable_15, {m(ri("s * 25", "100"))} AS recoverable_25,
         h AS hv_n, {m(ri("hs * 20", "100"))} AS hv_recoverable

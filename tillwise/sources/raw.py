@@ -41,5 +41,20 @@ def read_raw(
     return df.withColumns({c: F.col(c).cast(t) for c, t in known.items()}) if known else df
 
 
-def read_all_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {table: read_raw(spark, folder, table) for table in RAW_FILES}
+# Tables of which only the first of several rows is kept.
+_FIRST_ROW_COUNTS = {"customers", "reviews"}
+
+
+def read_all_raw(
+    spark: SparkSession, folder: str, patterns: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
+    """All raw tables; customers and reviews know the place of each row in its file.
+
+    ``patterns`` gives file names other than the usual ones.
+    """
+    return {
+        table: read_raw(
+            spark, folder, table, (patterns or {}).get(table), with_order=table in _FIRST_ROW_COUNTS
+        )
+        for table in RAW_FILES
+    }

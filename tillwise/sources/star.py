@@ -59,15 +59,26 @@ def build_star(
     review_order: list[str] | None = None,
     payment_seq: str = "payment_sequential",
 ) -> Star:
-    """Cleaned tables; the ``*_order`` columns say which of several rows came first."""
+    """Cleaned tables; the ``*_order`` columns say which of several rows came first.
+
+    Without them customers and reviews must carry ``row_order``, as ``read_all_raw`` gives it.
+    """
+
+    def first_by(table: str, given: list[str] | None) -> list[str]:
+        if given is None and "row_order" not in raw[table].columns:
+            raise ValueError(f"{table}: name the order columns, or read it with its row_order")
+        return given or ["row_order"]
+
     return Star(
-        customers=lambda: clean.clean_customers(raw["customers"], customer_order),
+        customers=lambda: clean.clean_customers(
+            raw["customers"], first_by("customers", customer_order)
+        ).drop("row_order"),
         products=lambda: clean.clean_products(raw["products"], raw["category"]),
         sellers=lambda: clean.clean_sellers(raw["sellers"]),
         orders=lambda: clean.clean_orders(raw["orders"], status),
         items=lambda: clean.clean_items(raw["order_items"]),
         payments=lambda: clean.aggregate_payments(raw["payments"], payment_seq),
-        reviews=lambda: clean.clean_reviews(raw["reviews"], review_order),
+        reviews=lambda: clean.clean_reviews(raw["reviews"], first_by("reviews", review_order)),
     )
 
 
