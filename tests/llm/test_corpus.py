@@ -218,6 +218,13 @@ def test_lines(spark):
     assert [r["doc_id"] for r in again.collect()] == [0] and set(again.columns) == set(table(spark, []).columns)
 
 
+def test_short_lines_lose_their_copies(spark):
+    """Lines of one or two words, and paragraphs without spaces, are lines like others."""
+    texts = ["Read more\n\nhttps://a.b\n今天天气很好我们去公园", "read  More\n \nhttps://a.b", "今天天气很好我们去公园\n\nx"]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: " ", 2: "\nx"}
+
+
 def test_edit_similarity():
     rng = np.random.default_rng(2)
 
