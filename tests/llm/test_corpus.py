@@ -218,6 +218,32 @@ def test_lines(spark):
     assert [r["doc_id"] for r in again.collect()] == [0] and set(again.columns) == set(table(spark, []).columns)
 
 
+def test_all_near_lines_are_found(spark):
+    """Groups by edit similarity alone, over lines of 4 to 120 words with up to a fifth of them edited."""
+    rng = random.Random(17)
+    pool = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([4, 5, 6, 9, 10, 14, 15, 30, 50, 120]))]
+        pool.append(base)
+        for _ in range(2):
+            w = list(base)
+            for _ in range(rng.randrange(1, max(len(w) // 5, 1) + 1)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+            pool.append(w)
+    pool = [list(w) for w in dict.fromkeys(map(tuple, pool)) if w]
+    column = common.batch_words(pa.array([" ".join(w) for w in pool]))
+    h = [column.hashes()[column.at[i] : column.at[i + 1]] for i in range(len(pool))]
+    near = [(a, b) for b in range(len(pool)) for a in range(b) if lines.edit_similarity(h[a], h[b]) >= 0.8 - 1e-9]
+    root = list(range(len(pool)))
+    for _ in pool:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    got = lines.dedup_lines(table(spark, [" ".join(w) for w in pool])).collect()
+    assert {r["doc_id"] for r in got if not r["n_removed"]} == {i for i in range(len(pool)) if root[i] == i}
+    assert len(near) > 60
+
+
 def test_short_lines_lose_their_copies(spark):
     """Lines of one or two words, and paragraphs without spaces, are lines like others."""
     texts = ["Read more\n\nhttps://a.b\n今天天气很好我们去公园", "read  More\n \nhttps://a.b", "今天天气很好我们去公园\n\nx"]

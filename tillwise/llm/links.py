@@ -140,3 +140,131 @@ def group_links(
     more = verify(rest).select("a", "b")
     ties = groups.select(F.col("root").alias("a"), F.col("node").alias("b"))
     return connected_groups(ties.union(more))
+
+
+NAMES = ["bucket", "node", "tag", "n"]
+Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole buckets of two rows or more, from rows sorted by bucket and node; no node twice."""
+    held: list[list[np.ndarray]] = []
+
+    def give() -> Iterator[list[np.ndarray]]:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        same = cols[0][1:] == cols[0][:-1]
+        keep = np.ones(len(cols[0]), bool)
+        keep[1:] = ~same | (cols[1][1:] != cols[1][:-1])
+        cols = [c[keep] for c in cols]
+        start = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        size = np.diff(start, append=len(cols[0]))
+        cols = [c[np.repeat(size > 1, size)] for c in cols]
+        if len(cols[0]):
+            yield cols
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(x).to_numpy(zero_copy_only=False) for x in names]
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last or (held and held[-1][0][-1] != cols[0][0]):
+            held.append([c[:last] for c in cols])
+            yield from give()
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield from give()
+
+
+def _buckets(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    return start, np.diff(start, append=len(bucket))
+
+
+def _small_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places i < j within the buckets."""
+    j = np.repeat(start, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+    before = j - np.repeat(start, size)
+    i = np.repeat(j - before, before) + (np.arange(before.sum()) - np.repeat(np.cumsum(before) - before, before))
+    return i, np.repeat(j, before)
+
+
+def _leads(close: Close):
+    """Adds to rows the first mate that is close to them; rows of small buckets close to none are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _whole_buckets(batches, NAMES):
+            bucket, node, tag, n = cols
+            lead = np.arange(len(bucket))
+            keep = np.zeros(len(bucket), bool)
+            start, size = _buckets(bucket)
+            i, j = _small_pairs(start[size <= SMALL], size[size <= SMALL])
+            near = close(tag[i], n[i], tag[j], n[j])
+            i, j = i[near], j[near]
+            keep[i] = keep[j] = True
+            np.minimum.at(lead, j, i)
+            for lo, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                keep[lo : lo + m] = True
+                left = np.arange(lo, lo + m)
+                while len(left):
+                    near = close(tag[left[:1]], n[left[:1]], tag[left], n[left])
+                    lead[left[near]] = left[0]
+                    left = left[~near]
+            if keep.any():
+                arrays = [*(c[keep] for c in cols), node[lead[keep]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[*NAMES, "lead"])
+
+    return run
+
+
+def _across(close: Close):
+    """Pairs of close mates in different groups."""
+
+    def pairs(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, tag, n, root in _whole_buckets(batches, [*NAMES, "root"]):
+            start, size = _buckets(bucket)
+            i, j = _small_pairs(start[size <= SMALL], size[size <= SMALL])
+            open_ = root[i] != root[j]
+            i, j = i[open_], j[open_]
+            near = close(tag[i], n[i], tag[j], n[j])
+            if near.any():
+                yield pairs(node, i[near], j[near])
+            for lo, m in zip(start[size > SMALL], size[size > SMALL], strict=True):
+                all_ = np.arange(lo, lo + m)
+                roots, times = np.unique(root[all_], return_counts=True)
+                for x in all_[root[all_] != roots[times.argmax()]]:
+                    y = all_[(root[all_] != root[x])]
+                    y = y[close(tag[x : x + 1], n[x : x + 1], tag[y], n[y])]
+                    if len(y):
+                        yield pairs(node, np.full(len(y), x), y)
+
+    return run
+
+
+def close_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], close: Close) -> DataFrame:
+    """(node, root) of the groups that verified pairs of close bucket mates connect.
+
+    ``members`` has bucket, node, tag and n, all bigint; ``close`` compares tags and n of rows and says
+    no only to pairs that ``verify`` would not return.  As ``group_links``: each member first against
+    one close mate, then close mates that are still in different groups.  Pairs are made within sorted
+    buckets, so members move and no product is shuffled but for the pairs that are close.
+    """
+    schema = "bucket bigint, node bigint, tag bigint, n bigint"
+    sorted_ = members.repartition("bucket").sortWithinPartitions("bucket", "node")
+    shared = materialize(sorted_.mapInArrow(_leads(close), schema + ", lead bigint"))
+    stars = shared.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    stars = materialize(stars.distinct())
+    groups = connected_groups(materialize(verify(stars).select("a", "b")))
+    placed = shared.join(groups, "node", "left").select(*NAMES, F.coalesce("root", "node").alias("root"))
+    placed = placed.repartition("bucket").sortWithinPartitions("bucket", "node")
+    rest = placed.mapInArrow(_across(close), "a bigint, b bigint").distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return groups
+    more = verify(rest).select("a", "b")
+    ties = groups.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return connected_groups(ties.union(more))
