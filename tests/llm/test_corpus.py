@@ -352,6 +352,19 @@ def test_contaminated(spark):
     assert decontam.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_shortest_items_are_found(spark):
+    """Items of one to ten shingles, whole within long documents."""
+    rng = random.Random(23)
+    items = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(5 + k % 10)) for k in range(600)]
+    docs = []
+    for k in range(0, len(items), 4):
+        rest = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+        docs.append(" ".join(x for pair in zip(rest, [*items[k : k + 4], ""]) for x in pair))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table(spark, docs), bench).collect()}
+    assert got == {(k // 4, k) for k in range(len(items))}
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 333, "b": 333, "c": 1, "d": 333}])
 def test_period_is_fair(weights):
     total = sum(weights.values())
@@ -430,6 +443,24 @@ def test_language(spark):
     assert (none["lang_pred"], none["score"]) == ("und", 0.0)
 
 
+def test_mixed_and_unlabelled_texts_stay(spark):
+    rng = random.Random(31)
+    own = {
+        "en": "the and of with that this from have they would there which".split(),
+        "de": "der und die nicht mit eine auch werden über zwischen können".split(),
+        "fr": "le et les dans pour que avec être cette leur où même".split(),
+    }
+    langs = [rng.choice(list(own)) for _ in range(120)]
+    texts = [" ".join(rng.choice(own[x]) for _ in range(40)) for x in langs]
+    parts = [(x, n) for x, n in (("en", 40), ("de", 30), ("fr", 30))]
+    texts.append(" ".join(rng.choice(own[x]) for x, n in parts for _ in range(n)))
+    texts += ["...", None]
+    docs = table(spark, texts, [*langs, None, None, None])
+    assert {r["doc_id"] for r in langid.keep_known_language(docs).collect()} == set(range(121))
+    bare = table(spark, texts, [None] * len(texts))
+    assert {r["doc_id"] for r in langid.keep_known_language(bare).collect()} == set(range(121))
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     labels = ["a", "b", "c"]

@@ -24,7 +24,7 @@ from tillwise.llm.common import SHINGLE, SIMILARITY, batch_words, ship, shingle_
 HASHES = 64
 ITEMS_PER_PASS = 4096
 ITEM_BYTES_PER_PASS = 8_000_000
-SMALLEST_CLASS = 4  # 16 shingles
+SMALLEST_CLASS = 0  # one shingle
 
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -34,7 +34,7 @@ Block = list[tuple[int, np.ndarray]]
 
 
 def size_class(n: int) -> int:
-    """The least power of two that holds ``n`` shingles, 16 at least."""
+    """Exponent of the least power of two that holds ``n`` shingles."""
     return max(SMALLEST_CLASS, int(n - 1).bit_length())
 
 

@@ -392,19 +392,29 @@ def _texts_label(labeller: _Labeller | None, texts: list[str | None]):
     return names, np.clip(score, 0, 1), size, [labels[i] for i in word[first]], runs, np.searchsorted(first, at)
 
 
+def _explained(labeller: _Labeller | None, texts: list[str | None], least: float) -> np.ndarray:
+    """Whether the most likely labels of a text's words, one or many, have a mean probability of ``least``."""
+    if labeller is None:
+        return np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
+    prob, at = labeller.label(texts)
+    size = np.diff(at)
+    total = np.zeros(len(texts))
+    if len(prob):
+        total[size > 0] = np.add.reduceat(prob.max(axis=1), at[:-1][size > 0])
+    return (size > 0) & (total >= least * size)
+
+
 def _labelled(model, keep: list[str] | None, least: float):
-    """Adds labels to batches, or with ``keep`` passes on the rows whose label is sure enough."""
+    """Adds labels to batches, or with ``keep`` passes on the rows whose words have sure enough labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _Labeller(model.value) if model.value is not None else None
         for b in small_batches(batches, BATCH_BYTES):
-            names, score, size, run_labels, runs, offsets = _texts_label(
-                labeller, b.column("text").to_pylist()
-            )
+            texts = b.column("text").to_pylist()
             if keep:
-                sure = [x != UNDETERMINED and s >= least for x, s in zip(names, score, strict=True)]
-                yield b.filter(pa.array(sure)).select(keep)
+                yield b.filter(pa.array(_explained(labeller, texts, least), pa.bool_())).select(keep)
                 continue
+            names, score, size, run_labels, runs, offsets = _texts_label(labeller, texts)
             pieces = pa.StructArray.from_arrays(
                 [pa.array(run_labels, pa.string()), pa.array(runs, pa.int32())], names=["lang", "words"]
             )
@@ -444,7 +454,11 @@ def predict_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without texts of no language or with less than ``least`` of any; all their columns."""
+    """``docs`` without texts that no known language explains; all their columns.
+
+    Each word counts with its own most likely language, so texts in several languages stay; their words'
+    mean probability must be ``least``.  Without a model all texts with letters stay.
+    """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     return docs.mapInArrow(_labelled(model, docs.columns, least), docs.schema)
