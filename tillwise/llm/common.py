@@ -84,10 +84,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _LOWER[raw], cuts - cuts[0]
 
 
-def cut_words(data: np.ndarray, cuts: np.ndarray) -> Words:
-    """Words of the texts ``cuts[i]:cuts[i + 1]``; a word never crosses a cut."""
+def cut_words(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """Words of the texts ``cuts[i]:cuts[i + 1]``; a word never crosses a cut.
+
+    ``between`` flags the bytes that are in no word.
+    """
     word = np.zeros(len(data) + 1, bool)
-    np.logical_not(_SPACE[data], out=word[:-1])
+    np.logical_not(between[data], out=word[:-1])
     edge = np.zeros(len(data) + 1, bool)
     edge[cuts] = True
     begins = word[:-1].copy()

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.llm import decontam, exact, jaccard, langid, lines, lm, mixing, pagetext, pii, quality
+from tillwise.llm import (
+    align,
+    decontam,
+    exact,
+    jaccard,
+    langid,
+    lines,
+    lm,
+    mixing,
+    pagetext,
+    pii,
+    quality,
+    search,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +75,20 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.alignment(_table(spark, folder, "documents"))
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, folder, "pages"))
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.lexical_search(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -73,8 +101,15 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_pii": op9_pii,
         "op10_decontamination": op10_decontamination,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_url_filter": op12_url_filter,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.SQL, "op10_decontamination": decontam.SQL}
+    return {
+        "op6_exact_dedup": exact.SQL,
+        "op10_decontamination": decontam.SQL,
+        "op13_lexical_search": search.SQL,
+    }
