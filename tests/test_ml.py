@@ -4,10 +4,9 @@ import random
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tillwise.ml import classify, cluster, explain, forecast, metrics
+from tillwise.ml import classify, cluster, forecast, metrics
 from tillwise.operators.features import FEATURES, stratified_split
 
 
@@ -65,6 +64,18 @@ def test_metrics_against_brute_force(spark, levels):
     assert top["tpr"] == sum(y and s >= top["threshold"] for y, s in rows) / sum(y for y, _ in rows)
 
 
+def test_area_by_keys_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b"]), rng.choice([None, 1]), int(rng.random() < 0.4), rng.randint(0, 6) / 7) for _ in range(400)]
+    df = spark.createDataFrame(rows, "m string, d int, y int, s double").repartition(5)
+    got = {(r["m"], r["d"]): r["auc"] for r in metrics.auc_by(df, ["m", "d"], "y", "s", None).collect()}
+    for key in [(m, d) for m in "ab" for d in (None, 1)]:
+        assert abs(got[key] - brute_auc([(y, s) for m, d, y, s in rows if (m, d) == key])) < 1e-12
+    with_said = df.withColumn("p", (F.col("s") > 0.5).cast("int"))
+    by = metrics.classification_metrics_by(with_said, ["m"], "y", "s", "p").filter("m = 'a'").drop("m").first()
+    assert by == metrics.classification_metrics(with_said.filter("m = 'a'"), "y", "s", "p").first()
+
+
 def test_one_class_has_no_auc(spark):
     df = spark.createDataFrame([(1, 0.5, 0)], "label int, score double, prediction int")
     got = metrics.classification_metrics(df).first()
@@ -74,18 +85,18 @@ def test_one_class_has_no_auc(spark):
 def test_benchmark_champion_and_tuning(parts):
     train, test = parts
     models = classify.default_models(trees=5, depth=4, rounds=3)
-    fitted = classify.fit_all(classify.with_weights(train), models)
-    ranking = classify.rank_models(fitted, test).cache()
+    ranking = classify.benchmark_models(train, test, models).cache()
     aucs = [r["AUC-ROC"] for r in ranking.collect()]
     assert len(aucs) == 4 and aucs == sorted(aucs, reverse=True) and aucs[0] > 0.8
     assert classify.champion(ranking).first()["AUC-ROC"] == aucs[0]
     folds = classify.with_folds(classify.with_weights(train), "customer_unique_id", 2).cache()
-    result, best = classify.grid_search(folds, {"numTrees": [3], "maxDepth": [2, 4]}, folds=2)
+    grid = {"trees": [3], "max_depth": [2, None], "min_split": [2], "min_leaf": [1]}
+    result, best = classify.grid_search(folds, grid, folds=2)
     assert result.count() == 2 and result.first()["mean_auc"] > 0.7
-    gain = classify.tuned_gain(best, test, ranking).first()
+    gain = classify.tuned_gain(best, train, test, ranking).first()
     assert abs(gain["gain"] - (gain["tuned_auc"] - aucs[0])) < 1e-3
-    cv = classify.cross_validate(folds, {"lr": classify.logistic_regression()}, folds=2).first()
-    assert cv["mean_auc"] > 0.7 and cv["std_auc"] >= 0
+    cv = {r["model"]: r for r in classify.cross_validate(folds, models, folds=2).collect()}
+    assert len(cv) == 4 and all(r["mean_auc"] > 0.7 and r["std_auc"] >= 0 for r in cv.values())
 
 
 def test_balanced_weights(parts):
@@ -103,44 +114,6 @@ def test_score_only(spark):
     assert abs(got["full_gain"] - (0.9 - got["score_only_auc"])) < 1e-9
 
 
-def test_attribution_adds_up_to_the_prediction(parts):
-    train, test = parts
-    fitted = classify.random_forest(trees=6, depth=5, balanced=False).fit(train)
-    model = fitted.stages[-1]
-    rows = explain.explain_rows(model, test, FEATURES, "customer_unique_id")
-    scored = fitted.transform(test).select("customer_unique_id", vector_to_array("probability")[1].alias("p"))
-    joined = rows.join(scored, "customer_unique_id").collect()
-    assert len(joined) == test.count()
-    for r in joined:
-        assert abs(r["base"] + sum(r["phi"]) - r["p"]) < 1e-9
-    ranked = explain.explain_forest(model, test, FEATURES, "customer_unique_id").collect()
-    assert len(ranked) == 11 and ranked[0]["feature"] == "avg_freight_ratio"
-
-
-def test_attribution_equals_the_subset_definition():
-    """Shapley factors of one leaf against the sum over all subsets."""
-    from itertools import combinations
-
-    import numpy as np
-
-    shares = np.array([0.3, 0.6, 0.5])
-    for code in range(8):
-        o = np.array([[code >> j & 1 for j in range(3)]], dtype=float)
-        got = explain._path_weights(o, shares)[0]
-
-        def reach(subset):
-            return math.prod(o[0][k] if k in subset else shares[k] for k in range(3))
-
-        for j in range(3):
-            others = [k for k in range(3) if k != j]
-            want = 0.0
-            for size in range(3):
-                for s in combinations(others, size):
-                    w = math.factorial(size) * math.factorial(2 - size) / 6
-                    want += w * (reach({*s, j}) - reach(set(s)))
-            assert abs(got[j] - want) < 1e-12
-
-
 def test_clusters(spark):
     rng = random.Random(5)
     rows = []

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.ml.metrics import auc, classification_metrics
+from tillwise.ml import boost, forest
+from tillwise.ml.metrics import auc, auc_by, classification_metrics_by
+from tillwise.ml.trees import Rule, bin_edges, binned_rows
 from tillwise.operators.features import FEATURES, LABEL
 from tillwise.params import DEFAULTS
 from tillwise.session import materialize
@@ -39,60 +40,101 @@ def with_weights(df: DataFrame, label: str = LABEL, positive_weight: float = 0.7
     balanced = F.lit(1.0)
     for value, n in counts.items():
         balanced = F.when(F.col(label) == value, F.lit(total / (2.0 * n))).otherwise(balanced)
-    boost = F.when(F.col(label) == 1, F.lit(positive_weight)).otherwise(F.lit(1.0))
-    return df.withColumns({WEIGHT: balanced, BOOST_WEIGHT: boost})
+    boost_weight = F.when(F.col(label) == 1, F.lit(positive_weight)).otherwise(F.lit(1.0))
+    return df.withColumns({WEIGHT: balanced, BOOST_WEIGHT: boost_weight})
 
 
-def _pipeline(features: list[str], model: Estimator, scaled: bool = False) -> Pipeline:
-    inputs = VectorAssembler(inputCols=check_inputs(features), outputCol="inputs")
-    stages = [inputs]
-    if scaled:
-        stages.append(
-            StandardScaler(inputCol="inputs", outputCol="scaled", withMean=True, withStd=True)
-        )
-    return Pipeline(stages=[*stages, model.setFeaturesCol("scaled" if scaled else "inputs")])
+@dataclass(frozen=True)
+class Logistic:
+    features: list[str]
+    scaled: bool = True
 
+    def pipeline(self) -> Pipeline:
+        stages = [VectorAssembler(inputCols=self.features, outputCol="inputs")]
+        if self.scaled:
+            stages.append(
+                StandardScaler(inputCol="inputs", outputCol="scaled", withMean=True, withStd=True)
+            )
+        model = LogisticRegression(labelCol=LABEL, weightCol=WEIGHT, regParam=0.0, maxIter=100)
+        return Pipeline(stages=[*stages, model.setFeaturesCol("scaled" if self.scaled else "inputs")])
 
-def logistic_regression(features: list[str] = FEATURES, scaled: bool = True) -> Pipeline:
-    model = LogisticRegression(labelCol=LABEL, weightCol=WEIGHT, regParam=0.0, maxIter=100)
-    return _pipeline(features, model, scaled)
+    def held_out(self, rows: DataFrame, folds: list[int], id_col: str) -> DataFrame:
+        """(fold, label, score) of each fold's rows by a fit on all others."""
+        found = []
+        for fold in folds:
+            model = self.pipeline().fit(rows.filter(F.col("fold") != fold))
+            scored = model.transform(rows.filter(F.col("fold") == fold))
+            found.append(
+                scored.select("fold", F.col(LABEL).alias("label"), vector_to_array("probability")[1].alias("score"))
+            )
+        return reduce(DataFrame.unionByName, found)
+
+
+@dataclass(frozen=True)
+class RandomForest:
+    features: list[str]
+    trees: int = 100
+    rule: Rule | None = None
+    weight: str | None = WEIGHT
+
+    def held_out(self, rows: DataFrame, folds: list[int], id_col: str) -> DataFrame:
+        cut = _binned(rows, self.features, folds, id_col, self.weight)
+        fits = [(f, self.rule or forest.rule_of(len(self.features))) for f in folds]
+        found = forest.held_out_scores(cut, len(self.features), fits, [forest.Stop()], [self.trees])
+        fold = F.get(F.array(*[F.lit(f) for f in folds]), F.col("fit"))
+        return found.select(fold.alias("fold"), "label", "score")
+
+
+@dataclass(frozen=True)
+class BoostedTrees:
+    features: list[str]
+    how: boost.Boosting = boost.SECOND_ORDER
+    weight: str | None = None
+
+    def held_out(self, rows: DataFrame, folds: list[int], id_col: str) -> DataFrame:
+        cut = _binned(rows, self.features, folds, id_col, self.weight)
+        return boost.boost(cut, len(self.features), folds, self.how).held_out().drop("row")
+
+
+Model = Logistic | RandomForest | BoostedTrees
+
+
+def _binned(rows: DataFrame, features: list[str], folds: list[int], id_col: str, weight: str | None) -> DataFrame:
+    """Binned rows, cut at quantiles of the learning rows where only one fold is held out."""
+    seen = rows.filter(F.col("fold") != folds[0]) if len(folds) == 1 else rows
+    return materialize(binned_rows(rows, features, bin_edges(seen, features), id_col, LABEL, weight, "fold"))
+
+
+def logistic_regression(features: list[str] = FEATURES, scaled: bool = True) -> Logistic:
+    return Logistic(check_inputs(features), scaled)
 
 
 def random_forest(
     features: list[str] = FEATURES,
     trees: int = 100,
-    depth: int = 20,
+    depth: int | None = None,
+    min_split: int = 2,
+    min_leaf: int = 1,
     balanced: bool = True,
-    seed: int = DEFAULTS.seed,
-) -> Pipeline:
-    model = RandomForestClassifier(
-        labelCol=LABEL, numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False
-    )
-    if balanced:
-        model = model.setWeightCol(WEIGHT)
-    return _pipeline(features, model)
+) -> RandomForest:
+    """Trees of any depth, unless ``depth`` ends them."""
+    rule = forest.rule_of(len(check_inputs(features)), min_leaf, depth, min_split)
+    return RandomForest(features, trees, rule, WEIGHT if balanced else None)
 
 
-def gradient_boosting(
-    features: list[str] = FEATURES, rounds: int = 100, seed: int = DEFAULTS.seed
-) -> Pipeline:
-    model = GBTClassifier(labelCol=LABEL, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)
-    return _pipeline(features, model)
+def gradient_boosting(features: list[str] = FEATURES, rounds: int = 100) -> BoostedTrees:
+    how = boost.Boosting(rounds, boost.GRADIENT.depth, boost.GRADIENT.rate, second_order=False)
+    return BoostedTrees(check_inputs(features), how)
 
 
-def boosted_weighted(
-    features: list[str] = FEATURES, rounds: int = 100, seed: int = DEFAULTS.seed
-) -> Pipeline:
-    """Deeper, faster-learning boosting with positives weighted 0.7."""
-    model = GBTClassifier(
-        labelCol=LABEL, weightCol=BOOST_WEIGHT, maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed
-    )
-    return _pipeline(features, model)
+def boosted_weighted(features: list[str] = FEATURES, rounds: int = 100) -> BoostedTrees:
+    """Deeper, faster-learning second-order boosting with positives weighted 0.7."""
+    return BoostedTrees(check_inputs(features), boost.Boosting(rounds), BOOST_WEIGHT)
 
 
 def default_models(
-    features: list[str] = FEATURES, trees: int = 100, depth: int = 20, rounds: int = 100
-) -> dict[str, Pipeline]:
+    features: list[str] = FEATURES, trees: int = 100, depth: int | None = None, rounds: int = 100
+) -> dict[str, Model]:
     return {
         "Logistic Regression": logistic_regression(features),
         "Random Forest": random_forest(features, trees, depth),
@@ -101,35 +143,41 @@ def default_models(
     }
 
 
-def score(model: Model, df: DataFrame, label: str = LABEL) -> DataFrame:
-    """label, score (probability of class 1) and prediction per row, stored once."""
-    scored = model.transform(df).select(
-        F.col(label).alias("label"),
-        vector_to_array("probability")[1].alias("score"),
-        F.col("prediction").cast("int").alias("prediction"),
-    )
-    return materialize(scored)
+def stacked_scores(
+    rows: DataFrame, models: dict[str, Model], folds: list[int], id_col: str
+) -> DataFrame:
+    """(model, fold, label, score, prediction) of every held-out row, all models in one stored table.
 
+    ``rows`` has ``fold`` and the weights; each model learns from the rows outside of a fold.
+    """
+    found = [
+        m.held_out(rows, folds, id_col).select(F.lit(name).alias("model"), "fold", "label", "score")
+        for name, m in models.items()
+    ]
+    stacked = reduce(DataFrame.unionByName, found)
+    return materialize(stacked.withColumn("prediction", (F.col("score") > 0.5).cast("int")))
 
-def fit_all(train: DataFrame, models: dict[str, Pipeline]) -> dict[str, Model]:
-    return {name: model.fit(train) for name, model in models.items()}
+
+def test_scores(
+    train: DataFrame, test: DataFrame, models: dict[str, Model], id_col: str
+) -> DataFrame:
+    """Stacked scores of the test rows; class weights come from the train rows."""
+    learnt = with_weights(train).withColumn("fold", F.lit(1))
+    held = test.withColumns({WEIGHT: F.lit(1.0), BOOST_WEIGHT: F.lit(1.0), "fold": F.lit(0)})
+    return stacked_scores(materialize(learnt.unionByName(held)), models, [0], id_col)
 
 
-def rank_models(fitted: dict[str, Model], test: DataFrame) -> DataFrame:
+def rank_models(stacked: DataFrame) -> DataFrame:
     """One row per model with its hold-out metrics, best AUC first."""
-    rows = [
-        classification_metrics(score(model, test)).select(F.lit(name).alias("Model"), "*")
-        for name, model in fitted.items()
-    ]
-    ranked = reduce(DataFrame.unionByName, rows)
-    return ranked.orderBy(F.col("AUC-ROC").desc(), "Model")
+    found = classification_metrics_by(stacked, ["model"]).withColumnRenamed("model", "Model")
+    return found.orderBy(F.col("AUC-ROC").desc(), "Model")
 
 
 def benchmark_models(
-    train: DataFrame, test: DataFrame, models: dict[str, Pipeline] | None = None
+    train: DataFrame, test: DataFrame, models: dict[str, Model] | None = None, id_col: str = "customer_unique_id"
 ) -> DataFrame:
-    """Fits every model on ``train`` and ranks them on ``test``; both materialized frames."""
-    return rank_models(fit_all(with_weights(train), models or default_models()), test)
+    """Fits every model on ``train`` and ranks them on ``test``."""
+    return rank_models(test_scores(train, test, models or default_models(), id_col))
 
 
 def champion(ranking: DataFrame) -> DataFrame:
@@ -146,36 +194,18 @@ def with_folds(
     )
 
 
-def _validator(pipeline: Pipeline, grid: list, folds: int, parallelism: int) -> CrossValidator:
-    area = BinaryClassificationEvaluator(
-        labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
-    )
-    return CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=area,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-
-
 def cross_validate(
     train: DataFrame,
-    models: dict[str, Pipeline],
+    models: dict[str, Model] | None = None,
     folds: int = DEFAULTS.cv_folds,
-    parallelism: int = 2,
+    id_col: str = "customer_unique_id",
 ) -> DataFrame:
     """Mean and standard deviation (population) of the AUC over the folds of ``with_folds``."""
-    rows = []
-    for name, pipeline in models.items():
-        fitted = _validator(pipeline, [{}], folds, parallelism).fit(train)
-        rows.append((name, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])))
-    return train.sparkSession.createDataFrame(rows, "model string, mean_auc double, std_auc double")
-
-
-# fixed values: the forest sizes that are tried
-FULL_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+    scored = stacked_scores(train, models or default_models(), list(range(folds)), id_col)
+    each = auc_by(scored, ["model", "fold"], "label", "score", None)
+    return each.groupBy("model").agg(
+        F.round(F.avg("auc"), 9).alias("mean_auc"), F.round(F.stddev_pop("auc"), 9).alias("std_auc")
+    )
 
 
 def grid_search(
@@ -183,42 +213,30 @@ def grid_search(
     grid: dict[str, list] | None = None,
     folds: int = DEFAULTS.cv_folds,
     features: list[str] = FEATURES,
-    parallelism: int = 2,
-) -> tuple[DataFrame, Model]:
-    """Forest sizes with their cross-validated AUC, best first, and the model refitted with the best.
+    id_col: str = "customer_unique_id",
+) -> tuple[DataFrame, RandomForest]:
+    """Forest sizes with their cross-validated AUC, best first, and the best forest, not fitted."""
+    found = forest.grid_search(train, check_inputs(features), id_col, LABEL, WEIGHT, folds, grid)
+    return found, RandomForest(features, *forest.best_rule(found, len(features)))
 
-    Spark's forest has no counterpart of a least number of rows to split a node.
-    """
-    pipeline = random_forest(features)
-    forest = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    grid = grid or FULL_GRID
-    for name, values in grid.items():
-        builder = builder.addGrid(forest.getParam(name), values)
-    maps = builder.build()
-    fitted = _validator(pipeline, maps, folds, parallelism).fit(train)
-    rows = [
-        (*[int(m[forest.getParam(name)]) for name in grid], float(mean), float(std))
-        for m, mean, std in zip(maps, fitted.avgMetrics, fitted.stdMetrics)
-    ]
-    schema = ", ".join(f"{name} int" for name in grid) + ", mean_auc double, std_auc double"
-    result = train.sparkSession.createDataFrame(rows, schema)
-    return result.orderBy(F.col("mean_auc").desc(), *grid), fitted.bestModel
 
-
-def tuned_gain(tuned: Model, test: DataFrame, ranking: DataFrame) -> DataFrame:
+def tuned_gain(
+    tuned: Model, train: DataFrame, test: DataFrame, ranking: DataFrame, id_col: str = "customer_unique_id"
+) -> DataFrame:
     """Test AUC of the tuned model and what it gains on the champion."""
     best = champion(ranking).select("AUC-ROC").scalar()
-    tested = auc(score(tuned, test), "label", "score").withColumnRenamed("auc", "tuned_auc")
+    scored = test_scores(train, test, {"tuned": tuned}, id_col)
+    tested = auc(scored, "label", "score").withColumnRenamed("auc", "tuned_auc")
     return tested.withColumn("gain", F.round(F.col("tuned_auc") - best, 4))
 
 
 def score_only_model(
-    train: DataFrame, test: DataFrame, full_auc: float | None = None
+    train: DataFrame, test: DataFrame, full_auc: float | None = None, id_col: str = "order_id"
 ) -> DataFrame:
     """AUC of a model that only knows the review score, and the gain of a full model on it."""
-    model = logistic_regression(["review_score"], scaled=False).fit(with_weights(train))
-    alone = auc(score(model, test), "label", "score").withColumnRenamed("auc", "score_only_auc")
+    alone = {"score": logistic_regression(["review_score"], scaled=False)}
+    scored = test_scores(train, test, alone, id_col)
+    found = auc(scored, "label", "score").withColumnRenamed("auc", "score_only_auc")
     if full_auc is None:
-        return alone
-    return alone.withColumn("full_gain", F.round(F.lit(full_auc) - F.col("score_only_auc"), 4))
+        return found
+    return found.withColumn("full_gain", F.round(F.lit(full_auc) - F.col("score_only_auc"), 4))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import cents, money, ratio_round
+from tillwise.ml import kmeans
 from tillwise.params import DEFAULTS
 from tillwise.session import materialize
 
@@ -35,35 +35,26 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("_s", stats).withColumns(scaled).drop("_s")
 
 
-def _vectors(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Standardized vectors next to the columns, stored: every iteration reads them."""
-    scaled = standardize(materialize(df.dropna()), cols)
-    assembler = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")
-    kept = assembler.transform(scaled).drop(*[f"z_{c}" for c in cols])
-    return materialize(kept)
-
+def _points(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows without NULL with their standardized coordinates z and a hash of the row, stored."""
+    whole = materialize(df.dropna())
+    row = F.xxhash64(*whole.columns)
+    scaled = standardize(whole, cols).withColumns({"z": F.array(*[f"z_{c}" for c in cols]), "row": row})
+    return materialize(scaled.drop(*[f"z_{c}" for c in cols]))
 
-def _best_fit(vectors: DataFrame, k: int, seeds: list[int]) -> KMeansModel:
-    """Fit with the least inertia over several starts."""
-    fits = [KMeans(k=k, seed=seed, maxIter=300, tol=1e-4).fit(vectors) for seed in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
 
-
-def _seeds(starts: int) -> list[int]:
+def _starts(starts: int) -> list[int]:
     return [DEFAULTS.seed + i for i in range(starts)]
 
 
 def kmeans_scan(
     df: DataFrame, cols: list[str] | None = None, ks=CLUSTER_COUNTS, starts: int = 10
 ) -> DataFrame:
-    """Inertia and (squared-Euclidean) silhouette for each number of clusters."""
-    vectors = _vectors(df, cols or RFM_COLUMNS).select("features")
-    evaluator = ClusteringEvaluator(metricName="silhouette")
-    rows = []
-    for k in ks:
-        model = _best_fit(vectors, k, _seeds(starts))
-        silhouette = evaluator.evaluate(model.transform(vectors))
-        rows.append((k, float(model.summary.trainingCost), float(silhouette)))
+    """Inertia and (squared-Euclidean) silhouette of the best start for each number of clusters."""
+    points = _points(df, cols or RFM_COLUMNS).select("z", "row")
+    best = kmeans.best_of(kmeans.fit_all(points, list(ks), _starts(starts)))
+    shapes = kmeans.silhouettes(points, list(best.values())) if best else []
+    rows = [(f.k, float(f.inertia), float(s)) for f, s in zip(best.values(), shapes, strict=True)]
     schema = "k int, inertia double, silhouette double"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -86,10 +77,23 @@ def kmeans_assign(
     df: DataFrame, k: int, cols: list[str] | None = None, starts: int = 10
 ) -> DataFrame:
     """Rows without NULL with their cluster number."""
-    vectors = _vectors(df, cols or RFM_COLUMNS)
-    model = _best_fit(vectors.select("features"), k, _seeds(starts))
-    assigned = model.transform(vectors).drop("features")
-    return assigned.withColumnRenamed("prediction", "cluster")
+    points = _points(df, cols or RFM_COLUMNS)
+    best = kmeans.best_of(kmeans.fit_all(points.select("z", "row"), [k], _starts(starts)))
+    return points.withColumn("cluster", _nearest(best[k].centres if best else [])).drop("z", "row")
+
+
+def _nearest(centres) -> Column:
+    """Number of the nearest of a few centres, the least of equals."""
+    if not len(centres):
+        return F.lit(0)
+    far = [
+        F.struct(
+            reduce(Column.__add__, [F.pow(F.col("z")[i] - F.lit(float(v)), F.lit(2.0)) for i, v in enumerate(c)]),
+            F.lit(n).alias("n"),
+        )
+        for n, c in enumerate(centres)
+    ]
+    return F.array_min(F.array(*far))["n"]
 
 
 def cluster_profile(df: DataFrame) -> DataFrame:

@@ -1,118 +1,102 @@
-"""Additive attribution of forest predictions (path-dependent tree Shapley values)."""
+"""Additive attribution of forest predictions (path-dependent tree Shapley values).
 
-from __future__ import annotations
+A leaf counts in so far as a row goes its way: for a subset of known features, the product over the
+path's features of 1 or 0 if known and of the share of learning rows if not.  As a polynomial in t, the
+chance that a feature is known, that product is a factor per feature, and a feature's Shapley value is
+the integral over t of the product of all other factors.  Factors are gathered down the tree; the
+integral of a polynomial is a short exact sum (Gauss-Legendre), so depth and the number of subsets do
+not matter, only leaves times features.
+
+Trees come in slices of the stored forest, rows in blocks; neither the driver nor a task holds all
+leaves, and a row's values are summed over the slices.
+"""
 
-from collections.abc import Iterator
-from math import factorial
+from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.session import scratch_path
+from tillwise.ml.forest import Forest
+from tillwise.ml.trees import Nodes, Rows
+
+PAIRS_AT_ONCE = 100_000  # rows times leaves
 
 
-def forest_leaves(model: RandomForestClassificationModel, df: DataFrame) -> tuple[list, int]:
-    """Every leaf as (class-1 share, [(feature, low, high, share of rows)]), and the tree count.
+def leaf_boxes(tree: Nodes, width: int) -> tuple[np.ndarray, ...]:
+    """Per leaf: value, and per feature the bins low < x <= high that lead there and the share that does.
 
-    A row reaches the leaf when low < x <= high for each feature on its path;
-    the share is the part of the training rows that goes the leaf's way at the
-    splits on that feature.  Read from the saved model: its size does not depend
-    on the data.
+    The share is the part of the learning rows that goes the leaf's way at the splits on the feature.
     """
-    path = scratch_path(df.sparkSession)
-    model.write().save(path)
-    nodes = df.sparkSession.read.parquet(path + "/data").select("treeID", "nodeData.*").collect()
-    trees: dict[int, dict[int, object]] = {}
-    for node in nodes:
-        trees.setdefault(node["treeID"], {})[node["id"]] = node
-    leaves = []
-    for tree in trees.values():
-        stack = [(0, {})]
-        while stack:
-            at, path_so_far = stack.pop()
-            node = tree[at]
-            stats = np.asarray(node["impurityStats"], dtype=float)
-            if node["leftChild"] < 0:
-                box = [(f, *edge) for f, edge in path_so_far.items()]
-                leaves.append((float(stats[1] / stats.sum()), box))
-                continue
-            feature = node["split"]["featureIndex"]
-            cut = node["split"]["leftCategoriesOrThreshold"][0]
-            low, high, share = path_so_far.get(feature, (-np.inf, np.inf, 1.0))
-            for child, edge in (
-                (node["leftChild"], (low, min(high, cut))),
-                (node["rightChild"], (max(low, cut), high)),
-            ):
-                part = sum(tree[child]["impurityStats"]) / stats.sum()
-                stack.append((child, {**path_so_far, feature: (*edge, share * part)}))
-    return leaves, len(trees)
-
-
-def _path_weights(followed: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Shapley factor of each feature of a path for each pattern of followed splits."""
-    m = len(shares)
-    factor = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-    out = np.empty(followed.shape)
-    for j in range(m):
-        poly = np.zeros((len(followed), m))
-        poly[:, 0] = 1.0
-        for k in range(m):
-            if k != j:
-                shifted = np.zeros_like(poly)
-                shifted[:, 1:] = poly[:, :-1] * followed[:, [k]]
-                poly = poly * shares[k] + shifted
-        out[:, j] = (followed[:, j] - shares[j]) * (poly @ factor)
-    return out
-
-
-def _attribute(x: np.ndarray, leaves: list, trees: int) -> np.ndarray:
+    cover = np.maximum(tree.a + tree.b, 1)
+    at = np.zeros(1, np.int64)
+    low, high, share = np.full((1, width), -1), np.full((1, width), 1 << 15), np.ones((1, width))
+    found = []
+    while len(at):
+        leaf = tree.feature[at] < 0
+        found.append((tree.a[at[leaf]] / cover[at[leaf]], low[leaf], high[leaf], share[leaf]))
+        at, low, high, share = at[~leaf], low[~leaf], high[~leaf], share[~leaf]
+        f, cut, row = tree.feature[at], tree.bin[at], np.arange(len(at))
+        sides = []
+        for child in (tree.left[at], tree.right[at]):
+            lo, hi, part = low.copy(), high.copy(), share.copy()
+            part[row, f] *= cover[child] / cover[at]
+            sides.append((child, lo, hi, part))
+        sides[0][2][row, f] = np.minimum(high[row, f], cut)
+        sides[1][1][row, f] = np.maximum(low[row, f], cut)
+        at, low, high, share = (np.concatenate(c) for c in zip(*sides, strict=True))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def attribute(x: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray):
+    """Shapley values (rows x features) of the sum of some leaves."""
+    width = x.shape[1]
+    spots, weights = np.polynomial.legendre.leggauss(width // 2 + 1)
     phi = np.zeros(x.shape)
-    for value, box in leaves:
-        if not box or value == 0.0:
-            continue
-        at = [f for f, *_ in box]
-        low, high, shares = (np.array(c) for c in list(zip(*box))[1:])
-        inside = (x[:, at] > low) & (x[:, at] <= high)
-        codes, index = np.unique(inside @ (1 << np.arange(len(at))), return_inverse=True)
-        patterns = (codes[:, None] >> np.arange(len(at)) & 1).astype(float)
-        phi[:, at] += value / trees * _path_weights(patterns, shares)[index]
+    for i in range(0, len(value), max(PAIRS_AT_ONCE // max(len(x), 1), 1)):
+        part = slice(i, i + max(PAIRS_AT_ONCE // max(len(x), 1), 1))
+        inside = (x[:, None, :] > low[part]) & (x[:, None, :] <= high[part])
+        gap = inside - share[part]
+        for t, w in zip((spots + 1) / 2, weights / 2, strict=True):
+            factor = share[part] + t * gap
+            whole = factor.prod(axis=2) * (w * value[part])
+            phi += (gap / factor * whole[:, :, None]).sum(axis=1)
     return phi
 
 
-def explain_rows(
-    model: RandomForestClassificationModel, df: DataFrame, features: list[str], id_col: str
-) -> DataFrame:
+def explain_rows(model: Forest, df: DataFrame, id_col: str) -> DataFrame:
     """Per row: base value and one contribution per feature; they add up to the class-1 probability.
 
-    All rows are explained, in Arrow batches on the executors; only the leaves
-    of the model are sent there.
+    ``id_col`` is unique.
     """
-    leaves, trees = forest_leaves(model, df)
-    base = sum(v * np.prod([s for *_, s in box]) for v, box in leaves) / trees
-    shared = df.sparkSession.sparkContext.broadcast((leaves, trees))
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, count = shared.value
-        for frame in frames:
-            phi = _attribute(frame[features].to_numpy(dtype=float), known, count)
-            yield pd.DataFrame({id_col: frame[id_col], "base": base, "phi": list(phi)})
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    inputs = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in features])
-    return inputs.mapInPandas(batches, f"{id_col} {id_type}, base double, phi array<double>")
-
-
-def explain_forest(
-    model: RandomForestClassificationModel, df: DataFrame, features: list[str], id_col: str
-) -> DataFrame:
+    width = len(model.features)
+
+    def work(trees: list[Nodes], rows: Rows) -> pa.Table:
+        phi, base = np.zeros(rows.x.shape), 0.0
+        for tree in trees:
+            value, *boxes = leaf_boxes(tree, width)
+            phi += attribute(rows.x, value, *boxes)
+            base += float((value * boxes[2].prod(axis=1)).sum())
+        at = pa.array(np.arange(len(rows.row) + 1, dtype=np.int32) * width)
+        listed = pa.ListArray.from_arrays(at, pa.array(phi.ravel()))
+        return pa.table({"row": rows.row, "base": np.full(len(rows.row), base), "phi": listed})
+
+    parts = model.by_slices(df, id_col, work, "row bigint, base double, phi array<double>")
+    trees = model.trees
+    sums = [(F.sum(F.col("phi")[i]) / trees).alias(f"_{i}") for i in range(width)]
+    total = parts.groupBy("row").agg((F.sum("base") / trees).alias("base"), *sums)
+    phi = F.array(*[f"_{i}" for i in range(width)]).alias("phi")
+    ids = df.select(id_col, F.xxhash64(id_col).alias("row"))
+    return ids.join(total, "row").select(id_col, "base", phi)
+
+
+def explain_forest(model: Forest, df: DataFrame, id_col: str) -> DataFrame:
     """Mean absolute contribution per feature, largest first."""
-    rows = explain_rows(model, df, features, id_col)
-    means = rows.agg(*[F.avg(F.abs(F.col("phi")[i])).alias(f) for i, f in enumerate(features)])
+    rows = explain_rows(model, df, id_col)
+    means = rows.agg(*[F.avg(F.abs(F.col("phi")[i])).alias(f) for i, f in enumerate(model.features)])
     listed = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs_shap")) for f in features]
+        *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mean_abs_shap")) for f in model.features]
     )
     ranked = means.select(F.explode(listed).alias("r")).select("r.*")
     return ranked.orderBy(F.col("mean_abs_shap").desc(), "feature")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 from pyspark.sql.window import Window as W
 
+from tillwise.session import materialize
+
 
 def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
     """The first row of each key in the order of ``order_cols`` (unique within a key).
@@ -170,32 +172,36 @@ def ntile_distributed(
     return out
 
 
-def running_totals(df: DataFrame, order_col: str, sums: list[str]) -> DataFrame:
-    """Adds ``cum_<c>`` = sum of ``c`` over all rows with a key up to this one.
+def running_totals(
+    df: DataFrame, order_col: str, sums: list[str], keys: list[str] | None = None
+) -> DataFrame:
+    """Adds ``cum_<c>`` = sum of ``c`` over the rows of the same ``keys`` with an order up to this one.
 
-    ``order_col`` is a double, unique and not NULL.  Rows are split into value
-    ranges of about equal size; each range is summed up by its own task and
-    shifted by the totals of the ranges before it.  ``df`` is read twice.
+    ``order_col`` is a double, not NULL and unique within ``keys``, which are not NULL.  Rows are split
+    into value ranges of about equal size; each range is summed up by its own task and shifted by what
+    the ranges before it hold, which is a stored table met by range number.  The plan does not grow
+    with the number of ranges.  ``df`` is read three times.
     """
-    ranged = df.repartitionByRange(order_col)
-    reports = (
-        ranged.groupBy(F.spark_partition_id().alias("pid"))
-        .agg(F.min(order_col).alias("lo"), *[F.sum(c).alias(c) for c in sums])
+    keys = keys or []
+    firsts = (
+        df.repartitionByRange(order_col)
+        .groupBy(F.spark_partition_id())
+        .agg(F.min(order_col).alias("lo"))
         .collect()
     )
-    reports.sort(key=lambda r: r["lo"])
-    if len(reports) > 1:
-        splits = [-float("inf"), *[r["lo"] for r in reports[1:]], float("inf")]
-        bucketed = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(df)
+    splits = [-float("inf"), *sorted(r["lo"] for r in firsts)[1:], float("inf")]
+    if len(splits) > 2:
+        ranged = Bucketizer(splits=splits, inputCol=order_col, outputCol="_range").transform(df)
     else:
-        bucketed = df.withColumn("_range", F.lit(0.0))
-    window = W.partitionBy("_range").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0)
-    out = bucketed
-    for c in sums:
-        before = [0, *accumulate(r[c] for r in reports)][: max(len(reports), 1)]
-        shift = F.array(*[F.lit(b).cast("bigint") for b in before])
-        out = out.withColumn(
-            f"cum_{c}",
-            F.sum(c).over(window) + F.element_at(shift, F.col("_range").cast("int") + 1),
+        ranged = df.withColumn("_range", F.lit(0.0))
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_before_{c}") for c in sums])
+    earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shift = materialize(
+        totals.withColumns(
+            {f"_before_{c}": F.coalesce(F.sum(f"_before_{c}").over(earlier), F.lit(0)) for c in sums}
         )
-    return out.drop("_range")
+    )
+    within = W.partitionBy(*keys, "_range").orderBy(order_col).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.join(shift, [*keys, "_range"])
+    cum = {f"cum_{c}": F.sum(c).over(within) + F.col(f"_before_{c}") for c in sums}
+    return out.withColumns(cum).select(*df.columns, *cum)

