@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.session import materialize
@@ -174,8 +174,8 @@ def score_texts(rows: DataFrame, model: DataFrame, order: int = ORDER) -> DataFr
     fine = F.round(F.col("gain") * 1e9).cast("bigint")
     summed = (
         each.join(F.broadcast(model), "gram")
-        .groupBy("_row")
-        .agg(F.sum(fine).alias("_sum"), *[F.any_value(c).alias(c) for c in rows.columns])
+        .groupBy("_row", *rows.columns)
+        .agg(F.sum(fine).alias("_sum"))
     )
     return summed.select(*rows.columns, (F.col("_sum") / 1e9 / (F.length("text") + 1)).alias("score"))
 
@@ -190,28 +190,17 @@ def threshold_of(scored: DataFrame) -> DataFrame:
     bins = scored.groupBy(F.floor(F.col("score") * BINS_PER_UNIT).alias("bin")).agg(
         F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")
     )
-    below = F.sum("r").over(_bins_before())
-    above = F.sum("a").over(_bins_from())
+    by_bin = Window.orderBy("bin")
+    below = F.sum("r").over(by_bin.rowsBetween(Window.unboundedPreceding, -1))
+    above = F.sum("a").over(by_bin.rowsBetween(0, Window.unboundedFollowing))
     a, r = bins.agg(F.sum("a")).scalar(), bins.agg(F.sum("r")).scalar()
-    right = bins.select("bin", (F.coalesce(below, F.lit(0)) / r + above / a).alias("right"))
+    right = bins.select("bin", (F.coalesce(below, F.lit(0)) / F.nullif(r, F.lit(0)) + above / F.nullif(a, F.lit(0))).alias("right"))
     best = right.agg(F.max("right")).scalar()
     edge = F.col("bin") / BINS_PER_UNIT
     middle = right.filter(F.col("right") == best).agg(((F.min(edge) + F.max(edge)) / 2).alias("t"))
     return middle.select(F.coalesce("t", F.lit(0.0)).alias("threshold"))
 
 
-def _bins_before():
-    from pyspark.sql import Window
-
-    return Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _bins_from():
-    from pyspark.sql import Window
-
-    return Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing)
-
-
 def judge_urls(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, threshold) of every row of ``pages``.
 
@@ -230,16 +219,14 @@ def judge_urls(pages: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         (F.crc32(F.coalesce(url, F.lit(""))) % CALIBRATION_FOLDS == 0).alias("apart"),
     )
     found = matched_rule(F.col("host"), F.col("path"), rules)
-    parts = materialize(
-        parts.withColumn("_rule", found).select(
-            "page_id",
-            "host",
-            "path",
-            "text",
-            "apart",
-            F.col("_rule.pattern").alias("rule"),
-            (F.col("_rule.verdict") == "allow").alias("accepted"),
-        )
+    parts = parts.withColumn("_rule", found).select(
+        "page_id",
+        "host",
+        "path",
+        "text",
+        "apart",
+        F.col("_rule.pattern").alias("rule"),
+        (F.col("_rule.verdict") == "allow").alias("accepted"),
     )
     train = parts.filter("accepted IS NOT NULL AND NOT apart")
     seen = train.agg(
