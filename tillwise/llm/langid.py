@@ -31,8 +31,8 @@ EPOCHS = 6
 BATCH = 256
 RATE = 0.05
 DECAY = 1e-5
-CACHE_WORDS = 300_000
-BATCH_BYTES = 6_000_000
+CACHE_WORDS = 150_000
+BATCH_BYTES = 1_500_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 ORDERS = ("pair", "triple", "affix", "lexicon")
