@@ -3,7 +3,9 @@
 MinHash values in bands propose pairs.  The values of a pair are then compared a few at a time; with
 an even prior, n comparisons of which m agree leave the similarity distributed as
 Beta(m + 1, n - m + 1), and the pair is dropped as soon as the probability of reaching the threshold
-falls below a tolerance.  What is left is verified by the shingle sets themselves.
+falls below a tolerance.  The first comparison is of one bit of ``BITS`` further values, which a
+member carries into its bucket, so that most pairs are dropped before they exist as rows.  What is left
+is verified by the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -17,18 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import SIMILARITY, batch_words, mix, ship, shingle_hashes, small_batches
-from tillwise.llm.links import group_links, join_checked
+from tillwise.llm.links import close_links, join_checked
 from tillwise.session import materialize
 
 BANDS, ROWS = 40, 5  # a pair at 0.8 shares no band with probability 1e-7
 HASHES = BANDS * ROWS
 STEP = 20  # MinHash values compared at a time
+BITS = 64  # one-bit values compared within buckets
 TOLERANCE = 1e-5
 CHUNK_DOCS, CHUNK_BYTES = 200, 4_000_000
 
 _rng = np.random.default_rng(13)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_BIT = _rng.integers(0, 1 << 32, BITS, dtype=np.uint32) | np.uint32(1)
 _BAND = mix(_rng.integers(1, 1 << 62, ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -41,6 +45,26 @@ def minhash(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def one_bits(values: np.ndarray) -> np.ndarray:
+    """A bit of the first ``BITS`` MinHash values of each text; it agrees by chance in half of all cases."""
+    bits = (values[:, :BITS] * _BIT) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def least_bit_matches(threshold: float, tolerance: float = TOLERANCE) -> int:
+    """The fewest of ``BITS`` equal bits with which a pair stays.
+
+    Bits agree with probability r = (1 + similarity) / 2, evenly spread over [1/2, 1] beforehand.
+    """
+    r = (np.arange(20_000) + 0.5) / 40_000 + 0.5
+    for m in range(BITS + 1):
+        weight = m * np.log(r) + (BITS - m) * np.log1p(-r)
+        weight = np.exp(weight - weight.max())
+        if weight[r >= (1 + threshold) / 2].sum() >= tolerance * weight.sum():
+            return m
+    return BITS
+
+
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
     """For every number of comparisons the fewest matches with which a pair stays.
 
@@ -75,18 +99,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = mix((bands * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         short = (values >> np.uint32(16)).astype("<u2")
         band_at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+        tags = np.zeros(len(n), np.uint64)
+        tags[some] = one_bits(values)
         byte_at = np.concatenate([[0], np.cumsum(np.where(n > 0, HASHES * 2, 0))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc_id"),
                 *[pa.array(k) for k in keys],
                 pa.array(size, pa.int64()),
+                pa.array(tags.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(band_at), pa.array(bands.ravel().view(np.int64))),
                 pa.BinaryArray.from_buffers(
                     pa.binary(), len(n), [None, pa.py_buffer(byte_at.tobytes()), pa.py_buffer(short.tobytes())]
                 ),
             ],
-            names=["doc_id", "k1", "k2", "n_words", "bands", "sig"],
+            names=["doc_id", "k1", "k2", "n_words", "tag", "bands", "sig"],
         )
 
 
@@ -111,6 +138,16 @@ def _pruned(threshold: float):
     return run
 
 
+def _close(threshold: float):
+    """Whether the bits that two members carry leave it likely enough that they are alike."""
+    least = least_bit_matches(threshold)
+
+    def close(tag: np.ndarray, n: np.ndarray, other_tag: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+        return BITS - np.bitwise_count((tag ^ other_tag).view(np.uint64)) >= least
+
+    return close
+
+
 def _shingle_sets(column: pa.Array) -> list[np.ndarray]:
     hashes, at = shingle_hashes(batch_words(column))
     return [np.unique(hashes[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
@@ -241,7 +278,9 @@ def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
     """Signed documents, their classes of equal words, the signed class heads, and the groups of these."""
     ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, bands array<bigint>, sig binary"
+    schema = (
+        "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, tag bigint, bands array<bigint>, sig binary"
+    )
     signed = materialize(slim.mapInArrow(_signed, schema))
     classes = (
         signed.filter("n_words > 0 AND doc_id IS NOT NULL")
@@ -253,10 +292,10 @@ def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
         classes.select(F.col("node").alias("doc_id"), "k1", "k2", "copies"), ["doc_id", "k1", "k2"]
     )
     heads = materialize(
-        heads.select(F.col("doc_id").alias("node"), "copies", "bands", "sig").dropDuplicates(["node"])
+        heads.select(F.col("doc_id").alias("node"), "copies", "tag", "n_words", "bands", "sig").dropDuplicates(["node"])
     )
-    members = heads.select(F.explode("bands").alias("bucket"), "node", F.lit(0).cast("bigint").alias("tag"))
-    groups = materialize(group_links(members, _verifier(slim, heads, threshold)))
+    members = heads.select(F.explode("bands").alias("bucket"), "node", "tag", F.col("n_words").alias("n"))
+    groups = materialize(close_links(members, _verifier(slim, heads, threshold), _close(threshold)))
     return signed, classes, heads, groups
 
 
