@@ -1,11 +1,21 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillwise.session import materialize, scratch_path
 from tillwise.sources import sinks
 from tillwise.sources.raw import read_all_raw, read_raw
-from tillwise.sources.star import TABLES, Star, build_star, load_star, save_star_tables, write_star
+from tillwise.sources.csvblocks import read_quoted_csv
+from tillwise.sources.star import (
+    TABLES,
+    Star,
+    build_star,
+    drop_old_versions,
+    load_star,
+    save_star_tables,
+    write_star,
+)
 
 FILES = {
     "shop_customers_dataset.csv": "customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\nc2,u1,1,X,S\nc1,u1,2,Y,T\n",
@@ -72,6 +82,65 @@ def test_store_and_load(spark, star, tmp_path):
         assert getattr(loaded, name).count() == getattr(star, name).count()
 
 
+def test_a_failing_write_leaves_the_old_star(spark, star, tmp_path):
+    folder = str(tmp_path / "star")
+    write_star(star, folder)
+    tables = {name: getattr(star, name) for name in TABLES}
+    broken = star.reviews.withColumn("review_score", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        write_star(Star(**tables | {"reviews": broken}), folder)
+    assert load_star(spark, folder).reviews.count() == 1
+    # a star written from itself, while a reader still holds the version before
+    old = load_star(spark, folder)
+    twice = Star(**{n: getattr(old, n).union(getattr(old, n)) for n in TABLES})
+    write_star(twice, folder)
+    assert (old.orders.count(), load_star(spark, folder).orders.count()) == (1, 2)
+    assert drop_old_versions(spark, folder) == 2 and load_star(spark, folder).orders.count() == 2
+    with pytest.raises(FileNotFoundError):
+        load_star(spark, str(tmp_path / "none"))
+
+
+REVIEWS = [
+    ("plain", "1"),
+    ("", "2"),
+    ("two\nlines, and a comma", "3"),
+    ('"quoted" at the start\n\n\nand blank lines', "4"),
+    ('ends in a quote "', "5"),
+    ("é" * 300 + "\n" + "long " * 200, "6"),
+    ('"', "7"),
+    ("\n", "8"),
+]
+
+
+@pytest.mark.parametrize("block, end", [(37, "\n"), (300, "\n"), (64 << 20, "\n"), (90, "\r\n")])
+def test_quoted_breaks_in_many_blocks(spark, tmp_path, block, end):
+    """Equal to the reader that takes each file whole, wherever the blocks are cut."""
+    rows = [(f"{i}", *REVIEWS[(i * 5 + i // 8) % 8]) for i in range(60)]
+    for part in (0, 1):
+        quoted = ['"{}","{}",{}'.format(k, t.replace('"', '""'), s) for k, t, s in rows[part * 30 : part * 30 + 30]]
+        text = "id,text,score\n" + "\n".join(quoted) + ("\n" if part else "")
+        (tmp_path / f"part{part}.csv").write_bytes(text.replace("\n", end).encode())
+    whole = spark.read.options(header=True, multiLine=True, escape='"', mode="FAILFAST").csv(str(tmp_path))
+    want = [tuple(r) for r in whole.orderBy(F.col("id").cast("int")).collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = read_quoted_csv(spark, str(tmp_path))
+        got = read.orderBy("row_order").drop("row_order").collect()
+        assert [tuple(r) for r in got] == want and [r["id"] for r in got] == [str(i) for i in range(60)]
+        tasks = read.select(F.spark_partition_id()).distinct().count()
+        assert tasks > 20 or block > 100
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_rows_must_fit_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n1,2,3\n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_quoted_csv(spark, str(tmp_path)).collect()
+
+
 def test_bucketed_tables_join_without_shuffle(spark, star):
     spark.sql("CREATE DATABASE IF NOT EXISTS shop")
     save_star_tables(star, "shop", buckets=4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -58,11 +58,14 @@ class Logistic:
         model = LogisticRegression(labelCol=LABEL, weightCol=WEIGHT, regParam=0.0, maxIter=100)
         return Pipeline(stages=[*stages, model.setFeaturesCol("scaled" if self.scaled else "inputs")])
 
+    def fit(self, train: DataFrame) -> PipelineModel:
+        return self.pipeline().fit(train)
+
     def held_out(self, rows: DataFrame, folds: list[int], id_col: str) -> DataFrame:
         """(fold, label, score) of each fold's rows by a fit on all others."""
         found = []
         for fold in folds:
-            model = self.pipeline().fit(rows.filter(F.col("fold") != fold))
+            model = self.fit(rows.filter(F.col("fold") != fold))
             scored = model.transform(rows.filter(F.col("fold") == fold))
             found.append(
                 scored.select("fold", F.col(LABEL).alias("label"), vector_to_array("probability")[1].alias("score"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.sources.csvblocks import read_quoted_csv
 from tillwise.sources.schemas import RAW_FILES, RAW_SCHEMAS
 
-# Free text with line breaks; such files cannot be split, so only this table pays for it.
+# Free text with line breaks.
 _MULTI_LINE = {"reviews"}
 
 
@@ -24,11 +25,13 @@ def read_raw(
     ``with_order`` adds ``row_order``, which sorts rows as they stand in the
     files, for the operators that keep the first row.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST")
+    path = f"{folder.rstrip('/')}/{pattern or RAW_FILES[table]}"
     if table in _MULTI_LINE:
-        reader = reader.option("multiLine", True)
-    df = reader.csv(f"{folder.rstrip('/')}/{pattern or RAW_FILES[table]}")
-    if with_order:
+        df = read_quoted_csv(spark, path)
+        df = df if with_order else df.drop("row_order")
+    else:
+        df = spark.read.options(header=True, escape='"', mode="FAILFAST").csv(path)
+    if with_order and table not in _MULTI_LINE:
         df = df.withColumn(
             "row_order",
             F.struct(

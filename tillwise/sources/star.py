@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,16 +84,73 @@ def build_star(
 
 
 def write_star(star: Star, folder: str) -> None:
-    """Each table as Parquet under its stored name, replacing what was there."""
+    """A new version of the star as Parquet tables; readers see the old one until all tables are there.
+
+    Tables go to a folder of their own.  What makes them the star is a small numbered file, put in
+    place by one rename that fails if another writer took the number.  So a star can be written from
+    the one it replaces, and a write that fails leaves that one whole.
+    """
+    spark = star.orders.sparkSession
+    root, before = folder.rstrip("/"), _current(spark, folder)
+    version = f"versions/{uuid.uuid4().hex}"
     for name, stored in TABLES.items():
-        getattr(star, name).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{stored}")
+        getattr(star, name).write.parquet(f"{root}/{version}/{stored}")
+    fs, path = _files(spark, root)
+    number = before[0] + 1 if before else 1
+    draft, final = path(f"{root}/{version}/manifest"), path(f"{root}/{MANIFESTS}/{number:012d}")
+    fs.mkdirs(final.getParent())
+    out = fs.create(draft)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise RuntimeError(f"another writer replaced the star in {folder}; its version {number} stays")
 
 
-def load_star(spark: SparkSession, folder: str) -> Star:
+MANIFESTS = "manifests"
+
+
+def _files(spark: SparkSession, root: str):
+    """The Hadoop file system of a folder, and its path constructor."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _current(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """Number and folder of the current version."""
     root = folder.rstrip("/")
+    fs, path = _files(spark, root)
+    if not fs.exists(path(f"{root}/{MANIFESTS}")):
+        return None
+    numbers = [s.getPath().getName() for s in fs.listStatus(path(f"{root}/{MANIFESTS}"))]
+    numbers = sorted(n for n in numbers if n.isdigit())
+    if not numbers:
+        return None
+    return int(numbers[-1]), spark.read.text(f"{root}/{MANIFESTS}/{numbers[-1]}").first()[0]
+
+
+def load_star(spark: SparkSession, folder: str) -> Star:
+    """The current version of a stored star; its tables stay the same when a newer one is written."""
+    current = _current(spark, folder)
+    if current is None:
+        raise FileNotFoundError(f"no star in {folder}")
+    root = f"{folder.rstrip('/')}/{current[1]}"
     return Star(**{name: spark.read.parquet(f"{root}/{stored}") for name, stored in TABLES.items()})
 
 
+def drop_old_versions(spark: SparkSession, folder: str) -> int:
+    """Deletes the tables of all versions but the current one; returns how many went.
+
+    Not to be run while another reader or writer uses them.
+    """
+    root, current = folder.rstrip("/"), _current(spark, folder)
+    fs, path = _files(spark, root)
+    old = [s.getPath() for s in fs.listStatus(path(f"{root}/versions"))] if current else []
+    old = [p for p in old if p.getName() != current[1].split("/")[-1]]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def save_star_tables(star: Star, database: str | None = None, buckets: int | None = None) -> None:
     """Star as catalog tables.
 
