@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tillwise.operators.ranking import first_per_key, ntile_distributed, running_totals, top_k
-from tillwise.operators.skew import hot_keys, spread_join, vocabulary_join
+from tillwise.operators.skew import hot_keys, measured_salts, spread_join, vocabulary_join
 
 
 def tiles(df, k, column, descending=False):
@@ -80,6 +80,24 @@ def test_hot_keys_finds_the_large_share(spark):
     assert hot_keys(spark.range(0), "id") == []
 
 
+@pytest.mark.parametrize("tasks", [4, 200, 2000])
+def test_hot_keys_get_as_many_tasks_as_their_share_fills(spark, tasks):
+    """The fullest (key, salt) holds about rows / tasks, whatever the number of tasks."""
+    n = 60_000
+    third, tenth = F.col("id") % 3 == 0, F.col("id") % 10 == 1
+    fact = spark.range(n).select(
+        F.col("id").alias("row"), F.when(third, 7).when(tenth, 9).otherwise(F.col("id") + 100).alias("k")
+    )
+    salts = {r["k"]: r["n_salts"] for r in measured_salts(fact, "k", tasks).collect()}
+    assert salts[7] == -(-tasks // 3) and set(salts) <= {7, 9}
+    dim = fact.select("k").distinct().withColumn("d", F.col("k") * 2)
+    joined = spread_join(fact, dim, "k", ["row"], tasks=tasks)
+    assert joined.filter("d = 2 * k").count() == n
+    spread = F.pmod(F.xxhash64("row"), F.lit(salts[7]))
+    fullest = fact.filter("k = 7").groupBy(spread).count().agg(F.max("count")).first()[0]
+    assert fullest <= 2 * n / tasks + 30
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_spread_join_equals_plain_join(spark, how):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -201,3 +201,35 @@ def test_views_answer_sql(spark, star):
     top = spark.sql("SELECT category FROM v_category_performance ORDER BY total_revenue DESC LIMIT 1")
     assert top.first()[0] == "toys"
     assert spark.sql("SELECT count(*) FROM v_rfm_segments").first()[0] == 2
+
+
+def test_published_views_run_no_job_and_follow_a_refresh(spark, star, tmp_path):
+    from tillwise.sources.star import TABLES, Star
+
+    folder = str(tmp_path / "bounds")
+    views.refresh_views(spark, star, AS_OF, folder)
+    plain = table(views.v_rfm_segments(star.customers, star.orders, star.payments, AS_OF), "customer_unique_id")
+    assert table(spark.table("v_rfm_segments"), "customer_unique_id") == plain
+    spark.sparkContext.setJobGroup("registering", "")
+    views.register_views(spark, star, AS_OF, folder)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("registering")) == []
+    spark.sparkContext.setJobGroup("after", "")
+    more = {
+        "customers": [(f"n{i}", f"v{i}", None, "X", "S") for i in range(8)],
+        "orders": [(f"no{i}", f"n{i}") for i in range(8)],
+        "payments": [(f"no{i}", D(f"{i}.50")) for i in range(8)],
+    }
+    grown = {name: getattr(star, name) for name in TABLES}
+    for name, rows in more.items():
+        old = grown[name]
+        keep = {"customers": ["customer_id", "customer_unique_id"], "orders": ["order_id", "customer_id"]}
+        cols = keep.get(name, ["order_id", "total_payment"])
+        new = spark.createDataFrame([r[: len(cols)] for r in rows], old.select(*cols).schema)
+        grown[name] = old.unionByName(new, allowMissingColumns=True)
+    at = F.coalesce("order_purchase_timestamp", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz"))
+    grown["orders"] = grown["orders"].withColumn("order_purchase_timestamp", at)
+    grown = Star(**grown)
+    views.refresh_views(spark, grown, AS_OF, folder)
+    assert spark.table("v_rfm_segments").count() == 10
+    wanted = views.v_rfm_segments(grown.customers, grown.orders, grown.payments, AS_OF)
+    assert table(spark.table("v_rfm_segments"), "customer_unique_id") == table(wanted, "customer_unique_id")

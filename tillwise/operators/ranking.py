@@ -153,12 +153,7 @@ def ntile_distributed(
     structs = [_key(n, *keys[name], id_col) for n, name in enumerate(names)]
     keyed = df.select(F.explode(F.array(*structs)).alias("k"))
 
-    def starts(_, n):
-        size, extra = divmod(n, k)
-        firsts = accumulate((size + (t < extra) for t in range(k - 1)), initial=1)
-        return sorted({s for s in list(firsts)[1:] if s <= n})
-
-    found = keys_at_ranks(keyed, starts)
+    found = keys_at_ranks(keyed, _tile_starts(k))
     out = df
     for n, name in enumerate(names):
         col, descending = keys[name]
@@ -172,6 +167,54 @@ def ntile_distributed(
     return out
 
 
+def tile_boundaries(
+    df: DataFrame, k: int, keys: dict[str, tuple[Column, bool]], id_col: str
+) -> DataFrame:
+    """(name, f, v, i): the first sort key of every tile but the first, as ``ntile_distributed`` cuts.
+
+    At most k - 1 rows a name, to be stored and used by ``with_tiles``.  ``df`` is read twice.
+    """
+    structs = [_key(n, *keys[name], id_col) for n, name in enumerate(keys)]
+    found = keys_at_ranks(df.select(F.explode(F.array(*structs)).alias("k")), _tile_starts(k))
+    names = list(keys)
+    rows = [
+        (names[n], key["f"], key["v"], key["i"]) for n, by_rank in found.items() for key in by_rank.values()
+    ]
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"name string, f boolean, v bigint, i {kind}")
+
+
+def _tile_starts(k: int):
+    """Ranks at which tiles 2 to k begin: the first n % k tiles hold one row more."""
+
+    def starts(_, n):
+        size, extra = divmod(n, k)
+        firsts = accumulate((size + (t < extra) for t in range(k - 1)), initial=1)
+        return sorted({s for s in list(firsts)[1:] if s <= n})
+
+    return starts
+
+
+def _not_after(key: Column):
+    return lambda bound: key >= bound
+
+
+def with_tiles(
+    df: DataFrame, boundaries: DataFrame, keys: dict[str, tuple[Column, bool]], id_col: str
+) -> DataFrame:
+    """Adds a tile column per name by comparing each row with stored ``tile_boundaries``; runs no job."""
+    held = boundaries.groupBy().agg(
+        *[F.collect_list(F.when(F.col("name") == n, F.struct("f", "v", "i"))).alias(n) for n in keys]
+    )
+    out = df.withColumn("_tiles", held.select(F.struct(*keys)).scalar())
+    tiles = {}
+    for name, (col, descending) in keys.items():
+        flag = col.isNotNull() if descending else col.isNull()
+        here = F.struct(flag.alias("f"), (-col if descending else col).alias("v"), F.col(id_col).alias("i"))
+        tiles[name] = F.size(F.filter(F.col(f"_tiles.{name}"), _not_after(here))) + 1
+    return out.withColumns(tiles).drop("_tiles")
+
+
 def running_totals(
     df: DataFrame, order_col: str, sums: list[str], keys: list[str] | None = None
 ) -> DataFrame:

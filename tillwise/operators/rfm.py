@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import as_date, cents, money, ratio_round
 from tillwise.operators.grain import customer_orders
-from tillwise.operators.ranking import ntile_distributed
+from tillwise.operators.ranking import ntile_distributed, tile_boundaries, with_tiles
 from tillwise.params import DEFAULTS
 from tillwise.session import materialize
 
@@ -43,25 +43,35 @@ def rfm_base(
     return totals.select("customer_unique_id.*", *figures)
 
 
+def _bands() -> dict[str, tuple[Column, bool]]:
+    return {
+        "r_score": (F.col("recency_days").cast("bigint"), False),
+        "f_score": (F.col("frequency").cast("bigint"), True),
+        "m_score": (cents("monetary"), True),
+    }
+
+
+def score_boundaries(base: DataFrame, k: int = DEFAULTS.score_bands) -> DataFrame:
+    """Where the bands of ``rfm_scored`` begin, to be stored and passed to it later."""
+    return tile_boundaries(materialize(base), k, _bands(), "customer_unique_id")
+
+
 def rfm_scored(
-    base: DataFrame, k: int = DEFAULTS.score_bands, five_is_best: bool = False
+    base: DataFrame,
+    k: int = DEFAULTS.score_bands,
+    five_is_best: bool = False,
+    boundaries: DataFrame | None = None,
 ) -> DataFrame:
     """Adds r_score, f_score, m_score: k bands of equal size, ties by customer.
 
     By default band 1 holds the best customers; ``five_is_best`` turns the bands
-    round so that the segment names fit.
+    round so that the segment names fit.  With stored ``boundaries`` nothing runs
+    before the result is asked for, and bands are those of the rows they were taken from.
     """
-    stored = materialize(base)
-    scored = ntile_distributed(
-        stored,
-        k,
-        {
-            "r_score": (F.col("recency_days").cast("bigint"), False),
-            "f_score": (F.col("frequency").cast("bigint"), True),
-            "m_score": (cents("monetary"), True),
-        },
-        "customer_unique_id",
-    )
+    if boundaries is not None:
+        scored = with_tiles(base, boundaries, _bands(), "customer_unique_id")
+    else:
+        scored = ntile_distributed(materialize(base), k, _bands(), "customer_unique_id")
     if five_is_best:
         scored = scored.withColumns(
             {s: F.lit(k + 1) - F.col(s) for s in ("r_score", "f_score", "m_score")}

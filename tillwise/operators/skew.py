@@ -1,34 +1,56 @@
 """Join of a fact to a table that is unique on the key, safe for hot keys.
 
-No side is broadcast by hint: Spark broadcasts what it measures to be under its
-own threshold and shuffles the rest.  For the shuffled case the keys that hold
-a large share of the fact rows are spread over several tasks, and only the
-matching rows of the other side are repeated.
+No side is broadcast by hint but the list of hot keys, which is never longer than the number of tasks:
+Spark broadcasts what it measures to be under its own threshold and shuffles the rest.  For the
+shuffled case a key that would fill more than one task is spread over as many tasks as its share of
+the rows would fill, and only the matching rows of the other side are repeated.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this share of the fact rows on, so there are at most 200.
+# What hot_keys calls hot unless told otherwise; placement follows the number of tasks instead.
 HOT_SHARE = 0.005
-SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Keys that hold at least ``share`` of the rows, at most 1/share of them.
+def tasks_of(df: DataFrame) -> int:
+    """Tasks of a shuffle."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _shares(df: DataFrame, key: str, limit: int) -> list[tuple]:
+    """(key, share of the rows) of the ``limit`` most frequent keys.
 
     A frequent-items sketch of fixed size per task, merged on the way to the
-    driver: one pass over one column and no shuffle of rows.  The answer only
-    steers how rows are spread, so its small error cannot change a result.
+    driver: one pass over one column and no shuffle of rows.
     """
-    limit = int(1 / share)
     found, n = df.agg(
         F.call_function("approx_top_k", F.col(key), F.lit(limit), F.lit(limit * 20)),
         F.count(F.lit(1)),
     ).first()
-    return [x["item"] for x in found if x["item"] is not None and x["count"] >= share * n]
+    return [(x["item"], x["count"] / n) for x in found if x["item"] is not None]
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Keys that hold at least ``share`` of the rows, at most 1/share of them."""
+    return [k for k, part in _shares(df, key, int(1 / share)) if part >= share]
+
+
+def measured_salts(df: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
+    """(key, n_salts): keys that would fill more than one of ``tasks``, and how many they would fill.
+
+    At most ``tasks`` rows, from one pass over one column.  The numbers only steer where rows go, so the
+    error of the sketch cannot change a result; they may be stored and used for later rows too.
+    """
+    tasks = tasks or tasks_of(df)
+    wide = [(k, ceil(part * tasks - 1e-9)) for k, part in _shares(df, key, min(tasks, 10_000))]
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n_salts int"
+    return df.sparkSession.createDataFrame([(k, n) for k, n in wide if n > 1], schema)
 
 
 def spread_join(
@@ -37,31 +59,35 @@ def spread_join(
     key: str,
     spread_by: list[str],
     how: str = "inner",
-    hot: list | None = None,
-    salts: int = SALTS,
+    salts: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``fact`` joined (inner or left) to ``dim`` (unique on ``key``).
 
-    Rows of a hot key go to one of ``salts`` tasks, chosen by a hash of the
-    columns ``spread_by``: a fixed function of the row, so a re-run task sends
-    them to the same place.  ``hot`` may be passed when it is already known.
+    Rows of a hot key go to one of its tasks, chosen by a hash of the columns
+    ``spread_by``: a fixed function of the row, so a re-run task sends them to
+    the same place.  ``salts`` may be passed when they are already measured.
     """
-    if hot is None:
-        hot = hot_keys(fact, key)
-    if not hot and how == "inner":
-        return fact.join(dim, key, how)
-    return _salted(fact, dim, key, spread_by, how, F.col(key).isin(hot), salts)
+    tasks = tasks or tasks_of(fact)
+    if salts is None:
+        salts = measured_salts(fact, key, tasks)
+        if how == "inner" and salts.isEmpty():  # a local list: no job
+            return fact.join(dim, key, how)
+    held = F.broadcast(salts.select(F.col(key), F.col("n_salts").alias("_n")))
+    left, right = fact.join(held, key, "left"), dim.join(held, key, "left")
+    return _salted(left, right, key, spread_by, how, F.coalesce("_n", F.lit(1)), tasks)
 
 
 def vocabulary_join(
-    fact: DataFrame, names: DataFrame, key: str, spread_by: list[str], salts: int = SALTS
+    fact: DataFrame, names: DataFrame, key: str, spread_by: list[str], tasks: int | None = None
 ) -> DataFrame:
     """``fact`` left-joined to a list of names, a table of few keys that are all hot.
 
-    Every key is spread, and the short list is repeated for each of ``salts``;
+    Every key is spread over all tasks, and the short list is repeated for each;
     nothing has to be counted first.
     """
-    return _salted(fact, names, key, spread_by, "left", F.lit(True), salts)
+    tasks = tasks or tasks_of(fact)
+    return _salted(fact, names, key, spread_by, "left", F.lit(tasks), tasks)
 
 
 def _salted(
@@ -70,13 +96,13 @@ def _salted(
     key: str,
     spread_by: list[str],
     how: str,
-    is_hot: Column,
-    salts: int,
+    n_salts: Column,
+    tasks: int,
 ) -> DataFrame:
-    """Join on key and salt; fact rows without key match nothing and are always spread."""
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    slots = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    spread = is_hot | F.col(key).isNull()
-    left = fact.withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0)))
-    right = dim.withColumn("_salt", F.explode(slots))
+    """Join on key and salt; fact rows without key match nothing and are spread over all tasks."""
+    wide = F.when(F.col(key).isNull(), F.lit(tasks)).otherwise(n_salts)
+    left = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), wide).cast("int"))
+    right = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+    if "_n" in dim.columns:
+        left, right = left.drop("_n"), right.drop("_n")
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import as_date, money, month_start, ratio_round
 from tillwise.operators.grain import customer_orders, paid_orders
-from tillwise.operators.rfm import rfm_base, rfm_scored, rfm_segments
-from tillwise.operators.skew import hot_keys, spread_join
+from tillwise.operators.rfm import rfm_base, rfm_scored, rfm_segments, score_boundaries
+from tillwise.operators.skew import measured_salts, spread_join
 from tillwise.params import DEFAULTS
 from tillwise.sources.star import TABLES, Star
 
@@ -66,26 +66,39 @@ def v_churn_risk(
 
 
 def v_rfm_segments(
-    customers: DataFrame, orders: DataFrame, payments: DataFrame, as_of: Column | dt.date | str
+    customers: DataFrame,
+    orders: DataFrame,
+    payments: DataFrame,
+    as_of: Column | dt.date | str,
+    boundaries: DataFrame | None = None,
 ) -> DataFrame:
     """Per customer: recency, frequency, monetary, their scores and the segment."""
     base = rfm_base(customers, orders, payments, as_of)
-    return rfm_segments(rfm_scored(base)).drop("rfm_avg")
+    return rfm_segments(rfm_scored(base, boundaries=boundaries)).drop("rfm_avg")
+
 
+def product_salts(star: Star) -> DataFrame:
+    """How widely the items of hot products are spread when products are joined."""
+    return measured_salts(star.items, "product_id")
 
-def v_category_performance(star: Star, dedupe_orders: bool = False) -> DataFrame:
+
+def v_category_performance(
+    star: Star, dedupe_orders: bool = False, salts: DataFrame | None = None
+) -> DataFrame:
     """Per category: orders, revenue, average order value, average review score.
 
     A payment counts once per item of its order, as in the joined tables; with
     ``dedupe_orders`` it counts once per order and category.
 
     Items are reduced to (order, product) first, products are joined with hot
-    ones spread by order, and the rest is one row per (order, category).
+    ones spread by order, and the rest is one row per (order, category).  ``salts``
+    are those of ``product_salts``, measured now if not given.
     """
+    salts = product_salts(star) if salts is None else salts
     pairs = star.items.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     products = star.products.select("product_id", "product_category_name_english")
     in_category = (
-        spread_join(pairs, products, "product_id", ["order_id"], hot=hot_keys(star.items, "product_id"))
+        spread_join(pairs, products, "product_id", ["order_id"], salts=salts)
         .groupBy("order_id", "product_category_name_english")
         .agg((F.lit(1) if dedupe_orders else F.sum("n")).cast("bigint").alias("n"))
     )
@@ -172,16 +185,57 @@ def v_seller_risk(
     )
 
 
-def register_views(spark: SparkSession, star: Star, as_of: Column | dt.date | str) -> list[str]:
-    """The five views as temp views, next to the star tables; returns all names."""
+def _newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest version of a table that ``refresh_views`` appends to; reading it runs no job."""
+    table = spark.read.schema(f"version bigint, {schema}").parquet(path)
+    newest = table.agg(F.max("version")).scalar()
+    return table.filter(F.col("version") == newest).drop("version")
+
+
+def _stored(spark: SparkSession, star: Star, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Band boundaries and product salts."""
+    customer = star.customers.schema["customer_unique_id"].dataType.simpleString()
+    product = star.items.schema["product_id"].dataType.simpleString()
+    return (
+        _newest(spark, f"{folder}/bands", f"name string, f boolean, v bigint, i {customer}"),
+        _newest(spark, f"{folder}/salts", f"product_id {product}, n_salts int"),
+    )
+
+
+def register_views(
+    spark: SparkSession, star: Star, as_of: Column | dt.date | str, boundaries: str | None = None
+) -> list[str]:
+    """The five views as temp views, next to the star tables; returns all names.
+
+    With ``boundaries``, the folder that ``refresh_views`` keeps, registering runs no job:
+    v_rfm_segments bands its rows, whatever they are when it is asked, by the stored boundaries, and
+    v_category_performance spreads hot products as they were measured.  Without, both are found now and
+    the boundaries stay those of the present rows.
+    """
     c, o, p = star.customers, star.orders, star.payments
+    bounds, salts = _stored(spark, star, boundaries) if boundaries else (None, None)
     frames = {TABLES[name]: getattr(star, name) for name in TABLES} | {
         "v_monthly_revenue": v_monthly_revenue(o, p),
         "v_churn_risk": v_churn_risk(c, o, p, as_of),
-        "v_rfm_segments": v_rfm_segments(c, o, p, as_of),
-        "v_category_performance": v_category_performance(star),
+        "v_rfm_segments": v_rfm_segments(c, o, p, as_of, bounds),
+        "v_category_performance": v_category_performance(star, salts=salts),
         "v_seller_risk": v_seller_risk(star),
     }
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
     return list(frames)
+
+
+def refresh_views(
+    spark: SparkSession, star: Star, as_of: Column | dt.date | str, boundaries: str
+) -> list[str]:
+    """Stores new band boundaries and product salts of ``star`` and registers the views over them.
+
+    Versions are appended, so readers of the one before are not disturbed; ``star`` is the star as it
+    is now, loaded again if its tables grew.
+    """
+    found = score_boundaries(rfm_base(star.customers, star.orders, star.payments, as_of))
+    version = F.unix_micros(F.current_timestamp()).alias("version")
+    for name, table in (("bands", found), ("salts", product_salts(star))):
+        table.coalesce(1).select(version, "*").write.mode("append").parquet(f"{boundaries}/{name}")
+    return register_views(spark, star, as_of, boundaries)

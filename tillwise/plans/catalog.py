@@ -335,6 +335,12 @@ def _view_sql(r: Retail) -> DataFrame:
     )
 
 
+def _published_segments(r: Retail) -> DataFrame:
+    """The registered segment view over stored boundaries."""
+    views.refresh_views(r.spark, r.star, r.as_of, scratch_path(r.spark))
+    return r.spark.table("v_rfm_segments")
+
+
 def _cluster_segments(r: Retail) -> DataFrame:
     return insights.cluster_actions(cluster.cluster_segments(r.rfm()))
 
@@ -376,6 +382,7 @@ _BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {
     "single_purchase_rate": lambda r: quality.single_purchase_rate(r.features()),
     "load_star": _stored_star,
     "register_views": _view_sql,
+    "published_segments": _published_segments,
     # analysis queries and views
     "rfm_base": lambda r: rfm.rfm_base(*r.facts, r.as_of, by_place=True),
     "rfm_scored": lambda r: r.scored(),

@@ -625,6 +625,7 @@ _QUERIES = {
         {day("last")} AS last_order_date, days AS days_since_last_order, churn_risk_label
         FROM churn_risk""",
     "v_rfm_segments": f"SELECT {_RFM_COLUMNS}, r_score, f_score, m_score, segment FROM segments",
+    "published_segments": f"SELECT {_RFM_COLUMNS}, r_score, f_score, m_score, segment FROM segments",
     "v_category_performance": f"SELECT {_CATEGORY_COLUMNS} FROM categories",
     "v_category_performance_per_order": f"""SELECT english AS category, count(*) AS total_orders,
         {m("sum(pay)")} AS total_revenue, {m(ri("sum(pay)", "count(*)"))} AS avg_order_value,
