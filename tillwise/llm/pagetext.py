@@ -1,7 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags.  Elements that never hold the article (menus, forms,
-scripts, and elements that call themselves advert, sidebar, cookie notice and so on) are left out.
+A page is cut into blocks at block-level tags.  Elements that never hold the article (menus, scripts,
+and elements that call themselves advert, sidebar, cookie notice and so on) are left out, unless an
+``article`` or ``main`` element or most of the page's paragraph text stands inside of them: then they are
+wrappers.  A form or a site header is left out unless it wraps the article in this way.
 Pass 1 looks at each block alone: link density, length and the density of stop words make it good,
 bad, near good or short.  Pass 2 lets near good and short blocks inherit from the nearest decided
 blocks before and after.  Inside an ``article`` or ``main`` element the edges count as good and a lack
@@ -40,7 +42,7 @@ STOP_WORDS = frozenset(
 )
 
 SKIPPED = frozenset(
-    "script style noscript template textarea select option button svg canvas iframe object math "
+    "script style noscript template textarea select option button svg canvas iframe object "
     "title head form fieldset nav aside footer menu dialog".split()
 )
 RAW = frozenset("script style noscript template textarea title svg iframe".split())
@@ -65,6 +67,7 @@ MAX_LINK_DENSITY, ARTICLE_LINK_DENSITY = 0.2, 0.5
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 HEADING_DISTANCE = 200
+UNKNOWN_WORDS = 12
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -72,9 +75,10 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_PART = re.compile(r"[A-Za-z0-9]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_PART = re.compile(r"[a-z0-9]+")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_LIST_PARTS = frozenset("list box block section area wrapper container inner item items form bar panel".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -114,21 +118,104 @@ class _Builder:
         self.pieces, self.links = [], []
 
 
-def _is_skipped(tag: str, attributes: str, zone: int) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes of a tag by name in lower case; one without a value is empty."""
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)}
+
+
+def names_itself(given: dict[str, str]) -> set[str]:
+    """The words by which an element says what it is: whole class, id and role names.
+
+    A name of several parts says what its first part does if the others are such words too or name a
+    kind of box (cookie-notice, ad_box1); "with-sidebar" or "no-comments" says nothing.
+    """
+    out = set()
+    for attribute in ("class", "id", "role"):
+        for name in given.get(attribute, "").lower().split():
+            parts = [p.rstrip("0123456789") for p in _PART.findall(name)]
+            if parts and all(not p or p in _LIST_PARTS or p in BOILERPLATE for p in parts[1:]):
+                out.add(parts[0])
+    return out & (BOILERPLATE | SITE_ONLY)
+
+
+def is_hidden(given: dict[str, str]) -> bool:
+    hidden = "hidden" in given and given["hidden"].lower() not in ("false", "until-found")
+    return hidden or bool(_NO_DISPLAY.search(given.get("style", "")))
+
+
+def _is_skipped(tag: str, given: dict[str, str], zone: int) -> bool:
     if tag in SKIPPED or (tag == "header" and not zone):
         return True
-    if not attributes or tag in ("html", "body"):
+    if not given or tag in ("html", "body"):
         return False
-    names = {
-        p.lower() for m in _NAMES.finditer(attributes) for p in _PART.findall(m.group(1))
-    }
-    if names & BOILERPLATE or (not zone and names & SITE_ONLY):
-        return tag not in ARTICLE or bool(names & {"comment", "comments", "reply", "replies"})
-    return bool(_HIDDEN.search(attributes)) and "aria-hidden" not in attributes
+    if is_hidden(given):
+        return True
+    names = names_itself(given)
+    if tag in ARTICLE:
+        return bool(names & {"comment", "comments", "reply", "replies"})
+    return bool(names & BOILERPLATE) or (not zone and bool(names & SITE_ONLY))
+
+
+NEVER_WRAPS = RAW | frozenset("head select option button canvas object".split())
+# Elements with these names may hold what looks like an article, but it is not the page's.
+_MUTED = frozenset("nav footer aside menu dialog".split())
+_OTHERS = frozenset("comment comments commentlist disqus reply replies related".split())
+
+
+def _wrappers(page: str) -> set[int]:
+    """Where elements begin that would be skipped but hold the article: see the module's text.
+
+    An element wraps an ``article`` or ``main``, or over half of the paragraph text of the page, that of
+    menus, asides and footers aside.  Hidden elements, and those that call themselves comments or the
+    like, never do.
+    """
+    open_: list[list] = []  # tag, place, may wrap, holds an article, paragraph text, its text counts
+    found: list[tuple[int, bool, int]] = []
+    at, total, in_text = 0, 0, False
+
+    def leave(element: list) -> None:
+        if element[2]:
+            found.append((element[1], element[3], element[4]))
+        if open_:
+            open_[-1][3] |= element[2] and element[3]
+            open_[-1][4] += element[4]
+
+    for m in iter(lambda: _TOKEN.search(page, at), None):
+        if in_text and open_ and open_[-1][5]:
+            size = len(page[at : m.start()].strip())
+            open_[-1][4] += size
+            total += size
+        at = m.end()
+        tag = (m.group(2) or m.group(5) or "").lower()
+        closing = m.group(1) or m.group(4)
+        if tag == "p":
+            in_text = not closing
+        elif tag in BLOCKS:
+            in_text = False
+        if tag in RAW and not closing:
+            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if tag not in BLOCKS - {"p"} and tag not in SKIPPED:
+            continue
+        if closing:
+            depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
+            while depth is not None and len(open_) > depth:
+                leave(open_.pop())
+        elif tag not in VOID:
+            given = attributes_of(m.group(3) or m.group(6) or "")
+            could = tag not in NEVER_WRAPS and not is_hidden(given) and not names_itself(given) & _OTHERS
+            counts = could and tag not in _MUTED and (not open_ or open_[-1][5])
+            open_.append([tag, m.start(), could, could and tag in ARTICLE, 0, counts])
+    while open_:
+        leave(open_.pop())
+    articles = any(own for _, own, _ in found)
+    return {place for place, own, size in found if own or (not articles and 2 * size > total > 0)}
 
 
 def cut_blocks(page: str) -> list[Block]:
     """Blocks of a page in order, without those of skipped elements."""
+    wrappers = _wrappers(page)
     out, stack = _Builder(), [_Open("", False, 0)]
     at, zones, link, heading = 0, 0, False, False
     for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -157,8 +244,8 @@ def cut_blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and (tag in BLOCKS - {"p"} or tag in SKIPPED or m.group(3)):
-            attributes = m.group(3) or m.group(6) or ""
-            if tag in ("a", "p") and not (attributes and _NAMES.search(attributes)):
+            given = attributes_of(m.group(3) or m.group(6) or "")
+            if tag in ("a", "p") and not (given.keys() & {"class", "id", "role", "hidden", "style"}):
                 continue
             if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and top.tag == tag:
                 stack.pop()  # these end where the next of their kind begins
@@ -167,7 +254,8 @@ def cut_blocks(page: str) -> list[Block]:
             if tag in ARTICLE and not zone:
                 zones += 1
                 zone = zones
-            stack.append(_Open(tag, top.skipped or _is_skipped(tag, attributes, top.zone), zone))
+            skipped = _is_skipped(tag, given, top.zone) and m.start() not in wrappers
+            stack.append(_Open(tag, top.skipped or skipped, zone))
     if at < len(page) and not stack[-1].skipped:
         out.add(page[at:], link)
     out.close(heading, stack[-1].zone)
@@ -187,7 +275,9 @@ def _alone(b: Block, stop_words: frozenset[str]) -> str:
     density = sum(w in stop_words for w in words) / max(len(words), 1)
     if density >= STOP_HIGH:
         return "good" if n > LENGTH_HIGH else "near"
-    return "near" if density >= STOP_LOW or b.zone else "bad"
+    # without a single stop word the language is not one of those listed: length has to do
+    unknown = len(words) >= UNKNOWN_WORDS and density == 0
+    return "near" if density >= STOP_LOW or b.zone or unknown else "bad"
 
 
 def _inherit(blocks: list[Block], edge: str) -> None:
