@@ -9,6 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from brute import base_digest, base_spans
+from pyspark.sql import functions as F
+
 from tillwise.llm import pii
 
 FOLDER = "/root/testdata/sf0.01"
@@ -74,3 +76,22 @@ def test_whole_table(spark):
     got = {r["doc_id"]: r["base_sha256"] for r in pii.pii_report(docs).collect()}
     want = {r["doc_id"]: base_digest(r["text"]) for r in docs.collect()}
     assert got == want
+
+
+def test_running_totals_of_any_length(spark):
+    for n in (1, 2, 255, 256, 257, 1000):
+        steps = F.array(*[F.lit(i % 7) for i in range(n)])
+        got = spark.range(1).select(pii.running(steps).alias("t")).first()["t"]
+        assert got == [sum(j % 7 for j in range(i + 1)) for i in range(n)]
+
+
+def test_very_many_spans(spark):
+    """All spans of a text with thousands of them, and context words found between neighbours."""
+    text = " ".join(f"mail me{i}@site.org or" if i % 2 else f"+49 30 12345{i:05d}," for i in range(6000))
+    row = run(spark, [text])[0]
+    assert (row["n_email"], row["n_phone"]) == (3000, 3000) and row["base_sha256"] == base_digest(text)
+    docs = spark.createDataFrame([(0, "mail a@b.cc," * 40 + " x@y.zz" + "," * 48 + "mail")], "doc_id bigint, text string")
+    scores = [round(s["score"], 6) for s in pii.find_pii(docs).first()["found"]]
+    assert scores == [1.0] * 41
+    far = spark.createDataFrame([(0, "mail" + "." * 49 + " x@y.zz" + "," * 49 + "mail")], "doc_id bigint, text string")
+    assert [s["score"] for s in pii.find_pii(far).first()["found"]] == [0.9]

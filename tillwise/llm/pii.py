@@ -138,7 +138,36 @@ KINDS = [
 BASE = [k.name for k in KINDS if k.base]
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,match:string,score:double>>"
+_PIECE = 256  # numbers summed at a time
+_RUN = NEAR // 3  # matches whose text is kept together; so many are NEAR characters long at least
+
+
+def _grow(steps: Column, first: Column) -> Column:
+    """Running totals of a short array, from ``first`` on."""
+    none = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        total = acc["at"] + x
+        return F.struct(total.alias("at"), F.concat(acc["out"], F.array(total)).alias("out"))
+
+    return F.aggregate(steps, none, add, lambda acc: acc["out"])
+
+
+def running(steps: Column) -> Column:
+    """Running totals of an array of any length: of pieces, and within each from where it begins.
+
+    An array that grows is copied with each step, so it is never longer than a piece or the number of
+    pieces.
+    """
+    places = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _PIECE).cast("int"))
+    pieces = F.transform(places, lambda c: F.slice(steps, c * _PIECE + 1, _PIECE))
+    sums = F.transform(pieces, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
+    begins = F.transform(
+        F.arrays_zip(_grow(sums, F.lit(0)).alias("e"), sums.alias("n"), pieces.alias("p")),
+        lambda x: _grow(x["p"], x["e"] - x["n"]),
+    )
+    return F.flatten(begins)
 
 
 def _raw(kind: Kind) -> Column:
@@ -153,49 +182,56 @@ def _raw(kind: Kind) -> Column:
     )
 
 
-def _spans(kind: Kind, number: int, raw: Column) -> Column:
-    """Lays the matches out one after the other and keeps the valid ones.
+def _ends(raw: Column) -> Column:
+    """Where each match ends: the lengths of all matches and of the text between them, added up."""
+    steps = F.transform(raw["m"], lambda m, i: F.length(F.get(raw["b"], i)) + F.length(m))
+    return F.when(raw.isNotNull() & (F.size(raw["m"]) > 0), running(steps))
 
-    The array grows by valid matches only, so the work is linear in all matches.
-    """
+
+def _runs(raw: Column) -> Column:
+    """The text cut after every ``_RUN`` matches; the last piece goes to its end."""
     matches, between = raw["m"], raw["b"]
-    none = F.array().cast(_SPAN)
-
-    def lay(acc: Column, i: Column) -> Column:
-        match = F.get(matches, i)
-        start = acc["at"] + F.length(F.get(between, i))
-        end = start + F.length(match)
-        one = F.struct(
-            start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), match.alias("match")
-        )
-        out = F.when(kind.valid(match), F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    laid = F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lay,
-        lambda acc: acc["out"],
-    )
-    return F.when(raw.isNotNull() & (F.size(matches) > 0), laid).otherwise(none)
+    last = F.size(matches) - 1
 
+    def text_of(c: Column) -> Column:
+        places = F.sequence(c * _RUN, F.least(c * _RUN + _RUN - 1, last))
+        both = F.transform(places, lambda i: F.concat(F.get(between, i), F.get(matches, i)))
+        rest = F.when(c * _RUN + _RUN > last, F.get(between, last + 1)).otherwise("")
+        return F.concat(F.array_join(both, ""), rest)
 
-def _scored(kind: Kind, number: int) -> Column:
-    """Spans of one kind with a score: the prior, raised where a context word stands nearby."""
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(last / _RUN).cast("int")), text_of)
+    return F.when(raw.isNotNull() & (F.size(matches) > 0), pieces)
 
-    def score(s: Column) -> Column:
-        first = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.substring(F.col("text"), first + 1, s["end"] - first + NEAR)
+
+def _spans(kind: Kind, number: int, raw: Column, ends: Column, runs: Column) -> Column:
+    """The valid matches with a score: the prior, raised where a context word stands nearby.
+
+    What stands nearby is looked up in the text around the neighbouring matches, so the whole text is
+    never walked for a match.
+    """
+    matches = raw["m"]
+
+    def lay(i: Column) -> Column:
+        match, end = F.get(matches, i), F.get(ends, i)
+        start = end - F.length(match)
+        c = F.floor(i / _RUN).cast("int")
+        local = F.concat(*[F.coalesce(F.get(runs, c + k), F.lit("")) for k in (-1, 0, 1)])
+        shift = F.when(c > 1, F.get(ends, (c - 1) * _RUN - 1)).otherwise(0)
+        begin = F.greatest(start - NEAR, F.lit(0))
+        near = F.substring(local, begin - shift + 1, end - begin + NEAR)
         lift = F.when(F.lower(near).rlike(kind.words), 0.3).otherwise(0.0)
         return F.struct(
-            s["start"].alias("start"),
-            s["kind"].alias("kind"),
-            s["end"].alias("end"),
-            s["match"].alias("match"),
+            start.alias("start"),
+            F.lit(number).alias("kind"),
+            end.alias("end"),
+            match.alias("match"),
             F.least(F.lit(kind.prior) + lift, F.lit(1.0)).alias("score"),
         )
 
-    return F.transform(F.col(f"_s{number}"), score)
+    places = F.sequence(F.lit(0), F.size(matches) - 1)
+    valid = F.filter(places, lambda i: kind.valid(F.get(matches, i)))
+    laid = F.transform(valid, lay)
+    return F.when(ends.isNotNull(), laid).otherwise(F.array().cast(_SPAN))
 
 
 def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,10 +244,10 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     df = docs.select("doc_id", text_or_empty(docs).alias("text"))
     df = df.select("*", *[_raw(k).alias(f"_r{i}") for i, k in enumerate(KINDS)])
-    df = df.select(
-        "doc_id", "text", *[_spans(k, i, F.col(f"_r{i}")).alias(f"_s{i}") for i, k in enumerate(KINDS)]
-    )
-    df = df.select("doc_id", "text", *[_scored(k, i).alias(f"_s{i}") for i, k in enumerate(KINDS)])
+    parts = [(f"_r{i}", f"_e{i}", f"_t{i}") for i in range(len(KINDS))]
+    df = df.select("*", *[c for r, e, t in parts for c in (_ends(F.col(r)).alias(e), _runs(F.col(r)).alias(t))])
+    spans = [_spans(k, i, *map(F.col, parts[i])) for i, k in enumerate(KINDS)]
+    df = df.select("doc_id", "text", *[s.alias(f"_s{i}") for i, s in enumerate(spans)])
     base = F.concat(*[F.col(f"_s{i}") for i, k in enumerate(KINDS) if k.base])
     more = F.concat(*[F.col(f"_s{i}") for i, k in enumerate(KINDS) if not k.base])
     df = df.select("doc_id", "text", base.alias("_base"), more.alias("_more"))
