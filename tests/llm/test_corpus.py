@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
-from fractions import Fraction
 from math import ceil, floor, log10
 
 import numpy as np
@@ -365,45 +364,65 @@ def test_shortest_items_are_found(spark):
     assert got == {(k // 4, k) for k in range(len(items))}
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 333, "b": 333, "c": 1, "d": 333}])
-def test_period_is_fair(weights):
-    total = sum(weights.values())
-    slots = mixing.period(weights)
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {"a": 1, "b": 1},
+        {"a": 7, "b": 2, "c": 1},
+        {"a": 0.4996, "b": 0.5, "c": 0.0004},
+        {"a": 2**0.5, "b": 3**0.5, "c": 0.1, "d": 1e-3},
+        {"hot": 2500.0} | {f"s{i:04d}": 1.0 for i in range(500)},
+    ],
+)
+def test_schedule_is_fair(weights):
+    """Windows and a deviation of less than one block, from the exact targets, after every slot."""
+    share = mixing.shares(weights)
+    n = 3000
+    blocks = {s: n for s in share}  # no source ends
     taken = Counter()
-    for t, s in enumerate(slots, 1):
-        j = taken[s]
-        w = Fraction(weights[s], total)
-        assert floor(j / w) <= t - 1 and t <= ceil((j + 1) / w)
+    watched = sorted(share, key=lambda s: -share[s])[:4] + sorted(share)[:3]
+    for t, (s, j) in zip(range(1, n + 1), mixing.schedule(blocks, share)):
+        assert j == taken[s]
+        assert floor(j / share[s]) <= t - 1 and t <= ceil((j + 1) / share[s])
         taken[s] += 1
-        assert all(abs(taken[x] - t * Fraction(weights[x], total)) < 1 for x in weights)
-    assert dict(taken) == weights
-
-
-def test_mixing(spark):
+        assert all(abs(taken[x] - t * share[x]) < 1 for x in watched)
+    assert all(abs(taken[x] - n * share[x]) < 1 for x in share)
+
+
+def test_schedule_goes_on_when_sources_end():
+    share = mixing.shares({"a": 5, "b": 3, "c": 2})
+    blocks = {"a": 10, "b": 40, "c": 40}
+    order = [s for s, _ in mixing.schedule(blocks, share)]
+    assert Counter(order) == blocks
+    last = max(i for i, s in enumerate(order) if s == "a")
+    rest = Counter()
+    for t, s in enumerate(order[last + 1 : last + 41], 1):
+        rest[s] += 1
+        assert abs(rest["b"] - 0.6 * t) < 2
+    assert list(mixing.schedule({}, {})) == []
+    with pytest.raises(ValueError, match="positive"):
+        mixing.shares({"a": 0.0})
+
+
+def test_mixing(spark, monkeypatch):
     sources = ["hot"] * 500 + ["b"] * 130 + ["c"] * 64 + [None] * 3 + ["d"]
     docs = table(spark, ["t"] * len(sources), sources=sources)
-    got = mixing.mix_sources(docs, {"hot": 5, "b": 3, "c": 2}, block_rows=8).collect()
-    got.sort(key=lambda r: r["mix_position"])
-    assert [r["mix_position"] for r in got] == list(range(len(sources)))
-    order = []
-    for r in got:
-        if not order or order[-1][0] != r["mix_slot"]:
-            order.append((r["mix_slot"], r["source"] or "", r["mix_block"]))
-    assert [s for s, _, _ in order] == list(range(len(order)))
-    # a plain simulation block by block
-    left = {s or "": -(-n // 8) for s, n in Counter(sources).items()}
-    whole = mixing.target_weights({s: 1 for s in left}, {"hot": 5, "b": 3, "c": 2}, 0.5)
-    want, done = [], Counter()
-    while any(left.values()):
-        live = {s: whole[s] for s in left if left[s]}
-        pattern, k = mixing.period(live), 0
-        while all(left[s] for s in live):
-            s = pattern[k % len(pattern)]
-            want.append((s, done[s]))
-            done[s] += 1
-            left[s] -= 1
-            k += 1
-    assert [(s, b) for _, s, b in order] == want
+    docs = docs.selectExpr("*", "source AS _source", "'x' AS rank", "'y' AS _salt", "'z' AS doc", "1 AS mix_slot")
+    given = {"hot": 5, "b": 3, "c": 2}
+    for most, rows in ((mixing.SLOTS, 8), (40, 18)):  # longer blocks where there would be too many
+        monkeypatch.setattr(mixing, "SLOTS", most)
+        got = mixing.mix_sources(docs, given, block_rows=8).collect()
+        got.sort(key=lambda r: r["mix_position"])
+        assert [r["mix_position"] for r in got] == list(range(len(sources)))
+        assert all(r["_source"] == r["source"] and (r["rank"], r["_salt"], r["doc"]) == ("x", "y", "z") for r in got)
+        order = []
+        for r in got:
+            if not order or order[-1][0] != r["mix_slot"]:
+                order.append((r["mix_slot"], r["source"] or "", r["mix_block"]))
+        assert [s for s, _, _ in order] == list(range(len(order)))
+        blocks = {s or "": -(-n // rows) for s, n in Counter(sources).items()}
+        share = mixing.target_weights({s: 1 for s in blocks}, given, 0.5)
+        assert [(s, b) for _, s, b in order] == list(mixing.schedule(blocks, share))
     assert mixing.mix_sources(table(spark, [])).count() == 0
 
 

@@ -16,7 +16,7 @@ CHECKED_ROWS = 200_000
 LARGE, SMALL = 100_000, 64  # rows of a bucket
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Joins a stored table of few narrow rows; it is broadcast only when counting finds it small."""
     return big.join(F.broadcast(small) if small.count() <= CHECKED_ROWS else small, on, how)
 

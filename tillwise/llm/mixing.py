@@ -1,120 +1,110 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source are laid into blocks.  With integer weights w of a total W, one period has W
-slots, and block j of a source may not start before slot floor(j W / w) and must be done by slot
-ceil((j + 1) W / w).  Earliest deadline first meets all of these, so after every slot the number of
-blocks taken from a source differs from its share by less than one.  A period repeats for as long as
-no source ends; then the weights of those that are left make the next period.
+The documents of a source are laid into blocks, one of which is read a slot.  With target shares w that
+add up to 1, block j of a source may not start before slot floor(j / w) and must be done by slot
+ceil((j + 1) / w).  Earliest deadline first meets all of these, so after every slot the number of blocks
+taken from a source differs from its target by less than one.  Shares are taken as the exact fractions
+they are; nothing is rounded to a common grain.  When a source ends, time runs faster for those that are
+left, whose blocks keep their releases and deadlines.
+
+The schedule is as long as there are blocks.  A corpus has ``SLOTS`` blocks at most, and one more a
+source: blocks are longer where there are more rows, so the schedule is made at once and its size does
+not grow with the rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tillwise.llm.links import join_checked
 from tillwise.session import materialize
 
 BLOCK_ROWS = 64
-UNITS = 1000  # weights are whole numbers of about this total
+SLOTS = 200_000
 BUCKET_ROWS = 20_000
+_TICKS = 1 << 100  # parts of a slot in which releases and deadlines are told apart
 
 
-def whole_weights(weights: dict[str, float], units: int = UNITS) -> dict[str, int]:
-    """Weights as whole numbers, at least 1 each, that add up to about ``units``."""
-    total = sum(weights.values())
-    return {s: max(1, round(units * w / total)) for s, w in weights.items()}
+def shares(weights: dict[str, float]) -> dict[str, Fraction]:
+    """Exact shares that add up to 1."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w / total for s, w in exact.items()}
 
 
-def period(weights: dict[str, int]) -> list[str]:
-    """Source of every slot of one period by earliest deadline among the released blocks.
+def schedule(blocks: dict[str, int], weights: dict[str, Fraction]) -> Iterator[tuple[str, int]]:
+    """(source, block) of every slot: earliest deadline first among the released blocks.
 
     Ties go to the source that comes first in name.
     """
-    total = sum(weights.values())
-    waiting = [(0, s, 0) for s in sorted(weights)]  # release, source, block
-    ready: list[tuple[int, str, int]] = []
-    slots = []
+
+    def ticks(n: int, w: Fraction) -> int:
+        return n * _TICKS * w.denominator // w.numerator
+
+    waiting = [(0, s, 0) for s in sorted(blocks) if blocks[s]]
     heapq.heapify(waiting)
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
+    ready: list[tuple[int, str, int]] = []
+    open_ = sum((weights[s] for s in blocks if blocks[s]), Fraction(0))
+    begun, since = 0, 0  # time at which the open sources last changed, and slots since
+    while waiting or ready:
+        now = begun + ticks(since + 1, open_)  # the end of this slot
+        while waiting and (waiting[0][0] < now or not ready):
+            release, s, j = heapq.heappop(waiting)
+            if release >= now and ready:
+                heapq.heappush(waiting, (release, s, j))
+                break
+            heapq.heappush(ready, (ticks(j + 1, weights[s]), s, j))
         _, s, j = heapq.heappop(ready)
-        slots.append(s)
-        if j + 1 < weights[s]:
-            heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
-    return slots
-
-
-@dataclass
-class Phase:
-    """Slots from ``start`` on; block ``first[s] + k`` of source s takes place number k of the pattern."""
-
-    start: int
-    first: dict[str, int]
-    blocks: dict[str, int]
-    slots: list[str]
-
-
-def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
-    """The schedule of all blocks: as many phases as sources at most, each a repeated period."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    taken = dict.fromkeys(left, 0)
-    out, start = [], 0
-    while left:
-        pattern = period({s: weights[s] for s in left})
-        own = {s: [i for i, x in enumerate(pattern) if x == s] for s in left}
-        # a source's last block stands in slot: period number * period length + place
-        ends = {
-            s: (n - 1) // len(own[s]) * len(pattern) + own[s][(n - 1) % len(own[s])] for s, n in left.items()
-        }
-        length = min(ends.values()) + 1
-        whole, part = divmod(length, len(pattern))
-        count = {s: whole * len(own[s]) + sum(i < part for i in own[s]) for s in left}
-        out.append(Phase(start, {s: taken[s] for s in left}, count, pattern))
-        for s, n in count.items():
-            taken[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += length
-    return out
+        yield s, j
+        since += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, (ticks(j + 1, weights[s]), s, j + 1))
+        else:
+            begun, since = begun + ticks(since, open_), 0
+            open_ -= weights[s]
 
 
 def _numbered(docs: DataFrame, source: str) -> DataFrame:
-    """Adds ``_source`` and ``_rank``, the place of each row within its source from 0 on.
+    """(doc, source, id, rank): rank is the place of each row within its source from 0 on.
 
     Rows are dealt into hash ranges of about BUCKET_ROWS rows, and a range of a source is numbered by
     a window of its own, after the numbers of rows in the ranges before it; a source with a third of
     all rows is many small windows.
     """
-    rows = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit("mix"), "doc_id"))
-    n = max(1, -(-rows.count() // BUCKET_ROWS))
-    rows = rows.withColumn("_range", F.pmod(F.shiftrightunsigned("_hash", 1), F.lit(n)))
-    sizes = rows.groupBy("_source", "_range").agg(F.count("*").alias("_n"))
-    before = W.partitionBy("_source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(
-        "_source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("source"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64(F.lit("mix"), "doc_id").alias("hash"),
     )
-    inside = W.partitionBy("_source", "_range").orderBy("_hash", "doc_id")
+    n = max(1, -(-docs.count() // BUCKET_ROWS))
+    rows = rows.withColumn("range", F.pmod(F.shiftrightunsigned("hash", 1), F.lit(n)))
+    sizes = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
+    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = W.partitionBy("source", "range").orderBy("hash", "id")
     return (
-        rows.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(sizes, ["_source", "_range"])
-        .withColumn("_rank", F.col("_before") + F.col("_row"))
-        .drop("_hash", "_range", "_row", "_before")
+        rows.withColumn("row", F.row_number().over(inside) - 1)
+        .join(sizes, ["source", "range"])
+        .select("doc", "source", (F.col("before") + F.col("row")).alias("rank"))
     )
 
 
-def target_weights(sizes: dict[str, int], given: dict[str, float] | None, power: float) -> dict[str, int]:
-    """Whole weights of all sources: the given ones, and rows ** ``power`` for the others."""
+def target_weights(sizes: dict[str, int], given: dict[str, float] | None, power: float) -> dict[str, Fraction]:
+    """Shares of all sources: by the given weights, or else by rows ** ``power``."""
     if given:
         rest = min(given.values())
-        return whole_weights({s: given.get(s, rest) for s in sizes})
-    return whole_weights({s: n**power for s, n in sizes.items()})
+        return shares({s: given.get(s, rest) for s in sizes})
+    return shares({s: n**power for s, n in sizes.items()})
 
 
 def mix_sources(
@@ -130,69 +120,30 @@ def mix_sources(
     weighs as the square root (``power``) of its rows, so small sources come earlier and the large
     one does not crowd them out.  All rows are kept: when a source ends, the others go on by their
     weights.  ``mix_slot`` numbers the blocks, ``mix_block`` those of the own source, and
-    ``mix_position`` the rows without gaps.  Within a source, rows are in the order of a hash of
-    doc_id, so its blocks are random samples of it.  A null source is a source of its own (empty
-    name); rows that repeat a doc_id stay next to each other.  Added names that clash are replaced.
+    ``mix_position`` the rows without gaps.  A block has ``block_rows`` rows, more if there would be
+    over ``SLOTS`` blocks; a source's last block may be shorter.  Within a source, rows are in the order
+    of a hash of doc_id, so its blocks are random samples of it.  A null source is a source of its own
+    (empty name); rows that repeat a doc_id stay next to each other.  The three added names replace
+    columns of these names; all other columns come through, whatever their names.
 
-    The driver sees one count per source and one place per slot of a period: both are bounded by the
-    weights and do not grow with the rows.
+    The driver sees one count per source and the schedule, whose size is bounded.
     """
     added = ["mix_block", "mix_slot", "mix_position"]
     docs = docs.drop(*added)
     spark = docs.sparkSession
     ranked = materialize(_numbered(docs, source))
-    sizes = {r["_source"]: r["n"] for r in ranked.groupBy("_source").agg(F.count("*").alias("n")).collect()}
-    whole = target_weights(sizes, weights, power)
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    plan, places, ends = phases(blocks, whole), [], {}
-    for number, p in enumerate(plan):
-        seen = dict.fromkeys(p.first, 0)
-        for place, s in enumerate(p.slots):
-            places.append((s, number, seen[s], place))
-            seen[s] += 1
-        for s, first in p.first.items():
-            last = first + p.blocks[s]
-            ends.setdefault(s, []).append((number, p.start, first, last, p.slots.count(s), len(p.slots)))
-    spans = spark.createDataFrame(
-        [(s, *x) for s, xs in ends.items() for x in xs],
-        "_source string, _phase int, _start bigint, _first bigint, _last bigint, _own int, _length int",
-    )
-    table = spark.createDataFrame(places, "_source string, _phase int, _turn int, _place int")
-    block = F.floor(F.col("_rank") / block_rows).cast("bigint")
-    df = ranked.withColumn("mix_block", block)
-    grid = df.select("_source", "mix_block").distinct()
-    within = (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_last"))
-    done = F.col("mix_block") - F.col("_first")
-    grid = (
-        grid.join(F.broadcast(spans), "_source")
-        .filter(within)
-        .withColumn("_turn", (done % F.col("_own")).cast("int"))
-        .join(F.broadcast(table), ["_source", "_phase", "_turn"])
-        .select(
-            "_source",
-            "mix_block",
-            (F.col("_start") + F.floor(done / F.col("_own")) * F.col("_length") + F.col("_place")).alias("mix_slot"),
-        )
-    )
-    # only the last block of a source can be short; what it lacks moves all later slots up
-    short = []
-    for s, n in sizes.items():
-        lacks = blocks[s] * block_rows - n
-        if lacks:
-            short.append((_slot_of(plan, s, blocks[s] - 1), lacks))
-    position = F.col("mix_slot") * block_rows + F.col("_rank") % block_rows
-    for slot, lacks in short:
-        position = position - F.when(F.col("mix_slot") > slot, F.lit(lacks)).otherwise(F.lit(0))
-    salt: Column = F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")
-    grid = grid.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    out = df.withColumn("_salt", salt).join(grid, ["_source", "mix_block", "_salt"])
-    return out.withColumn("mix_position", position.cast("bigint")).select(*docs.columns, *added)
-
-
-def _slot_of(plan: list[Phase], source: str, block: int) -> int:
-    for p in plan:
-        first = p.first.get(source)
-        if first is not None and first <= block < first + p.blocks[source]:
-            own = [i for i, s in enumerate(p.slots) if s == source]
-            return p.start + (block - first) // len(own) * len(p.slots) + own[(block - first) % len(own)]
-    raise ValueError(f"no slot for block {block} of {source}")
+    sizes = {r["source"]: r["n"] for r in ranked.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    rows = max(block_rows, -(-sum(sizes.values()) // SLOTS))
+    blocks = {s: -(-n // rows) for s, n in sizes.items()}
+    places, start = [], 0
+    for slot, (s, j) in enumerate(schedule(blocks, target_weights(sizes, weights, power) if sizes else {})):
+        places.append((s, j, slot, start))
+        start += min(rows, sizes[s] - j * rows)
+    names = ["source", "mix_block", "mix_slot", "start"]
+    plan = pd.DataFrame(places, columns=names)
+    schema = "source string, mix_block bigint, mix_slot bigint, start bigint"
+    plan = materialize(spark.createDataFrame(plan, schema) if places else spark.createDataFrame([], schema))
+    block = F.floor(F.col("rank") / rows).cast("bigint")
+    out = join_checked(ranked.withColumn("mix_block", block), plan, ["source", "mix_block"])
+    position = (F.col("start") + F.col("rank") % rows).cast("bigint").alias("mix_position")
+    return out.select("doc.*", "mix_block", "mix_slot", position)
