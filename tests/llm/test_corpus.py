@@ -81,6 +81,15 @@ def test_exact(spark, texts):
     assert exact.exact_dedup(table(spark, [])).count() == 0
 
 
+def test_exact_without_ids(spark):
+    """Equal texts meet whether or not they have an id; a row without one yields to one that has."""
+    docs = table(spark, ["a", "a", "b", "b", "c", None, ""], ids=[None, 4, None, None, None, None, 5])
+    got = sorted(map(tuple, exact.exact_dedup(docs).drop("text_sha256").collect()), key=str)
+    want = [(None, 4, 2, False), (4, 4, 2, True), (None, None, 2, True), (None, None, 2, True)]
+    want += [(None, None, 1, True), (None, 5, 2, False), (5, 5, 2, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_exact_refines(spark):
     """Equal lengths and prefixes are not enough."""
     long = "p" * 400
@@ -243,6 +252,15 @@ def test_all_near_lines_are_found(spark):
     assert len(near) > 60
 
 
+def test_lines_with_clashing_columns(spark):
+    rows = [(1, "x y\nz", "a", "b", "c", 7), (2, "x y", "a", "b", "c", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _drop string, _id string, drop string, n_lines int")
+    got = sorted(map(tuple, lines.dedup_lines(docs).collect()))
+    assert got == [(1, "x y\nz", "a", "b", "c", 2, 0), (2, "", "a", "b", "c", 1, 1)]
+    left = lines.drop_emptied(lines.dedup_lines(docs)).collect()
+    assert [(r["doc_id"], r["drop"]) for r in left] == [(1, "c")]
+
+
 def test_short_lines_lose_their_copies(spark):
     """Lines of one or two words, and paragraphs without spaces, are lines like others."""
     texts = ["Read more\n\nhttps://a.b\n今天天气很好我们去公园", "read  More\n \nhttps://a.b", "今天天气很好我们去公园\n\nx"]
@@ -351,6 +369,15 @@ def test_contaminated(spark):
     assert decontam.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_without_ids(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    docs = table(spark, [f"x {item}", "fine text", f"y {item} z", "fine text"], ids=[None, None, 3, 4])
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = decontam.decontaminate(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "fine text"), (4, "fine text")]
+
+
 def test_shortest_items_are_found(spark):
     """Items of one to ten shingles, whole within long documents."""
     rng = random.Random(23)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import SHINGLE, SIMILARITY, batch_words, ship, shingle_hashes, small_batches
+from tillwise.session import materialize
 
 HASHES = 64
 ITEMS_PER_PASS = 4096
@@ -167,9 +168,19 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item; all their columns."""
+    """``docs`` without documents that hold a benchmark item; all their columns.
+
+    Rows of one doc_id go together; rows without doc_id are judged each on its own.
+    """
     ids = contaminated(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    named = docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = materialize(nameless.select(whole, F.monotonically_increasing_id().alias("doc_id"), "text"))
+    bad = contaminated(rows, benchmark, threshold).select("doc_id").distinct()
+    return named.unionByName(rows.join(bad, "doc_id", "left_anti").select("doc.*"))
 
 
 # The same rows in DuckDB's SQL, by joining all shingles.

@@ -47,7 +47,7 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     survivors = _grouped_again(same_length, ["n", "p"], "c").select("doc_id").distinct()
     full = materialize(
         docs.select("doc_id", text.alias("text"))
-        .join(survivors, "doc_id", "left_semi")
+        .join(survivors.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         .select("doc_id", F.sha2("text", 256).alias("text_sha256"))
     )
     groups = full.groupBy("text_sha256").agg(
@@ -69,16 +69,19 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
     Documents without an equal text are their own group of size 1.  Rows are matched by doc_id and
-    digest, so a doc_id that occurs with different texts keeps a row for each.
+    digest, so a doc_id that occurs with different texts keeps a row for each.  A row without doc_id
+    yields to equal texts that have one; if none has, keep_id is null and all of them are kept.
     """
-    found = exact_groups(docs, prefix).distinct()
+    names = {"doc_id": "_id", "text_sha256": "_sha"}
+    found = exact_groups(docs, prefix).distinct().withColumnsRenamed(names)
     every = docs.select("doc_id", digest(docs).alias("text_sha256"))
     keep = F.coalesce("keep_id", "doc_id")
-    return every.join(found, ["doc_id", "text_sha256"], "left").select(
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha"))
+    return every.join(found, same, "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        (keep == F.col("doc_id")).alias("kept"),
+        F.coalesce(keep == F.col("doc_id"), keep.isNull()).alias("kept"),
         "text_sha256",
     )
 
@@ -87,6 +90,6 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
 SQL = """
 WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256
+SELECT t.doc_id, g.keep_id, g.group_size, coalesce(t.doc_id = g.keep_id, g.keep_id IS NULL) AS kept, t.text_sha256
 FROM t JOIN g USING (text_sha256)
 """
