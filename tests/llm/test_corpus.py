@@ -181,7 +181,6 @@ def line_sets(texts):
     keys = list(long)
     column = common.batch_words(pa.array([" ".join(w) for w in keys], pa.string()))
     h = column.hashes()
-    sims = lines.simhash(h, column.at)
     root = list(range(len(keys)))
 
     def find(x):
@@ -193,8 +192,6 @@ def line_sets(texts):
         for b in range(a):
             if min(len(keys[a]), len(keys[b])) < lines.LEAST_FUZZY_WORDS:
                 continue
-            if bin(int(sims[a] ^ sims[b])).count("1") > lines.APART:
-                continue
             alike = lines.edit_similarity(h[column.at[a] : column.at[a + 1]], h[column.at[b] : column.at[b + 1]])
             if alike >= 0.8 - 1e-9:
                 root[find(a)] = find(b)
@@ -286,57 +283,35 @@ def test_edit_similarity():
         assert lines.edit_similarity(a, b) == pytest.approx(plain(a, b))
 
 
-def test_block_keys_are_complete(spark):
-    rng = random.Random(4)
-    rows = []
-    for _ in range(200):
-        x = rng.getrandbits(64)
-        y = x
-        for bit in rng.sample(range(64), 3):
-            y ^= 1 << bit
-        rows.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
-    df = spark.createDataFrame(rows, "x bigint, y bigint")
-    from pyspark.sql import functions as F
-
-    shared = F.size(F.array_intersect(lines.block_keys(F.col("x")), lines.block_keys(F.col("y"))))
-    assert df.filter(shared == 0).count() == 0
-
-
-def test_group_links_finds_chains(spark):
-    """A link between followers of two heads is found although neither meets the other's head."""
+def test_close_links_finds_chains(spark):
+    """A link between followers of two leads is found although neither meets the other's lead."""
     members = spark.createDataFrame(
-        [(1, n, 0) for n in (1, 2, 3, 4)] + [(2, 9, 0)], "bucket bigint, node bigint, tag bigint"
+        [(1, n, t, 5) for n, t in ((1, 0), (2, 0), (3, 1), (4, 1))] + [(2, 9, 0, 5)],
+        "bucket bigint, node bigint, tag bigint, n bigint",
     )
-    true = {(1, 2), (3, 4), (2, 3)}
 
     def verify(pairs):
         return pairs.filter("concat(a, b) IN (12, 34, 23)")
 
-    got = {r["node"]: r["root"] for r in links.group_links(members, verify).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 1} and len(true) == 3
+    def close(tag, n, other_tag, other_n):
+        return np.abs(tag - other_tag) <= 1
+
+    got = {r["node"]: r["root"] for r in links.close_links(members, verify, close).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1}
 
 
-def test_large_buckets_stream(spark, monkeypatch):
-    """Buckets cut over many batches, and pieces of large ones, give the same members."""
+def test_buckets_are_whole_over_batches():
     rng = np.random.default_rng(4)
     bucket = np.sort(np.concatenate([rng.integers(0, 40, 150), np.full(90, 7), np.full(60, 41)]))
-    node = np.arange(len(bucket))
-    tag = rng.integers(0, 3, len(bucket))
-    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node), pa.array(tag)], names=["bucket", "node", "tag"])
-    size = Counter(bucket.tolist())
-    want = {(b, n, int(node[bucket == b][0])) for b, n in zip(bucket.tolist(), node.tolist()) if size[b] > 1}
-    for large, step in ((100_000, 300), (100_000, 7), (20, 7), (20, 1)):
-        monkeypatch.setattr(links, "LARGE", large)
-        out = links._bucket_mates(None)(whole.slice(i, step) for i in range(0, len(bucket), step))
-        got = {(r["bucket"], r["node"], r["least"]) for b in out for r in b.to_pylist()}
-        assert got == want
-    near = links._bucket_mates(1)(iter([whole]))
-    got = {r["node"] for b in near for r in b.to_pylist() if size[r["bucket"]] <= links.SMALL}
-    close = {
-        n for b, n in zip(bucket.tolist(), node.tolist()) if size[b] <= links.SMALL
-        and sum(bin(int(tag[n] ^ t)).count("1") <= 1 for t in tag[bucket == b]) > 1
-    }
-    assert got == close
+    node = np.arange(len(bucket)) // 2  # some nodes twice
+    cols = [pa.array(bucket), pa.array(node), pa.array(node), pa.array(node)]
+    whole = pa.RecordBatch.from_arrays(cols, names=links.NAMES)
+    size = Counter(b for b, _ in set(zip(bucket.tolist(), node.tolist(), strict=True)))
+    want = {(b, n) for b, n in zip(bucket.tolist(), node.tolist(), strict=True) if size[b] > 1}
+    for step in (300, 7, 1):
+        parts = links._whole_buckets((whole.slice(i, step) for i in range(0, len(bucket), step)), links.NAMES)
+        got = [(int(b), int(n)) for part in parts for b, n in zip(part[0], part[1], strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_contaminated(spark):

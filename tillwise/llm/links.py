@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import connected_groups
 from tillwise.session import materialize
 
 CHECKED_ROWS = 200_000
-LARGE, SMALL = 100_000, 64  # rows of a bucket
+SMALL = 64  # rows of a bucket whose pairs are all made
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -21,127 +21,6 @@ def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     return big.join(F.broadcast(small) if small.count() <= CHECKED_ROWS else small, on, how)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64))
-
-
-def _bucket_mates(apart: int | None):
-    """Rows of buckets with two members or more, with the least node, from rows sorted by bucket.
-
-    Buckets stream by: one that outgrows ``LARGE`` rows is given out in pieces, so memory is bounded.
-    With ``apart``, members of small buckets that differ from all their mates in more bits are left
-    out; random collisions end here.
-    """
-    names = ["bucket", "node", "tag"]
-
-    def rows(cols: list[np.ndarray], keep: np.ndarray, least: np.ndarray, least_tag: np.ndarray) -> pa.RecordBatch:
-        arrays = [*(c[keep] for c in cols), least, least_tag]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[*names, "least", "least_tag"])
-
-    def whole(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        bucket, node, tag = cols
-        start = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
-        size = np.diff(start, append=len(bucket))
-        keep = np.repeat(size > 1, size)
-        if apart is not None:
-            two = start[size == 2]
-            far = two[_apart(tag[two], tag[two + 1]) > apart]
-            keep[far] = keep[far + 1] = False
-            for lo, n in zip(start[(size > 2) & (size <= SMALL)], size[(size > 2) & (size <= SMALL)], strict=True):
-                t = tag[lo : lo + n]
-                keep[lo : lo + n] = (_apart(t[:, None], t[None, :]) <= apart).sum(1) > 1
-        chosen = np.flatnonzero(keep)
-        if not len(chosen):
-            return None
-        # the least of the members that are left
-        first = np.flatnonzero(np.diff(bucket[chosen], prepend=bucket[chosen[0]] - 1))
-        lead = chosen[np.repeat(first, np.diff(first, append=len(chosen)))]
-        return rows(cols, chosen, node[lead], tag[lead])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        open_: tuple[int, int, int] | None = None  # bucket, least node and its tag, of a large bucket
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held = [np.concatenate([h, b.column(n).to_numpy(zero_copy_only=False)]) for h, n in zip(held, names, strict=True)]
-            if open_:
-                more = int(np.searchsorted(held[0], open_[0], "right"))
-                if more:
-                    yield rows(held, np.arange(more), np.full(more, open_[1]), np.full(more, open_[2]))
-                    held = [h[more:] for h in held]
-                if not len(held[0]):
-                    continue
-                open_ = None
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last and (out := whole([h[:last] for h in held])) is not None:
-                yield out
-            held = [h[last:] for h in held]
-            if len(held[0]) > LARGE:
-                open_ = tuple(int(h[0]) for h in held)
-                n = len(held[0])
-                yield rows(held, np.arange(n), np.full(n, open_[1]), np.full(n, open_[2]))
-                held = [h[:0] for h in held]
-        if len(held[0]) and (out := whole(held)) is not None:
-            yield out
-
-    return run
-
-
-def group_links(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: int | None = None
-) -> DataFrame:
-    """(node, root) of the groups that verified pairs of bucket mates connect.
-
-    ``members`` has bucket, node and tag, all bigint.  ``verify`` gets stored pairs (a, b) and returns
-    those that are links; with ``apart``, only pairs whose tags differ in so many bits or fewer are
-    looked at.
-
-    1. Each bucket is a star: its least node against every other.  2. Verified stars make groups.
-    3. Pairs of bucket mates that are still in different groups are verified too.  Pairs within a
-    group cannot change the groups and are never built, so a bucket full of likes costs one pair per
-    member, while no link between groups is missed.  Members move once, sorted by bucket.
-    """
-
-    def close(x: str, y: str) -> Column:
-        return F.lit(True) if apart is None else F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= apart
-
-    sorted_ = members.repartition("bucket").sortWithinPartitions("bucket", "node")
-    schema = "bucket bigint, node bigint, tag bigint, least bigint, least_tag bigint"
-    shared = materialize(sorted_.mapInArrow(_bucket_mates(apart), schema))
-    stars = (
-        shared.filter((F.col("node") != F.col("least")) & close("least_tag", "tag"))
-        .select(F.col("least").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    found = materialize(verify(materialize(stars)).select("a", "b"))
-    groups = connected_groups(found)
-    placed = materialize(
-        shared.join(groups, "node", "left").select(
-            "bucket", "node", "tag", "least", F.coalesce("root", "node").alias("root")
-        )
-    )
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_ = placed.join(mixed.filter("lo <> hi").select("bucket"), "bucket")
-    # the least node of a bucket has met all others already
-    open_ = open_.filter(F.col("node") != F.col("least")).select("bucket", "node", "tag", "root")
-    other = open_.select(
-        "bucket", F.col("node").alias("b"), F.col("tag").alias("tag_b"), F.col("root").alias("root_b")
-    )
-    rest = (
-        open_.join(other, "bucket")
-        .filter((F.col("root") < F.col("root_b")) & close("tag", "tag_b"))
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        .distinct()
-    )
-    rest = materialize(rest)
-    if rest.isEmpty():
-        return groups
-    more = verify(rest).select("a", "b")
-    ties = groups.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return connected_groups(ties.union(more))
-
-
 NAMES = ["bucket", "node", "tag", "n"]
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -249,9 +128,10 @@ def close_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], cl
     """(node, root) of the groups that verified pairs of close bucket mates connect.
 
     ``members`` has bucket, node, tag and n, all bigint; ``close`` compares tags and n of rows and says
-    no only to pairs that ``verify`` would not return.  As ``group_links``: each member first against
-    one close mate, then close mates that are still in different groups.  Pairs are made within sorted
-    buckets, so members move and no product is shuffled but for the pairs that are close.
+    no only to pairs that ``verify`` would not return.  Each member meets one close mate first; verified,
+    these make groups; then close mates that are still in different groups are verified too.  Pairs within
+    a group cannot change the groups and are never built.  Pairs are made within sorted buckets, so members
+    move and no product is shuffled but for the pairs that are close.
     """
     schema = "bucket bigint, node bigint, tag bigint, n bigint"
     sorted_ = members.repartition("bucket").sortWithinPartitions("bucket", "node")
