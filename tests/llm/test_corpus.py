@@ -249,6 +249,15 @@ def test_all_near_lines_are_found(spark):
     assert len(near) > 60
 
 
+def test_word_counts_are_those_of_all_documents(spark):
+    rng = random.Random(31)
+    texts = [f"only{i} " + sentence(rng, rng.randrange(1, 30)) for i in range(60)] + ["", None]
+    expected = np.zeros(lines.SLOTS, np.int64)
+    h = common.batch_words(pa.array(texts)).hashes()
+    np.add.at(expected, (h & np.uint64(lines.SLOTS - 1)).astype(np.int64), 1)
+    assert (lines.word_counts(table(spark, texts)) == expected).all()
+
+
 def test_lines_with_clashing_columns(spark):
     rows = [(1, "x y\nz", "a", "b", "c", 7), (2, "x y", "a", "b", "c", 7)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, _drop string, _id string, drop string, n_lines int")
