@@ -1,6 +1,8 @@
 """Trees, boosting, forests, attribution and many-start k-means against plain versions."""
 
 import math
+import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -234,6 +236,40 @@ def test_attribution_equals_the_subset_definition():
             assert abs(got[r, j] - want) < 1e-12
 
 
+def test_attribution_of_many_rows_is_shared_by_like_rows():
+    """The integral is taken once per leaf and set of features, not once per leaf and row."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 200, (12_000, 8)).astype(np.int16)
+    one = (rng.random(len(x)) < x[:, 0] / 200).astype(np.int64)
+    roots = trees.Nodes.roots(np.array([5], np.uint64), np.zeros(1, np.int64))
+    channels = (np.ones(len(x), np.int64), one, 1 - one)
+    tree = trees.grow(x, np.zeros(len(x), np.int64), channels, roots, trees.Rule(features_per_split=2))
+    boxes = explain.leaf_boxes(tree, 8)
+    assert len(boxes[0]) > 1500
+    began = time.perf_counter()
+    got = explain.attribute(x, *boxes)
+    assert time.perf_counter() - began < 15  # every pair by itself: 20 to 30 s
+    few = x[:40]
+    assert np.abs(got[:40] - explain.attribute(few, *boxes)).max() < 1e-9
+    inside = ((few[None] > boxes[1][:, None]) & (few[None] <= boxes[2][:, None])).all(axis=2)
+    base = (boxes[0] * boxes[3].prod(axis=1)).sum()
+    assert np.abs(base + got[:40].sum(axis=1) - boxes[0] @ inside).max() < 1e-9
+
+
+def test_growing_adds_up_one_feature_at_a_time():
+    """Memory of a task does not hold the cells of all features of all rows."""
+    rng = np.random.default_rng(7)
+    n = 100_000
+    x = rng.integers(0, 255, (n, 16)).astype(np.int16)
+    one = (rng.random(n) < x[:, 0] / 255).astype(np.int64)
+    roots = trees.Nodes.roots(np.array([5], np.uint64), np.zeros(1, np.int64))
+    tracemalloc.start()
+    tree = trees.grow(x, np.zeros(n, np.int64), (np.ones(n, np.int64), one, 1 - one), roots, trees.Rule(max_depth=4))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(tree.feature) == 31 and peak < 25_000_000
+
+
 # --- clusters
 
 

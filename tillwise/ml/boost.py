@@ -142,15 +142,24 @@ def top_rows(tops: dict[int, tuple[Tree, Nodes]]) -> list[tuple]:
     return out
 
 
+def trees_of(columns: list[np.ndarray]) -> list[tuple[int, Nodes]]:
+    """Number and nodes of each tree, the root first, from columns as in ``NODE_SCHEMA``."""
+    columns = [np.asarray(c, np.int64) for c in columns]
+    order = np.lexsort([columns[2], columns[2] != -1, columns[0]])
+    columns = [c[order] for c in columns]
+    starts = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0] - 1))
+    found = []
+    for lo, hi in zip(starts, [*starts[1:], len(columns[0])], strict=True):
+        number, _, name, feature, cut, left, right, *sums = [c[lo:hi] for c in columns]
+        child = [np.where(feature >= 0, np.searchsorted(name[1:], c) + 1, -1) for c in (left, right)]
+        none = np.zeros(hi - lo, np.int64)
+        found.append((int(number[0]), Nodes(feature, cut, *child, *sums, none, none.astype(np.uint64))))
+    return found
+
+
 def tree_of(rows: list) -> Nodes:
     """One tree from its ``NODE_SCHEMA`` rows, the root first."""
-    rows = sorted(rows, key=lambda r: (r[2] != -1, r[2]))
-    place = {r[2]: i for i, r in enumerate(rows)}
-    column = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
-    inner = column[3] >= 0
-    child = [np.array([place[c] if ok else -1 for c, ok in zip(column[k], inner, strict=True)]) for k in (5, 6)]
-    none = np.zeros(len(rows), np.int64)
-    return Nodes(column[3], column[4], *child, *column[7:10], none, none.astype(np.uint64))
+    return trees_of(list(zip(*rows, strict=True)))[0][1]
 
 
 def _followed(since: Steps):

@@ -21,47 +21,108 @@ from pyspark.sql import functions as F
 from tillwise.ml.forest import Forest
 from tillwise.ml.trees import Nodes, Rows
 
-PAIRS_AT_ONCE = 100_000  # rows times leaves
+LEAVES_AT_ONCE = 8  # bits of a mask
+DENSE = 1 << 18  # codes that a table may hold
 
 
 def leaf_boxes(tree: Nodes, width: int) -> tuple[np.ndarray, ...]:
     """Per leaf: value, and per feature the bins low < x <= high that lead there and the share that does.
 
     The share is the part of the learning rows that goes the leaf's way at the splits on the feature.
+    Leaves are listed from left to right, so that neighbours have most of their way in common.
     """
     cover = np.maximum(tree.a + tree.b, 1)
-    at = np.zeros(1, np.int64)
+    levels, leaves = [np.zeros(1, np.int64)], np.ones(len(tree.feature), np.int64)
+    while len(levels[-1]):
+        inner = levels[-1][tree.feature[levels[-1]] >= 0]
+        levels.append(np.concatenate([tree.left[inner], tree.right[inner]]))
+    for at in reversed(levels):
+        inner = at[tree.feature[at] >= 0]
+        leaves[inner] = leaves[tree.left[inner]] + leaves[tree.right[inner]]
+    at, place = np.zeros(1, np.int64), np.zeros(1, np.int64)
     low, high, share = np.full((1, width), -1), np.full((1, width), 1 << 15), np.ones((1, width))
     found = []
     while len(at):
         leaf = tree.feature[at] < 0
-        found.append((tree.a[at[leaf]] / cover[at[leaf]], low[leaf], high[leaf], share[leaf]))
-        at, low, high, share = at[~leaf], low[~leaf], high[~leaf], share[~leaf]
+        found.append((place[leaf], tree.a[at[leaf]] / cover[at[leaf]], low[leaf], high[leaf], share[leaf]))
+        at, place, low, high, share = at[~leaf], place[~leaf], low[~leaf], high[~leaf], share[~leaf]
         f, cut, row = tree.feature[at], tree.bin[at], np.arange(len(at))
         sides = []
-        for child in (tree.left[at], tree.right[at]):
+        for child, before in ((tree.left[at], 0), (tree.right[at], leaves[tree.left[at]])):
             lo, hi, part = low.copy(), high.copy(), share.copy()
             part[row, f] *= cover[child] / cover[at]
-            sides.append((child, lo, hi, part))
-        sides[0][2][row, f] = np.minimum(high[row, f], cut)
-        sides[1][1][row, f] = np.maximum(low[row, f], cut)
-        at, low, high, share = (np.concatenate(c) for c in zip(*sides, strict=True))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+            sides.append((child, place + before, lo, hi, part))
+        sides[0][3][row, f] = np.minimum(high[row, f], cut)
+        sides[1][2][row, f] = np.maximum(low[row, f], cut)
+        at, place, low, high, share = (np.concatenate(c) for c in zip(*sides, strict=True))
+    place, *boxes = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(place)
+    return tuple(c[order] for c in boxes)
+
+
+def _shrunk(code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct code in ``code``, all below ``size``, and the number of every code."""
+    if size > DENSE:
+        _, first, number = np.unique(code, return_index=True, return_inverse=True)
+        return first, number.reshape(code.shape)
+    table = np.full(size, -1, np.int64)
+    table[code] = np.arange(len(code))
+    seen = np.flatnonzero(table >= 0)
+    first = table[seen]
+    table[seen] = np.arange(len(seen))
+    return first, table[code]
+
+
+def _joined(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``_shrunk`` of rows of several codes."""
+    code, size = columns[0].astype(np.int64), sizes[0]
+    for c, n in zip(columns[1:], sizes[1:], strict=True):
+        if size * n >= 1 << 62:
+            first, code = _shrunk(code, size)
+            size = len(first)
+        code *= n
+        code += c
+        size *= n
+    return _shrunk(code, size)
 
 
 def attribute(x: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarray, share: np.ndarray):
-    """Shapley values (rows x features) of the sum of some leaves."""
+    """Shapley values (rows x features) of the sum of some leaves.
+
+    For a few neighbouring leaves, rows that every feature lets into the same ones are one; and for a
+    leaf only the set of features that let a row in matters.  The integral is taken once per such set.
+    """
     width = x.shape[1]
     spots, weights = np.polynomial.legendre.leggauss(width // 2 + 1)
     phi = np.zeros(x.shape)
-    for i in range(0, len(value), max(PAIRS_AT_ONCE // max(len(x), 1), 1)):
-        part = slice(i, i + max(PAIRS_AT_ONCE // max(len(x), 1), 1))
-        inside = (x[:, None, :] > low[part]) & (x[:, None, :] <= high[part])
-        gap = inside - share[part]
+    if not len(x):
+        return phi
+    columns = np.ascontiguousarray(x.T).astype(np.int64)
+    bins = np.arange(columns.max() + 1)[:, None]
+    for i in range(0, len(value), LEAVES_AT_ONCE):
+        part = slice(i, i + LEAVES_AT_ONCE)
+        lo, hi, sh, worth = low[part], high[part], share[part], value[part]
+        gates = (bins[:, None] > lo) & (bins[:, None] <= hi)  # bin, leaf, feature
+        masks = np.packbits(gates, axis=1)[:, 0]  # bin, feature
+        classes, sizes = [np.zeros(len(x), np.int64)], [1]
+        for f in range(width):
+            used = np.zeros(1 << LEAVES_AT_ONCE, bool)
+            used[masks[:, f]] = True
+            if used.sum() > 1:
+                number = np.cumsum(used) - 1
+                classes.append(np.take(number[masks[:, f]], columns[f]))
+                sizes.append(int(used.sum()))
+        first, alike = _joined(classes, sizes)
+        opened = [gates[columns[f][first], :, f].ravel() for f in range(width)]
+        leaf = np.tile(np.arange(len(worth)), len(first))
+        some, number = _joined([leaf, *opened], [len(worth)] + [2] * width)
+        inside, at = np.stack([o[some] for o in opened], 1), leaf[some]
+        gap, part_share = inside - sh[at], sh[at]
+        each = np.zeros(gap.shape)
         for t, w in zip((spots + 1) / 2, weights / 2, strict=True):
-            factor = share[part] + t * gap
-            whole = factor.prod(axis=2) * (w * value[part])
-            phi += (gap / factor * whole[:, :, None]).sum(axis=1)
+            factor = part_share + t * gap
+            each += gap / factor * (factor.prod(axis=1) * (w * worth[at]))[:, None]
+        phi += each[number.reshape(len(first), -1)].sum(axis=1)[alike]
     return phi
 
 

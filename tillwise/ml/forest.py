@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.ml.boost import NODE_SCHEMA, node_rows, top_rows, tree_of
+from tillwise.ml.boost import NODE_SCHEMA, node_rows, top_rows, trees_of
 from tillwise.ml.metrics import auc_by
 from tillwise.ml.trees import (
     LOCAL_ROWS,
@@ -265,11 +265,13 @@ class Forest:
     def by_slices(self, df: DataFrame, id_col: str, work, schema: str) -> DataFrame:
         """Cogroups slices of trees with blocks of rows: ``work(trees, rows)`` sees one of each.
 
-        A slice is a run of trees with about ``NODES_PER_SLICE`` nodes; a block about
-        ``ROWS_PER_BLOCK`` rows.  ``work`` returns arrays in the order of ``schema``.
+        A slice is some trees with ``NODES_PER_SLICE`` nodes or fewer, and there are as many as keep
+        all cores busy; a block has about ``ROWS_PER_BLOCK`` rows.  ``work`` returns arrays in the order
+        of ``schema``.
         """
         n_nodes, n_rows = self.nodes.count(), df.count()
-        slices = min(max(-(-n_nodes // NODES_PER_SLICE), 1), self.trees)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        slices = min(max(-(-n_nodes // NODES_PER_SLICE), 2 * cores), self.trees)
         blocks = max(-(-n_rows // ROWS_PER_BLOCK), 1)
         rows = binned_rows(df.withColumn("_none", F.lit(0)), self.features, self.edges, id_col, "_none")
         rows = rows.select("*", F.pmod("row", F.lit(blocks)).cast("int").alias("block"))
@@ -284,11 +286,9 @@ class Forest:
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
                 return empty
-            trees = {}
             names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-            for r in zip(*[left.column(c).to_pylist() for c in names], strict=True):
-                trees.setdefault(r[0], []).append(r)
-            return work([tree_of(t) for t in trees.values()], Rows.of(right))
+            trees = trees_of([np.asarray(left.column(c)) for c in names])
+            return work([nodes for _, nodes in trees], Rows.of(right))
 
         pair = nodes.groupBy("slice", "block").cogroup(rows.groupBy("slice", "block"))
         return pair.applyInArrow(run, schema)

@@ -213,11 +213,19 @@ def cells_of(node: np.ndarray, x: np.ndarray, channels: tuple[np.ndarray, ...]):
     return key[start], tuple(np.add.reduceat(c[rows], start) for c in channels)
 
 
-def best_splits(key: np.ndarray, channels: tuple, width: int, node_key: np.ndarray, rule: Rule):
-    """(node, feature, bin, rows of the left child) of every node that has a valid split.
+@dataclass
+class Cuts:
+    """The best cut of each (node, feature) that has cells: its gain, bin and rows of the left child."""
 
-    ``key`` and ``channels`` are those of ``cells_of``; ``node_key`` is indexed by node.
-    """
+    group: np.ndarray  # node * width + feature
+    varied: np.ndarray  # whether the node has several bins of the feature
+    gain: np.ndarray
+    bin: np.ndarray
+    n_left: np.ndarray
+
+
+def best_cuts(key: np.ndarray, channels: tuple, rule: Rule) -> Cuts:
+    """``key`` and ``channels`` are those of ``cells_of``."""
     group = key // _WIDTH
     new = np.concatenate([[True], group[1:] != group[:-1]])
     first = np.flatnonzero(new)
@@ -238,26 +246,89 @@ def best_splits(key: np.ndarray, channels: tuple, width: int, node_key: np.ndarr
     top = np.maximum.reduceat(gain, first)
     place = np.where(gain == top[of], np.arange(len(key)), len(key))
     place = np.minimum.reduceat(place, first)
-    node, feature = group[first] // width, group[first] % width
+    return Cuts(group[first], size > 1, top, key[place] % _WIDTH, left[0][place])
+
+
+def best_splits(key: np.ndarray, channels: tuple, width: int, node_key: np.ndarray, rule: Rule):
+    """(node, feature, bin, rows of the left child) of every node that has a valid split.
+
+    ``key`` and ``channels`` are those of ``cells_of``; ``node_key`` is indexed by node.
+    """
+    cuts = best_cuts(key, channels, rule)
+    node, feature = cuts.group // width, cuts.group % width
     # the features a node looks at: the first ones in its own order that are not constant
-    drawn = scramble(node_key[node] ^ scramble(feature + 1)) if rule.features_per_split else feature
-    varied = np.flatnonzero(size > 1)
+    drawn = _drawn(node_key[node], feature, rule)
+    varied = np.flatnonzero(cuts.varied)
     varied = varied[np.lexsort([drawn[varied], node[varied]])]
     at = node[varied]
     rank = np.arange(len(at)) - np.searchsorted(at, at)
     seen = varied[rank < (rule.features_per_split or width)]
-    seen = seen[top[seen] > -np.inf]
-    order = np.lexsort([np.arange(len(seen)), -top[seen], node[seen]])
+    seen = seen[cuts.gain[seen] > -np.inf]
+    order = np.lexsort([np.arange(len(seen)), -cuts.gain[seen], node[seen]])
     seen = seen[order]
     seen = seen[np.flatnonzero(np.diff(node[seen], prepend=-1))]
-    spot = place[seen]
-    return node[seen], feature[seen], key[spot] % _WIDTH, left[0][spot]
+    return node[seen], feature[seen], cuts.bin[seen], cuts.n_left[seen]
+
+
+def _drawn(node_key: np.ndarray, feature: np.ndarray, rule: Rule) -> np.ndarray:
+    """Where a feature stands in the order of a node."""
+    return scramble(node_key ^ scramble(feature + 1)) if rule.features_per_split else feature
+
 
+def _feature_cells(key: np.ndarray, size: int, channels: tuple) -> tuple[np.ndarray, tuple]:
+    """Sums of the channels per key, all below ``size``; by a table where keys are dense, else by sorting."""
+    if size <= 4 * len(key):
+        n = np.bincount(key, minlength=size)
+        some = np.flatnonzero(n)
+        return some, tuple(np.bincount(key, c, size)[some].astype(np.int64) for c in channels)
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[start], tuple(np.add.reduceat(c[order], start) for c in channels)
 
-def grow(x: np.ndarray, unit: np.ndarray, channels: tuple, roots: Nodes, rule: Rule) -> Nodes:
-    """Grows every root to the end; ``unit`` is the root of each row, channels are n, a, b."""
+
+def _level_splits(x: np.ndarray, index: np.ndarray, local: np.ndarray, channels: tuple, keys: np.ndarray, rule: Rule):
+    """What ``best_splits`` gives for rows ``index`` that stand node by node, one feature of a node at a time.
+
+    A node is done when it has looked at as many features that vary as it may: the cells of all others
+    are never added up.
+    """
+    nodes, width = len(keys), x.shape[1]
+    order = np.argsort(_drawn(keys[:, None], np.arange(width)[None, :], rule) + np.zeros((nodes, 1), np.int64), axis=1)
+    looked, gain = np.zeros(nodes, np.int64), np.full(nodes, -np.inf)
+    feature, cut = np.full(nodes, -1), np.zeros(nodes, np.int64)
+    flat, base = x.reshape(-1), index * width
+    for rank in range(width):
+        mine = order[:, rank]
+        key = local * _WIDTH + flat[base + mine[local]]
+        cuts = best_cuts(*_feature_cells(key, nodes * _WIDTH, channels), rule)
+        looked[cuts.group] += cuts.varied
+        better = cuts.varied & (cuts.gain > gain[cuts.group])
+        node = cuts.group[better]
+        gain[node], cut[node], feature[node] = cuts.gain[better], cuts.bin[better], mine[node]
+        if rank + 1 >= (rule.features_per_split or width):
+            open_ = looked < (rule.features_per_split or width)
+            keep = open_[local]
+            if not keep.any():
+                break
+            if not keep.all():
+                local, base, channels = local[keep], base[keep], tuple(c[keep] for c in channels)
+    found = np.flatnonzero(feature >= 0)
+    return found, feature[found], cut[found]
+
+
+def grow(x: np.ndarray, unit: np.ndarray, channels: tuple, roots: Nodes, rule: Rule, index: np.ndarray | None = None) -> Nodes:
+    """Grows every root to the end; ``unit`` is the root of each row, channels are n, a, b.
+
+    ``index`` are the rows of ``x``, by default each of them once.  Rows stand node by node throughout.
+    """
     nodes = replace(roots)
+    index = np.arange(len(x)) if index is None else index
+    x = np.ascontiguousarray(x)
     at, lo = unit, 0
+    if len(at) and (np.diff(at) < 0).any():
+        order = np.argsort(at, kind="stable")
+        at, index, channels = at[order], index[order], tuple(c[order] for c in channels)
     while lo < len(nodes.feature):
         hi = len(nodes.feature)
         local = at - lo
@@ -265,21 +336,38 @@ def grow(x: np.ndarray, unit: np.ndarray, channels: tuple, roots: Nodes, rule: R
         nodes.n[lo:hi], nodes.a[lo:hi], nodes.b[lo:hi] = sums
         open_ = rule.may_split(*sums, nodes.depth[lo:hi])
         keep = open_[local]
-        x, at, local = x[keep], at[keep], local[keep]
-        channels = tuple(c[keep] for c in channels)
-        if len(x):
-            key, cells = cells_of(local, x, channels)
-            node, feature, cut, _ = best_splits(key, cells, x.shape[1], nodes.key[lo:hi], rule)
-            nodes.add_children(node + lo, feature, cut)
+        if not keep.all():
+            at, index, channels = at[keep], index[keep], tuple(c[keep] for c in channels)
+        if len(at):
+            some = np.flatnonzero(open_ & (sums[0] > 0))
+            number = np.cumsum(open_ & (sums[0] > 0)) - 1
+            node, feature, cut = _level_splits(x, index, number[at - lo], channels, nodes.key[lo:hi][some], rule)
+            nodes.add_children(some[node] + lo, feature, cut)
             inner = nodes.feature[at] >= 0
-            x, at = x[inner], at[inner]
-            channels = tuple(c[inner] for c in channels)
-            low = x[np.arange(len(x)), nodes.feature[at]] <= nodes.bin[at]
-            at = np.where(low, nodes.left[at], nodes.right[at])
+            if not inner.all():
+                at, index, channels = at[inner], index[inner], tuple(c[inner] for c in channels)
+            right = x[index, nodes.feature[at]] > nodes.bin[at]
+            at = np.where(right, nodes.right[at], nodes.left[at])
+            order = _side_by_side(at, right)
+            at, index, channels = at[order], index[order], tuple(c[order] for c in channels)
         lo = hi
     return nodes
 
 
+def _side_by_side(child: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Order that puts the rows of each left child before those of the right one; parents stand in order."""
+    size = np.bincount(child - child.min()) if len(child) else np.zeros(1, np.int64)
+    start = np.cumsum(size) - size
+    place = np.empty(len(child), np.int64)
+    for side in (~right, right):
+        mine = np.flatnonzero(side)
+        of = child[mine] - (child.min() if len(child) else 0)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        rank = np.arange(len(mine)) - np.repeat(first, np.diff(first, append=len(mine)))
+        place[start[of] + rank] = mine
+    return place
+
+
 # --- trees over a cluster
 
 
@@ -473,11 +561,11 @@ def grow_everywhere(
             some = part.trees[i : i + size]
             taken = [channels(t, data) for t in some]
             unit = np.repeat(np.arange(len(some)), [len(t[0]) for t in taken])
-            x = data.x[np.concatenate([t[0] for t in taken])]
+            index = np.concatenate([t[0] for t in taken])
             sums = tuple(np.concatenate([t[c] for t in taken]) for c in (1, 2, 3))
             keys = [part.key if part.key is not None else t.key for t in some]
             roots = Nodes.roots(np.array(keys, np.uint64), np.full(len(some), part.depth))
-            out.append(finish(some, part, grow(x, unit, sums, roots, some[0].rule), data))
+            out.append(finish(some, part, grow(data.x, unit, sums, roots, some[0].rule, index), data))
         out = [b for b in out if b is not None]
         return pa.Table.from_batches(out, empty.schema) if out else empty
 
