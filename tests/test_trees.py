@@ -118,6 +118,13 @@ def test_boosting_from_the_top_equals_boosting_in_tasks(binned, how):
     assert (margins[0] == margins[1]).all() and margins[0].std() > 0.1
 
 
+def test_splits_from_the_top_do_not_need_rows_of_every_node_in_a_task(binned):
+    few = materialize(binned.repartition(60))
+    one = forest.held_out_scores(few, 4, [(0, forest.rule_of(4))], [forest.Stop()], [3], local_rows=40)
+    two = forest.held_out_scores(binned, 4, [(0, forest.rule_of(4))], [forest.Stop()], [3])
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_boosting_of_one_class_and_of_constant_features(spark):
     rows = [(i, 5.0, 1.0) for i in range(40)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id int, a double, b double, y int")
@@ -179,6 +186,15 @@ def test_grid_equals_separate_forests(table, binned):
         assert sorted(same["score"]) == sorted(alone["score"]) and len(alone) == 125
 
 
+def test_one_copy_of_the_rows_serves_many_trees(binned):
+    """The full grid over five folds: 4,500 trees share 45 copies of the rows, and each is summed up once."""
+    assert forest.trees_a_part([100, 200, 300], 15, 8) == 100
+    assert forest.trees_a_part([100], 1, 8) == 5 and forest.trees_a_part([4, 6], 1, 1) == 2
+    assert forest.TREE_ROWS > 700_000
+    got = forest.held_out_scores(binned, 4, [(0, forest.rule_of(4))], [forest.Stop(), forest.Stop(2)], [40, 80])
+    assert got.count() == 125 * 4 and 0 < got.agg(F.avg("score")).first()[0] < 1
+
+
 def test_search_is_ordered_and_stored_forest_comes_back(spark, table, tmp_path):
     grid = {"trees": [4], "max_depth": [1, 3], "min_split": [2], "min_leaf": [1]}
     found = forest.grid_search(table, NAMES, "id", "y", "w", 2, grid)

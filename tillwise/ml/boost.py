@@ -1,7 +1,7 @@
 """Second-order boosting over binned rows, several fits at once.
 
 A round grows one tree a fit from sums of gradients and hessians per node, feature and bin (see
-``trees``); leaves take a Newton step.  Gradients are whole numbers of 2**-30, so sums, and with them
+``trees``), in a task or, with more rows, by one aggregation a level; leaves take a Newton step.  Gradients are whole numbers of 2**-30, so sums, and with them
 splits and leaves, do not depend on how the rows are spread.  All fits of a cross validation take their
 round together.  The model is bounded by its parameters; margins of all rows are written every
 ``ROUNDS_A_WRITE`` rounds and followed through the trees since then in between.
@@ -29,6 +29,7 @@ from tillwise.ml.trees import (
     binned_rows,
     grow_everywhere,
     scramble,
+    top_nodes,
 )
 from tillwise.session import materialize
 
@@ -157,11 +158,6 @@ def trees_of(columns: list[np.ndarray]) -> list[tuple[int, Nodes]]:
     return found
 
 
-def tree_of(rows: list) -> Nodes:
-    """One tree from its ``NODE_SCHEMA`` rows, the root first."""
-    return trees_of(list(zip(*rows, strict=True)))[0][1]
-
-
 def _followed(since: Steps):
     """Rows with the steps added to their margins."""
 
@@ -211,22 +207,27 @@ def boost(
         for i in range(len(folds)):
             positive, negative = size[f"p{i}"], size[f"n{i}"] - size[f"p{i}"]
             start[i] = float(np.log(positive / negative)) if positive and negative else 0.0
+    top_down = size["n"] > local_rows
+    if top_down:  # every level is an aggregation: a share of the rows for each core
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "row")
     stored = rows.withColumn("margin", F.array(*[F.lit(s) for s in start]))
+    stored = materialize(stored) if top_down else stored
     since, fitted = Steps([[] for _ in folds]), Boosted(how, folds, start, rows, [[] for _ in folds])
     for number in range(how.rounds):
         seeds = scramble(np.arange(len(folds)) + (number << 20))
         trees = [Tree(i, int(seeds[i]), f, how.rule()) for i, f in enumerate(folds)]
-        grown, tops = grow_everywhere(
-            stored, width, trees, Gradients(since), node_rows, NODE_SCHEMA, size["n"], 1, local_rows
-        )
-        found: list[list] = [[] for _ in folds]
-        for r in [*grown.collect(), *top_rows(tops)]:  # bounded: depth and fits
-            found[r[0]].append(tuple(r))
-        for fit, nodes in enumerate(found):
-            if nodes:
-                tree = tree_of(nodes)
-                for trees_of in (since.trees, fitted.trees):
-                    trees_of[fit].append((tree, how.values(tree)))
+        if top_down:
+            tops = top_nodes(stored, width, trees, Gradients(since), size["n"], 0)
+            found = [(fit, nodes) for fit, (_, nodes) in tops.items() if nodes.n[0]]
+        else:
+            grown, _ = grow_everywhere(
+                stored, width, trees, Gradients(since), node_rows, NODE_SCHEMA, size["n"], 1, local_rows
+            )
+            grown = grown.toPandas()  # bounded: depth and fits
+            found = trees_of([grown[c] for c in grown.columns]) if len(grown) else []
+        for fit, tree in found:
+            for listed in (since.trees, fitted.trees):
+                listed[fit].append((tree, how.values(tree)))
         if (number + 1) % ROUNDS_A_WRITE == 0 or number + 1 == how.rounds:
             stored = materialize(stored.mapInArrow(_followed(since), _MARGIN_SCHEMA))
             since = Steps([[] for _ in folds])

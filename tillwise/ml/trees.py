@@ -275,16 +275,21 @@ def _drawn(node_key: np.ndarray, feature: np.ndarray, rule: Rule) -> np.ndarray:
     return scramble(node_key ^ scramble(feature + 1)) if rule.features_per_split else feature
 
 
-def _feature_cells(key: np.ndarray, size: int, channels: tuple) -> tuple[np.ndarray, tuple]:
-    """Sums of the channels per key, all below ``size``; by a table where keys are dense, else by sorting."""
+def feature_cells(key: np.ndarray, size: int, sums: tuple) -> tuple[np.ndarray, tuple]:
+    """Number of rows and sums per key, all below ``size``; by a table where keys are dense, else by sorting.
+
+    ``sums`` are whole numbers below 2**53 in all, held as doubles.
+    """
     if size <= 4 * len(key):
         n = np.bincount(key, minlength=size)
         some = np.flatnonzero(n)
-        return some, tuple(np.bincount(key, c, size)[some].astype(np.int64) for c in channels)
+        cells = [np.bincount(key, c, size)[some] for c in sums]
+        return some, (n[some], *[c.astype(np.int64) for c in cells])
     order = np.argsort(key)
     key = key[order]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[start], tuple(np.add.reduceat(c[order], start) for c in channels)
+    cells = [np.add.reduceat(c[order], start).astype(np.int64) for c in sums]
+    return key[start], (np.diff(start, append=len(key)), *cells)
 
 
 def _level_splits(x: np.ndarray, index: np.ndarray, local: np.ndarray, channels: tuple, keys: np.ndarray, rule: Rule):
@@ -301,7 +306,7 @@ def _level_splits(x: np.ndarray, index: np.ndarray, local: np.ndarray, channels:
     for rank in range(width):
         mine = order[:, rank]
         key = local * _WIDTH + flat[base + mine[local]]
-        cuts = best_cuts(*_feature_cells(key, nodes * _WIDTH, channels), rule)
+        cuts = best_cuts(*feature_cells(key, nodes * _WIDTH, channels), rule)
         looked[cuts.group] += cuts.varied
         better = cuts.varied & (cuts.gain > gain[cuts.group])
         node = cuts.group[better]
@@ -318,12 +323,13 @@ def _level_splits(x: np.ndarray, index: np.ndarray, local: np.ndarray, channels:
 
 
 def grow(x: np.ndarray, unit: np.ndarray, channels: tuple, roots: Nodes, rule: Rule, index: np.ndarray | None = None) -> Nodes:
-    """Grows every root to the end; ``unit`` is the root of each row, channels are n, a, b.
+    """Grows every root to the end; ``unit`` is the root of each row, channels are n (of ones), a, b.
 
     ``index`` are the rows of ``x``, by default each of them once.  Rows stand node by node throughout.
     """
     nodes = replace(roots)
     index = np.arange(len(x)) if index is None else index
+    channels = tuple(c.astype(float) for c in channels[1:])
     x = np.ascontiguousarray(x)
     at, lo = unit, 0
     if len(at) and (np.diff(at) < 0).any():
@@ -332,7 +338,8 @@ def grow(x: np.ndarray, unit: np.ndarray, channels: tuple, roots: Nodes, rule: R
     while lo < len(nodes.feature):
         hi = len(nodes.feature)
         local = at - lo
-        sums = [np.bincount(local, c, hi - lo).astype(np.int64) for c in channels]
+        sums = [np.bincount(local, minlength=hi - lo)]
+        sums += [np.bincount(local, c, hi - lo).astype(np.int64) for c in channels]
         nodes.n[lo:hi], nodes.a[lo:hi], nodes.b[lo:hi] = sums
         open_ = rule.may_split(*sums, nodes.depth[lo:hi])
         keep = open_[local]
@@ -399,79 +406,103 @@ class Part:
     done: tuple[int, int, int] | None = None
 
 
-def _open_cells(rows: DataFrame, tops: dict, open_: list, channels: Channels) -> DataFrame:
-    """(slot, key, n, a, b) summed over all rows, for each open (tree, node)."""
+def _open_cells(rows: DataFrame, width: int, tops: dict, open_: list, channels: Channels) -> DataFrame:
+    """(slot, key, n, a, b) for each open (tree, node), added up by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_tree: dict[int, dict[int, int]] = {}
         for slot, (number, node) in enumerate(open_):
             by_tree.setdefault(number, {})[node] = slot
+        table: dict[int, np.ndarray] = {}
         for b in batches:
             data = Rows.of(b)
             for number, slots in by_tree.items():
                 tree, nodes = tops[number]
-                index, n, a, h = channels(tree, data)
-                slot_of = np.full(len(nodes.feature), -1)
-                slot_of[list(slots)] = list(slots.values())
+                index, _, *sums = channels(tree, data)
+                place_of = np.full(len(nodes.feature), -1)
+                place_of[list(slots)] = np.arange(len(slots))
                 x = data.x[index]
-                slot = slot_of[nodes.leaf(x, np.zeros(len(x), np.int64))]
-                hit = slot >= 0
-                if hit.any():
-                    key, sums = cells_of(slot[hit], x[hit], (n[hit], a[hit], h[hit]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), *[pa.array(s.astype(np.int64)) for s in sums]], names=["key", "n", "a", "b"]
-                    )
+                place = place_of[nodes.leaf(x, np.zeros(len(x), np.int64))]
+                hit = place >= 0
+                if not hit.any():
+                    continue
+                x, sums, first = x[hit], [c[hit].astype(float) for c in sums], place[hit] * width
+                if number not in table:
+                    table[number] = np.zeros((3, len(slots) * width * _WIDTH), np.int64)
+                for f in range(width):
+                    key, cells = feature_cells((first + f) * _WIDTH + x[:, f], table[number].shape[1], sums)
+                    table[number][:, key] += np.stack(cells)
+        for number, cells in table.items():
+            some = np.flatnonzero(cells[0])
+            slots = np.array(list(by_tree[number].values()))
+            slot, rest = slots[some // (width * _WIDTH)], some % (width * _WIDTH)
+            arrays = [slot, slot * (width * _WIDTH) + rest, *cells[:, some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["slot", "key", "n", "a", "b"])
 
     sums = [F.sum(c).alias(c) for c in ("n", "a", "b")]
-    return rows.mapInArrow(run, "key bigint, n bigint, a bigint, b bigint").groupBy("key").agg(*sums)
+    cells = rows.mapInArrow(run, "slot bigint, key bigint, n bigint, a bigint, b bigint")
+    return cells.repartition("slot").groupBy("slot", "key").agg(*sums)
 
 
 def _chooser(rules: list[Rule], keys: np.ndarray, depths: list[int], width: int):
-    """The split of one node from its own cells, feature -1 if it has none."""
+    """The split of one node from its own cells, feature -1 if it has none, and the sums of its left child."""
 
     def choose(cells: pd.DataFrame) -> pd.DataFrame:
         cells = cells.sort_values("key")
         key, slot = cells["key"].to_numpy(), int(cells["slot"].iloc[0])
         sums = tuple(cells[c].to_numpy() for c in ("n", "a", "b"))
         first = (key // _WIDTH) == key[0] // _WIDTH
-        total = [s[first].sum() for s in sums]
-        found = [np.zeros(0, int)] * 4
+        total = [int(s[first].sum()) for s in sums]
+        feature, cut, left = -1, -1, [0, 0, 0]
         if rules[slot].may_split(*[np.array([t]) for t in total], depths[slot])[0]:
-            found = best_splits(key, sums, width, keys, rules[slot])
-        names = ["slot", "feature", "bin", "n_left"]
-        out = pd.DataFrame(dict(zip(names, found, strict=True)), dtype="int64")
-        out = out if len(out) else pd.DataFrame([[slot, -1, -1, 0]], columns=names)
-        return out.assign(n=total[0], a=total[1], b=total[2], slot=slot)
+            _, found, where, _ = best_splits(key, sums, width, keys, rules[slot])
+            if len(found):
+                feature, cut = int(found[0]), int(where[0])
+                base = (slot * width + feature) * _WIDTH
+                below = (key >= base) & (key <= base + cut)
+                left = [int(s[below].sum()) for s in sums]
+        names = ["slot", "feature", "bin", "n_left", "a_left", "b_left", "n", "a", "b"]
+        return pd.DataFrame([[slot, feature, cut, *left, *total]], columns=names, dtype="int64")
 
     return choose
 
 
-def _top_nodes(
+def top_nodes(
     rows: DataFrame, width: int, trees: list[Tree], channels: Channels, n_rows: int, local_rows: int
 ) -> dict[int, tuple[Tree, Nodes]]:
-    """Splits nodes of more than ``local_rows`` rows, one aggregation a level; the driver sees splits."""
+    """Splits nodes of more than ``local_rows`` rows, one aggregation a level; the driver sees splits.
+
+    A child that cannot split gets its sums from the split and is not looked at again.
+    """
     tops = {
         t.number: (t, Nodes.roots(np.array([t.key], np.uint64), np.zeros(1, np.int64))) for t in trees
     }
     waiting = [(t.number, 0) for t in trees] if n_rows > local_rows else []
+    names = ("slot", "feature", "bin", "n_left", "a_left", "b_left", "n", "a", "b")
+    schema = ", ".join(f"{c} bigint" for c in names)
     while waiting:
         open_, waiting = waiting[:OPEN_AT_ONCE], waiting[OPEN_AT_ONCE:]
         rules = [tops[number][0].rule for number, _ in open_]
         keys = np.array([tops[number][1].key[node] for number, node in open_], np.uint64)
         depths = [int(tops[number][1].depth[node]) for number, node in open_]
 
-        cells = _open_cells(rows, tops, open_, channels)
-        slotted = cells.withColumn("slot", (F.col("key") / F.lit(width * _WIDTH)).cast("bigint"))
-        schema = "slot bigint, feature bigint, bin bigint, n_left bigint, n bigint, a bigint, b bigint"
-        for r in slotted.groupBy("slot").applyInPandas(_chooser(rules, keys, depths, width), schema).collect():
+        cells = _open_cells(rows, width, tops, open_, channels)
+        for r in cells.groupBy("slot").applyInPandas(_chooser(rules, keys, depths, width), schema).collect():
             number, node = open_[r["slot"]]
-            _, nodes = tops[number]
+            tree, nodes = tops[number]
             nodes.n[node], nodes.a[node], nodes.b[node] = r["n"], r["a"], r["b"]
             if r["feature"] < 0:
                 continue
             nodes.add_children(np.array([node]), np.array([r["feature"]]), np.array([r["bin"]]))
-            sizes = {nodes.left[node]: r["n_left"], nodes.right[node]: r["n"] - r["n_left"]}
-            waiting += [(number, int(child)) for child, n in sizes.items() if n > local_rows]
+            left = [r[f"{c}_left"] for c in "nab"]
+            right = [r[c] - part for c, part in zip("nab", left, strict=True)]
+            for child, sums in ((nodes.left[node], left), (nodes.right[node], right)):
+                if sums[0] <= local_rows:
+                    continue
+                if tree.rule.may_split(*[np.array([v]) for v in sums], nodes.depth[child])[0]:
+                    waiting.append((number, int(child)))
+                else:
+                    nodes.n[child], nodes.a[child], nodes.b[child] = sums
     return tops
 
 
@@ -538,14 +569,16 @@ def grow_everywhere(
     n_rows: int,
     per_part: int = 25,
     local_rows: int = LOCAL_ROWS,
+    combine: Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch] | None = None,
 ) -> tuple[DataFrame, dict[int, tuple[Tree, Nodes]]]:
     """Grows ``trees`` over ``rows`` and returns what ``finish`` makes of each part, and the tree tops.
 
     ``channels(tree, rows)`` gives the rows a tree learns from and their n, a, b.  ``finish`` gets the
     trees of a part, whose roots are the first nodes, the nodes and all rows of the part.  A part holds
-    at most ``local_rows`` rows, except where no split is left to make it smaller.
+    at most ``local_rows`` rows, except where no split is left to make it smaller.  With ``combine`` what
+    several calls made of the trees of a part becomes one as soon as there are two.
     """
-    tops = _top_nodes(rows, width, trees, channels, n_rows, local_rows)
+    tops = top_nodes(rows, width, trees, channels, n_rows, local_rows)
     parts = _parts(tops, n_rows, per_part, local_rows)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -566,6 +599,8 @@ def grow_everywhere(
             keys = [part.key if part.key is not None else t.key for t in some]
             roots = Nodes.roots(np.array(keys, np.uint64), np.full(len(some), part.depth))
             out.append(finish(some, part, grow(data.x, unit, sums, roots, some[0].rule, index), data))
+            if combine and len(out) > 1:
+                out = [combine(*out)]
         out = [b for b in out if b is not None]
         return pa.Table.from_batches(out, empty.schema) if out else empty
 
