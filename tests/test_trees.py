@@ -118,6 +118,14 @@ def test_boosting_from_the_top_equals_boosting_in_tasks(binned, how):
     assert (margins[0] == margins[1]).all() and margins[0].std() > 0.1
 
 
+def test_splits_from_the_top_move_no_rows(binned, monkeypatch):
+    """With more rows than a task takes, boosting adds up cells and deals no rows out to parts."""
+    monkeypatch.setattr(boost, "grow_everywhere", None)
+    fitted = boost.boost(binned, 4, [0, 2], boost.Boosting(2, 3), 120)
+    leaves = [nodes for nodes, _ in fitted.trees[0]]
+    assert len(leaves) == 2 and all(n.n[0] == n.n[n.feature < 0].sum() == 375 for n in leaves)
+
+
 def test_splits_from_the_top_do_not_need_rows_of_every_node_in_a_task(binned):
     few = materialize(binned.repartition(60))
     one = forest.held_out_scores(few, 4, [(0, forest.rule_of(4))], [forest.Stop()], [3], local_rows=40)

@@ -28,6 +28,7 @@ from tillwise.ml.trees import (
     bin_edges,
     binned_rows,
     grow_everywhere,
+    row_blocks,
     scramble,
     top_nodes,
 )
@@ -212,12 +213,13 @@ def boost(
         rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "row")
     stored = rows.withColumn("margin", F.array(*[F.lit(s) for s in start]))
     stored = materialize(stored) if top_down else stored
+    blocks = row_blocks(stored) if top_down else None
     since, fitted = Steps([[] for _ in folds]), Boosted(how, folds, start, rows, [[] for _ in folds])
     for number in range(how.rounds):
         seeds = scramble(np.arange(len(folds)) + (number << 20))
         trees = [Tree(i, int(seeds[i]), f, how.rule()) for i, f in enumerate(folds)]
         if top_down:
-            tops = top_nodes(stored, width, trees, Gradients(since), size["n"], 0)
+            tops = top_nodes(blocks, width, trees, Gradients(since), 0)
             found = [(fit, nodes) for fit, (_, nodes) in tops.items() if nodes.n[0]]
         else:
             grown, _ = grow_everywhere(
@@ -230,7 +232,12 @@ def boost(
                 listed[fit].append((tree, how.values(tree)))
         if (number + 1) % ROUNDS_A_WRITE == 0 or number + 1 == how.rounds:
             stored = materialize(stored.mapInArrow(_followed(since), _MARGIN_SCHEMA))
+            if top_down:
+                blocks.unpersist()
+                blocks = row_blocks(stored)
             since = Steps([[] for _ in folds])
+    if top_down:
+        blocks.unpersist()
     fitted.rows = stored
     return fitted
 

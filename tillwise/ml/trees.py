@@ -13,12 +13,13 @@ truncation of the deep one.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +29,7 @@ BINS = 255
 SKETCH_ACCURACY = 20_000
 LOCAL_ROWS = 200_000
 PAIRS_AT_ONCE = 300_000  # (row, tree) pairs grown together in a task
+BLOCK_ROWS = 100_000
 OPEN_AT_ONCE = 512  # nodes of one aggregation
 _WIDTH = 256
 
@@ -406,16 +408,38 @@ class Part:
     done: tuple[int, int, int] | None = None
 
 
-def _open_cells(rows: DataFrame, width: int, tops: dict, open_: list, channels: Channels) -> DataFrame:
-    """(slot, key, n, a, b) for each open (tree, node), added up by task."""
+def row_blocks(rows: DataFrame) -> RDD:
+    """Packed ``Rows`` of a few batches each, kept where they were made for as many passes as follow."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BLOCK_ROWS:
+                yield one(held)
+                held = []
+        if held:
+            yield one(held)
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        data = Rows.of(pa.Table.from_batches(held))
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(data)], pa.binary())], names=["block"])
+
+    packed = rows.mapInArrow(pack, "block binary").rdd.map(lambda r: bytes(r[0]))
+    return packed.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _open_cells(blocks: RDD, width: int, tops: dict, open_: list, channels: Channels) -> RDD:
+    """(slot, sums of n, a, b by feature and bin) for each open (tree, node), added up by task."""
+    size = width * _WIDTH
+
+    def run(packed: Iterator[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         by_tree: dict[int, dict[int, int]] = {}
         for slot, (number, node) in enumerate(open_):
             by_tree.setdefault(number, {})[node] = slot
         table: dict[int, np.ndarray] = {}
-        for b in batches:
-            data = Rows.of(b)
+        for block in packed:
+            data = pickle.loads(block)
             for number, slots in by_tree.items():
                 tree, nodes = tops[number]
                 index, _, *sums = channels(tree, data)
@@ -428,74 +452,65 @@ def _open_cells(rows: DataFrame, width: int, tops: dict, open_: list, channels:
                     continue
                 x, sums, first = x[hit], [c[hit].astype(float) for c in sums], place[hit] * width
                 if number not in table:
-                    table[number] = np.zeros((3, len(slots) * width * _WIDTH), np.int64)
+                    table[number] = np.zeros((3, len(slots) * size), np.int64)
                 for f in range(width):
-                    key, cells = feature_cells((first + f) * _WIDTH + x[:, f], table[number].shape[1], sums)
+                    key, cells = feature_cells((first + f) * _WIDTH + x[:, f], len(slots) * size, sums)
                     table[number][:, key] += np.stack(cells)
         for number, cells in table.items():
-            some = np.flatnonzero(cells[0])
-            slots = np.array(list(by_tree[number].values()))
-            slot, rest = slots[some // (width * _WIDTH)], some % (width * _WIDTH)
-            arrays = [slot, slot * (width * _WIDTH) + rest, *cells[:, some]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], names=["slot", "key", "n", "a", "b"])
+            for i, slot in enumerate(by_tree[number].values()):
+                mine = cells[:, i * size : (i + 1) * size]
+                if mine[0].any():
+                    yield slot, mine.copy()
 
-    sums = [F.sum(c).alias(c) for c in ("n", "a", "b")]
-    cells = rows.mapInArrow(run, "slot bigint, key bigint, n bigint, a bigint, b bigint")
-    return cells.repartition("slot").groupBy("slot", "key").agg(*sums)
+    return blocks.mapPartitions(run).reduceByKey(np.add, min(len(open_), blocks.getNumPartitions()))
 
 
 def _chooser(rules: list[Rule], keys: np.ndarray, depths: list[int], width: int):
-    """The split of one node from its own cells, feature -1 if it has none, and the sums of its left child."""
-
-    def choose(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("key")
-        key, slot = cells["key"].to_numpy(), int(cells["slot"].iloc[0])
-        sums = tuple(cells[c].to_numpy() for c in ("n", "a", "b"))
-        first = (key // _WIDTH) == key[0] // _WIDTH
-        total = [int(s[first].sum()) for s in sums]
-        feature, cut, left = -1, -1, [0, 0, 0]
+    """The split of one node from its own cells, feature -1 if it has none, sums of its left child, and its own."""
+
+    def choose(cells: tuple[int, np.ndarray]) -> tuple[int, int, int, list[int], list[int]]:
+        slot, table = cells
+        total = table[:, :_WIDTH].sum(axis=1).tolist()
         if rules[slot].may_split(*[np.array([t]) for t in total], depths[slot])[0]:
-            _, found, where, _ = best_splits(key, sums, width, keys, rules[slot])
+            some = np.flatnonzero(table[0])
+            _, found, where, _ = best_splits(slot * width * _WIDTH + some, tuple(table[:, some]), width, keys, rules[slot])
             if len(found):
                 feature, cut = int(found[0]), int(where[0])
-                base = (slot * width + feature) * _WIDTH
-                below = (key >= base) & (key <= base + cut)
-                left = [int(s[below].sum()) for s in sums]
-        names = ["slot", "feature", "bin", "n_left", "a_left", "b_left", "n", "a", "b"]
-        return pd.DataFrame([[slot, feature, cut, *left, *total]], columns=names, dtype="int64")
+                left = table[:, feature * _WIDTH : feature * _WIDTH + cut + 1].sum(axis=1).tolist()
+                return slot, feature, cut, left, total
+        return slot, -1, -1, [0, 0, 0], total
 
     return choose
 
 
 def top_nodes(
-    rows: DataFrame, width: int, trees: list[Tree], channels: Channels, n_rows: int, local_rows: int
+    blocks: RDD, width: int, trees: list[Tree], channels: Channels, local_rows: int
 ) -> dict[int, tuple[Tree, Nodes]]:
     """Splits nodes of more than ``local_rows`` rows, one aggregation a level; the driver sees splits.
 
-    A child that cannot split gets its sums from the split and is not looked at again.
+    ``blocks`` are those of ``row_blocks``.  A child that cannot split gets its sums from the split and
+    is not looked at again.
     """
     tops = {
         t.number: (t, Nodes.roots(np.array([t.key], np.uint64), np.zeros(1, np.int64))) for t in trees
     }
-    waiting = [(t.number, 0) for t in trees] if n_rows > local_rows else []
-    names = ("slot", "feature", "bin", "n_left", "a_left", "b_left", "n", "a", "b")
-    schema = ", ".join(f"{c} bigint" for c in names)
+    waiting = [(t.number, 0) for t in trees]
     while waiting:
         open_, waiting = waiting[:OPEN_AT_ONCE], waiting[OPEN_AT_ONCE:]
         rules = [tops[number][0].rule for number, _ in open_]
         keys = np.array([tops[number][1].key[node] for number, node in open_], np.uint64)
         depths = [int(tops[number][1].depth[node]) for number, node in open_]
 
-        cells = _open_cells(rows, width, tops, open_, channels)
-        for r in cells.groupBy("slot").applyInPandas(_chooser(rules, keys, depths, width), schema).collect():
-            number, node = open_[r["slot"]]
+        cells = _open_cells(blocks, width, tops, open_, channels)
+        found = cells.map(_chooser(rules, keys, depths, width)).collect()
+        for slot, feature, cut, left, total in sorted(found, key=lambda r: r[0]):
+            number, node = open_[slot]
             tree, nodes = tops[number]
-            nodes.n[node], nodes.a[node], nodes.b[node] = r["n"], r["a"], r["b"]
-            if r["feature"] < 0:
+            nodes.n[node], nodes.a[node], nodes.b[node] = total
+            if feature < 0:
                 continue
-            nodes.add_children(np.array([node]), np.array([r["feature"]]), np.array([r["bin"]]))
-            left = [r[f"{c}_left"] for c in "nab"]
-            right = [r[c] - part for c, part in zip("nab", left, strict=True)]
+            nodes.add_children(np.array([node]), np.array([feature]), np.array([cut]))
+            right = [t - part for t, part in zip(total, left, strict=True)]
             for child, sums in ((nodes.left[node], left), (nodes.right[node], right)):
                 if sums[0] <= local_rows:
                     continue
@@ -578,7 +593,12 @@ def grow_everywhere(
     at most ``local_rows`` rows, except where no split is left to make it smaller.  With ``combine`` what
     several calls made of the trees of a part becomes one as soon as there are two.
     """
-    tops = top_nodes(rows, width, trees, channels, n_rows, local_rows)
+    if n_rows > local_rows:
+        blocks = row_blocks(rows)
+        tops = top_nodes(blocks, width, trees, channels, local_rows)
+        blocks.unpersist()
+    else:
+        tops = {t.number: (t, Nodes.roots(np.array([t.key], np.uint64), np.zeros(1, np.int64))) for t in trees}
     parts = _parts(tops, n_rows, per_part, local_rows)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
