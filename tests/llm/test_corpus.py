@@ -13,6 +13,7 @@ import pytest
 
 from brute import shingles, words
 from tillwise.llm import common, decontam, exact, jaccard, langid, lines, links, lm, mixing, pagetext, quality
+from tillwise.session import materialize
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, sim bigint, node string"
 VOCAB = ["the", "of", "and", "to", "in", "Red", "blue,", "fox", "a.b", "é", "ß", "x|y", "|", "zz", "q1"]
@@ -148,6 +149,56 @@ def test_jaccard(spark, texts):
     assert kept == {i for i in got if got[i]["class_id"] == i}
 
 
+def test_jaccard_of_a_large_family_stores_no_pairs(spark, monkeypatch):
+    """Texts of one origin, most of them under the threshold: no stored table grows with their pairs."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(260):
+        w = list(base)
+        for at in rng.sample(range(400), 8):
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    alike = [[len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets] for a in sets]
+    rows = []
+
+    def stored(df):
+        out = materialize(df)
+        rows.append(out.count())
+        return out
+
+    for module in (common, jaccard, links):
+        monkeypatch.setattr(module, "materialize", stored)
+    got = jaccard.jaccard_classes(table(spark, texts)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(a) - 1 for i, a in enumerate(alike)}
+    assert sum(map(sum, alike)) < 0.8 * len(texts) ** 2
+    assert max(rows) <= jaccard.BANDS * len(texts)
+
+
+def test_ties_of_a_bucket():
+    """Ties join what paths of close mates join, in small and large buckets, and are fewer than the rows."""
+
+    def close(tag, n, other_tag, other_n):
+        return np.abs(tag - other_tag) <= 1
+
+    rng = np.random.default_rng(1)
+    for rows in (2, 40, 300):
+        tag = rng.integers(0, 2 * rows, rows)
+        cols = [np.zeros(rows, np.int64), np.arange(rows), tag, np.zeros(rows, np.int64)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=links.NAMES)
+        found = list(links._ties(close)(iter([batch])))
+        a, b = (np.concatenate([[], *[x.column(c) for x in found]]).astype(int) for c in "ab")
+        assert len(a) < rows
+        order = np.argsort(tag)
+        group = np.cumsum(np.diff(tag[order], prepend=tag[order][0]) > 1)
+        want = {}
+        for g, node in zip(group.tolist(), order.tolist(), strict=True):
+            want.setdefault(g, []).append(node)
+        tied = dict(zip(b.tolist(), a.tolist(), strict=True))
+        assert tied == {n: min(nodes) for nodes in want.values() for n in nodes if n != min(nodes)}
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_classes(table(spark, [])).count() == 0
     docs = table(spark, ["a b c d e f", "a b c d e f", None, ""], ids=[None, 1, 2, None])

@@ -4,8 +4,8 @@ MinHash values in bands propose pairs.  The values of a pair are then compared a
 an even prior, n comparisons of which m agree leave the similarity distributed as
 Beta(m + 1, n - m + 1), and the pair is dropped as soon as the probability of reaching the threshold
 falls below a tolerance.  The first comparison is of one bit of ``BITS`` further values, which a
-member carries into its bucket, so that most pairs are dropped before they exist as rows.  What is left
-is verified by the shingle sets themselves.
+member carries into its bucket.  Pairs that pass it are never rows: a bucket ties its close members into
+families, whose members meet in tasks that compare the rest of the values and then the shingle sets.
 """
 
 from __future__ import annotations
@@ -18,8 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import SIMILARITY, batch_words, mix, ship, shingle_hashes, small_batches
-from tillwise.llm.links import close_links, join_checked
+from tillwise.llm.common import (
+    SIMILARITY,
+    batch_words,
+    connected_groups,
+    mix,
+    ship,
+    shingle_hashes,
+    small_batches,
+)
+from tillwise.llm.links import close_families, join_checked, settled
 from tillwise.session import materialize
 
 BANDS, ROWS = 40, 5  # a pair at 0.8 shares no band with probability 1e-7
@@ -28,6 +36,7 @@ STEP = 20  # MinHash values compared at a time
 BITS = 64  # one-bit values compared within buckets
 TOLERANCE = 1e-5
 CHUNK_DOCS, CHUNK_BYTES = 200, 4_000_000
+SMALL_MATRIX = 4_096  # pairs whose MinHash values are compared a step at once
 
 _rng = np.random.default_rng(13)
 _MUL = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -121,23 +130,6 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, "<u2") for x in column.to_pylist()])
 
 
-def _pruned(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = least_matches(threshold)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            left, right = _signatures(b.column("sig_a")), _signatures(b.column("sig_b"))
-            alive, matches = np.arange(b.num_rows), np.zeros(b.num_rows, int)
-            for step, m in enumerate(least):
-                part = slice(step * STEP, (step + 1) * STEP)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(1)
-                alive = alive[matches[alive] >= m]
-            yield b.select(["a", "b"]).take(pa.array(alive))
-
-    return run
-
-
 def _close(threshold: float):
     """Whether the bits that two members carry leave it likely enough that they are alike."""
     least = least_bit_matches(threshold)
@@ -153,19 +145,6 @@ def _shingle_sets(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(hashes[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
 
 
-def _exact(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, column="text_a"):
-            keep = []
-            sets = zip(_shingle_sets(b.column("text_a")), _shingle_sets(b.column("text_b")), strict=True)
-            for x, y in sets:
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return run
-
-
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given documents, stored."""
     ids = nodes.select(F.col("node").alias("doc_id"))
@@ -173,25 +152,6 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(found.dropDuplicates(["node"]))
 
 
-def _verifier(docs: DataFrame, signed: DataFrame, threshold: float):
-    def side(frame: DataFrame, name: str) -> DataFrame:
-        value = [c for c in frame.columns if c != "node"][0]
-        return frame.withColumnsRenamed({"node": name, value: f"{value}_{name}"})
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        sigs = signed.select("node", "sig")
-        both = pairs.join(side(sigs, "a"), "a").join(side(sigs, "b"), "b")
-        likely = materialize(
-            both.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(threshold), "a bigint, b bigint")
-        )
-        nodes = materialize(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        texts = _texts(docs, nodes)
-        both = likely.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(threshold), "a bigint, b bigint")
-
-    return verify
-
-
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of all intersections of ``left`` with ``right`` sets, by products of 0/1 matrices."""
     words, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -212,6 +172,23 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return total
 
 
+def _likely(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs of signatures the Bayesian pruning leaves, as a matrix."""
+    alive = np.ones((len(left), len(right)), bool)
+    matches = np.zeros(alive.shape, np.int16)
+    for step, m in enumerate(least):
+        part = slice(step * STEP, (step + 1) * STEP)
+        if alive.size <= SMALL_MATRIX:
+            matches += (left[:, None, part] == right[None, :, part]).sum(2, dtype=np.int16)
+        else:
+            for h in range(part.start, part.stop):
+                matches += left[:, h][:, None] == right[:, h][None, :]
+        alive &= matches >= m
+        if not alive.any():
+            break
+    return alive
+
+
 def _count_links(threshold: float):
     least = least_matches(threshold)
 
@@ -221,41 +198,46 @@ def _count_links(threshold: float):
         chunk = table.column("chunk").to_numpy()
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        links, linked = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        links, linked, mates = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), nodes
         if len(left) and len(right):
             sig = _signatures(table.column("sig"))
-            alive = np.ones((len(left), len(right)), bool)
+            alive = _likely(sig[left], sig[right], least)
             if i == j:
                 alive = np.triu(alive, 1)
-            matches = np.zeros(alive.shape, np.int16)
-            for step, m in enumerate(least):
-                for h in range(step * STEP, (step + 1) * STEP):
-                    matches += sig[left, h][:, None] == sig[right, h][None, :]
-                alive &= matches >= m
-            if alive.any():
-                sets = _shingle_sets(table.column("text").combine_chunks())
+            rows, cols = alive.any(1), alive.any(0)
+            if rows.any():
+                left, right, alive = left[rows], right[cols], alive[rows][:, cols]
+                open_ = np.union1d(left, right)
+                sets = _shingle_sets(table.column("text").take(pa.array(open_)).combine_chunks())
                 size = np.array([len(s) for s in sets], np.float32)
-                shared = shared_counts(sets, left, right)
-                union = size[left][:, None] + size[right][None, :] - shared
+                at, to = np.searchsorted(open_, left), np.searchsorted(open_, right)
+                shared = shared_counts(sets, at, to)
+                union = size[at][:, None] + size[to][None, :] - shared
                 alive &= shared >= threshold * union - 1e-6
                 links[left] += alive.sum(1)
                 linked[left] += alive @ copies[right]
                 np.add.at(links, right, alive.sum(0))
                 np.add.at(linked, right, copies[left] @ alive)
-        return pa.table({"node": nodes, "links": links, "linked": linked})
+                order = np.argsort(nodes)
+                place = np.empty(len(nodes), np.int64)
+                place[order] = np.arange(len(nodes))
+                x, y = np.nonzero(alive)
+                mates = nodes[order][settled(place[left[x]], place[right[y]], len(nodes))[place]]
+        return pa.table({"node": nodes, "mate": mates, "links": links, "linked": linked})
 
     return run
 
 
-def _link_numbers(docs: DataFrame, signed: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, linked): linked texts and their documents, of every node in a group.
+def _link_numbers(docs: DataFrame, signed: DataFrame, families: DataFrame, threshold: float) -> DataFrame:
+    """(node, mate, links, linked): linked texts and their documents, of the nodes of families.
 
-    A group is cut into chunks of about 200 texts or 4 MB; every two chunks meet in a task of
-    their own, which counts and sends on one row per text.  So no task and no row set grows with the
-    group, only the number of tasks does.
+    A family is cut into chunks of about 200 texts or 4 MB; every two chunks meet in a task of
+    their own, which prunes and verifies their pairs, and sends on one row per text: its numbers of links
+    there and the least node that a path of links leads to.  So no task and no row set grows with the pairs,
+    only the number of tasks does.
     """
-    texts = _texts(docs, groups.select("node"))
-    rows = groups.join(texts, "node").join(signed.select("node", "sig", "copies"), "node")
+    texts = _texts(docs, families.select("node"))
+    rows = families.join(texts, "node").join(signed.select("node", "sig", "copies"), "node")
     rows = materialize(rows)
     size = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK_DOCS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int")
@@ -268,14 +250,13 @@ def _link_numbers(docs: DataFrame, signed: DataFrame, groups: DataFrame, thresho
         "root", "node", "copies", "sig", "text", "chunk",
         F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
     )
-    counted = tasks.groupBy("root", "i", "j").applyInArrow(
-        _count_links(threshold), "node bigint, links bigint, linked bigint"
+    return tasks.groupBy("root", "i", "j").applyInArrow(
+        _count_links(threshold), "node bigint, mate bigint, links bigint, linked bigint"
     )
-    return counted.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
 
 
 def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Signed documents, their classes of equal words, the signed class heads, and the groups of these."""
+    """Signed documents, their classes of equal words, numbers of links of the class heads, and their groups."""
     ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = (
@@ -295,8 +276,11 @@ def _grouped(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, D
         heads.select(F.col("doc_id").alias("node"), "copies", "tag", "n_words", "bands", "sig").dropDuplicates(["node"])
     )
     members = heads.select(F.explode("bands").alias("bucket"), "node", "tag", F.col("n_words").alias("n"))
-    groups = materialize(close_links(members, _verifier(slim, heads, threshold), _close(threshold)))
-    return signed, classes, heads, groups
+    families = materialize(close_families(members, _close(threshold)))
+    links = materialize(_link_numbers(slim, heads, families, threshold))
+    groups = materialize(connected_groups(links, "node", "mate"))
+    numbers = links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
+    return signed, classes, numbers, groups
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -311,10 +295,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     empty, blank) and a row without doc_id are alone.  doc_id is taken as unique; repeated rows count
     as copies.  A pair at exactly the threshold is missed with probability 1e-4 or less.
     """
-    signed, classes, heads, groups = _grouped(docs, threshold)
-    numbers = _link_numbers(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), heads, groups, threshold
-    )
+    signed, classes, numbers, groups = _grouped(docs, threshold)
     placed = classes.join(groups, "node", "left").join(numbers, "node", "left")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int")
     placed = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
