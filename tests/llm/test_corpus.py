@@ -343,6 +343,64 @@ def test_edit_similarity():
         assert lines.edit_similarity(a, b) == pytest.approx(plain(a, b))
 
 
+def test_alike_is_edit_similarity():
+    """Lines put in and taken out, changed in place and shuffled, some empty and some long."""
+    rng = np.random.default_rng(6)
+    a, b = [], []
+    for n in [0, 0, 1, 4, 5, 10, 30, 80, 300] * 20:
+        x = rng.integers(0, 40, n).astype(np.uint64)
+        y = x.copy()
+        for _ in range(rng.integers(0, n // 4 + 2)):
+            at, kind = rng.integers(0, len(y) + 1), rng.integers(0, 3)
+            if kind == 0:
+                y = np.insert(y, at, rng.integers(0, 40))
+            elif at < len(y):
+                y = np.delete(y, at) if kind == 1 else np.concatenate([y[:at], [rng.integers(0, 40)], y[at + 1 :]])
+        a.append(x)
+        b.append((rng.permutation(x) if rng.random() < 0.1 else y).astype(np.uint64))
+    at, bt = (np.concatenate([[0], np.cumsum([len(x) for x in rows])]) for rows in (a, b))
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, row = row, [i]
+            for j, q in enumerate(y):
+                row.append(min(last[j] + (p != q), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    got = lines.alike(np.concatenate(a), at, np.concatenate(b), bt, 0.8)
+    far = [distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)]
+    longest = [max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    assert got.tolist() == [5 * d <= n for d, n in zip(far, longest, strict=True)]
+    assert 20 < got.sum() < len(got) - 20
+    for x, y, d, n in zip(a, b, far, longest, strict=True):
+        assert lines.edit_similarity(x, y) == pytest.approx(1 - d / n if n else 1)
+
+
+def test_entries_of_lines_travel_packed(spark, monkeypatch):
+    """No row for an entry: a few rows a batch and cell, and equal lines of a batch are entered once."""
+    rng = random.Random(4)
+    text = "\n".join(sentence(rng, 40) for _ in range(50))
+    docs = table(spark, [text] * 40)
+    rows = []
+
+    def stored(df):
+        out = materialize(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "CELL_ENTRIES", 1_000)
+    monkeypatch.setattr(lines, "materialize", stored)
+    assert lines.surplus_lines(docs).count() == 39
+    assert max(rows) <= 40 * 50
+    counts = type("Sent", (), {"value": lines.word_counts(docs)})
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 40})
+    packed = pa.Table.from_batches(lines._entries(counts, 0.8, 8)(iter([batch])))
+    assert packed.num_rows <= 8
+    found = np.frombuffer(b"".join(packed.column("entries").to_pylist()), lines.ENTRY)
+    assert len(np.unique(found["key"])) == 50 and len(found) <= 50 * 17
+
+
 def test_close_links_finds_chains(spark):
     """A link between followers of two leads is found although neither meets the other's lead."""
     members = spark.createDataFrame(
