@@ -401,6 +401,37 @@ def test_entries_of_lines_travel_packed(spark, monkeypatch):
     assert len(np.unique(found["key"])) == 50 and len(found) <= 50 * 17
 
 
+def test_places_of_shared_pairs_rule_out_lines():
+    """Lines of random words that hold a pair at far places are not close; alike lines always are."""
+    rng = np.random.default_rng(2)
+    close, counts = lines._close(0.8), np.zeros(lines.SLOTS, np.int64)
+
+    def entered(x, y):
+        h, at = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
+        pairs, pair_at, place = lines.rare_pairs(h, at, counts, 0.8)
+        tag, n = lines.parity(h, at).view(np.int64), np.minimum(np.diff(at), lines.MOST_N)
+        first, second = (dict(zip(pairs[a:b].tolist(), place[a:b].tolist(), strict=True)) for a, b in ((0, pair_at[1]), (pair_at[1], None)))
+        both = first.keys() & second.keys()
+        one = [close(tag[:1], n[:1] << 8 | first[g], tag[1:], n[1:] << 8 | second[g])[0] for g in both]
+        return any(one), len(both)
+
+    for n in (6, 20, 90, 150, 254, 255, 300) * 12:
+        x = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        y = x.copy()
+        for _ in range(int(0.2 * n)):
+            at, kind = rng.integers(0, len(y)), rng.integers(0, 3)
+            new = rng.integers(0, 1 << 62, dtype=np.uint64)
+            y = np.insert(y, at, new) if kind == 0 else np.delete(y, at) if kind == 1 else np.concatenate([y[:at], [new], y[at + 1 :]])
+        if lines.edit_similarity(x, y) >= 0.8 - 1e-9:
+            assert entered(x, y)[0]
+    shared = []
+    for _ in range(100):
+        x, y = rng.integers(0, 1 << 62, (2, 150)).astype(np.uint64)
+        y[120:122] = x[5:7]
+        shared.append(entered(x, y))
+    assert any(n for _, n in shared) and not any(found for found, _ in shared)
+
+
 def test_close_links_finds_chains(spark):
     """A link between followers of two leads is found although neither meets the other's lead."""
     members = spark.createDataFrame(
