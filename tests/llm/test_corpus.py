@@ -401,6 +401,25 @@ def test_entries_of_lines_travel_packed(spark, monkeypatch):
     assert len(np.unique(found["key"])) == 50 and len(found) <= 50 * 17
 
 
+def test_sketches_rule_out_far_lines_only():
+    rng = np.random.default_rng(9)
+    a, b = [], []
+    for n in (1, 5, 30, 60, 100, 150) * 20:
+        x = rng.integers(0, 5000, n)
+        y = np.where(rng.random(n) < rng.choice([0.1, 0.2, 0.5]), rng.integers(0, 5000, n), x)[: n - rng.integers(0, n // 10 + 1)]
+        a.append(" ".join(f"w{i}" for i in x))
+        b.append(" ".join(f"w{i}" for i in y))
+    left, right = (
+        next(lines._sketched(iter([pa.RecordBatch.from_pydict({"node": list(range(len(x))), "text": x})]))) for x in (a, b)
+    )
+    names = {"a": left["node"], "b": left["node"], "n_a": left["n"], "n_b": right["n"]}
+    names |= {"sketch_a": left["sketch"], "sketch_b": right["sketch"]}
+    kept = {r for x in lines._likely(0.8)(iter([pa.RecordBatch.from_pydict(names)])) for r in x["a"].to_pylist()}
+    u, v = common.batch_words(pa.array(a)), common.batch_words(pa.array(b))
+    alike = set(np.flatnonzero(lines.alike(u.hashes(), u.at, v.hashes(), v.at, 0.8)).tolist())
+    assert alike <= kept and len(kept - alike) < 0.2 * (len(a) - len(alike))
+
+
 def test_places_of_shared_pairs_rule_out_lines():
     """Lines of random words that hold a pair at far places are not close; alike lines always are."""
     rng = np.random.default_rng(2)
