@@ -401,6 +401,50 @@ def test_entries_of_lines_travel_packed(spark, monkeypatch):
     assert len(np.unique(found["key"])) == 50 and len(found) <= 50 * 17
 
 
+def test_pairs_of_lines_that_are_not_alike_are_no_rows(spark, monkeypatch):
+    """Lines that share three words of five, and many rare pairs: once there was a row for each two of them."""
+    rng = random.Random(5)
+    often = [f"v{i}" for i in range(300)]
+    texts = [
+        " ".join(f"s{3 * k} s{3 * k + 1} s{3 * k + 2} {rng.choice(often)} {rng.choice(often)}" for k in range(20))
+        for _ in range(300)
+    ]
+    texts.append(" ".join(often * 400))
+    rows = []
+
+    def stored(df):
+        out = materialize(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", stored)
+    monkeypatch.setattr(links, "materialize", stored)
+    assert lines.surplus_lines(table(spark, texts)).count() == 0
+    assert 300 < max(rows) < 300 * 299 // 4
+
+
+def test_fewer_entries_still_meet():
+    """Two lines as far apart as the threshold allows share an entry, and entries are fewer than lost pairs + 1."""
+    rng = np.random.default_rng(3)
+    entered = worst = 0
+    for n in (4, 5, 9, 10, 15, 21, 40, 60, 100) * 40:
+        x = rng.integers(0, rng.choice([4, 30, 5000]), n).astype(np.uint64)
+        y, most = x.tolist(), int(lines.edits(n, 0.8))
+        for at in sorted(rng.choice(n, most, replace=False).tolist(), reverse=True):
+            new = int(rng.integers(10**6, 10**9))
+            y[at : at + 1] = [[new], [], [new, y[at]]][rng.integers(0, 3)]
+        y = np.array(y, np.uint64)
+        counts = np.bincount((common.mix(x) & np.uint64(lines.SLOTS - 1)).astype(np.int64), minlength=lines.SLOTS)
+        h, at = common.mix(np.concatenate([x, y])), np.array([0, len(x), len(x) + len(y)])
+        if len(y) < lines.LEAST_FUZZY_WORDS or lines.edit_similarity(h[: len(x)], h[len(x) :]) < 0.8 - 1e-9:
+            continue
+        pairs, pair_at, _ = lines.rare_pairs(h, at, counts, 0.8)
+        assert set(pairs[: pair_at[1]].tolist()) & set(pairs[pair_at[1] :].tolist())
+        entered += pair_at[2]
+        worst += lines.lost_pairs(np.diff(at), 0.8).sum() + 2
+    assert 0 < entered < 0.9 * worst
+
+
 def test_sketches_rule_out_far_lines_only():
     rng = np.random.default_rng(9)
     a, b = [], []
