@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from brute import shingles, words
+from pyspark.sql import functions as F
 from tillwise.llm import common, decontam, exact, jaccard, langid, lines, links, lm, mixing, pagetext, quality
 from tillwise.session import materialize
 
@@ -879,3 +880,60 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r["doc_id"] for r in rows) == list(range(30))
     assert sorted(r["mix_position"] for r in rows) == list(range(30))
     assert all(r["text"] == clean[r["doc_id"]] for r in rows)
+
+
+def test_sketches_see_words_that_lines_repeat():
+    """Words that lines hold an even number of times left no bit of a parity, so such lines passed as alike."""
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 1 << 62, (2, 20)).astype(np.uint64).repeat(4, axis=1)
+    h, at = np.concatenate([x, y]), np.array([0, 80, 160])
+    i, j = np.array([0]), np.array([1])
+    assert not lines._may_be_alike(0.8)(np.diff(at), lines.sketches(h, at), i, j)[0]
+    assert np.bitwise_count(lines.parity(h, at)[0] ^ lines.parity(h, at)[1]) > 10
+    for n in (5, 20, 60, 140) * 30:
+        x = rng.integers(0, rng.choice([2, 6, 40]), n).astype(np.uint64)
+        y = x.copy()
+        for _ in range(int(0.2 * n)):
+            place, kind, new = rng.integers(0, len(y)), rng.integers(0, 3), rng.integers(0, 45, dtype=np.uint64)
+            y = np.insert(y, place, new) if kind == 0 else np.delete(y, place) if kind == 1 else np.concatenate([y[:place], [new], y[place + 1 :]])
+        h, at = common.mix(np.concatenate([x, y])), np.array([0, n, n + len(y)])
+        if lines.edit_similarity(h[:n], h[n:]) >= 0.8 - 1e-9:
+            assert lines._may_be_alike(0.8)(np.diff(at), lines.sketches(h, at), i, j)[0]
+            tag, size = lines.parity(h, at).view(np.int64), np.diff(at) << 8 | lines.ANYWHERE
+            assert lines._close(0.8)(tag[:1], size[:1], tag[1:], size[1:])[0]
+
+
+def test_a_text_is_split_once_not_for_each_line(spark):
+    docs = table(spark, ["one two three four five\nsix seven eight nine ten\none two three four five"])
+    plan = lines.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and not [x for x in plan.split("lambdafunction(")[1:] if "split(" in x.split(")", 1)[0]]
+
+
+def test_lines_held_very_often_meet_theirs_without_a_shuffle(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = ["often met line of words\nonly " + sentence(rng, 8) + "\nrare line no " + str(i // 2) for i in range(40)]
+    texts += ["often met line of word\nrare line no 3"]
+    expected = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, texts)).collect()}
+    monkeypatch.setattr(lines, "OFTEN", 3)
+    found = lines.dedup_lines(table(spark, texts))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == expected
+    assert sum("often met" in x for x in expected.values()) == 1
+    hot = spark.createDataFrame([(1, 1, 9), (2, 2, 2)], "k1 bigint, k2 bigint, times bigint").withColumn("keep", F.lit(0))
+    rows = spark.createDataFrame([(1, 1, 5), (1, 1, 6), (2, 2, 7), (3, 3, 8)], "k1 bigint, k2 bigint, doc_id bigint")
+    joined = lines._with_stand(rows, hot)
+    assert sorted(r["doc_id"] for r in joined.collect()) == [5, 6, 7]
+    assert "Broadcast" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_of_whole_texts_are_small(spark):
+    """10,000 texts a batch took tens of megabytes several times a task."""
+    before = spark.conf.get(common.BATCH_ROWS)
+    try:
+        spark.conf.set(common.BATCH_ROWS, "10000")
+        common.ship(spark)
+        assert int(spark.conf.get(common.BATCH_ROWS)) == common.TEXTS_A_BATCH
+        spark.conf.set(common.BATCH_ROWS, "7")
+        common.ship(spark)
+        assert spark.conf.get(common.BATCH_ROWS) == "7"
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
