@@ -937,3 +937,23 @@ def test_batches_of_whole_texts_are_small(spark):
         assert spark.conf.get(common.BATCH_ROWS) == "7"
     finally:
         spark.conf.set(common.BATCH_ROWS, before)
+
+
+def test_groups_in_one_bucket_join_without_all_their_pairs(spark, monkeypatch):
+    """Close mates whose leads are not alike: every pair across groups was a row once."""
+    n = 60
+    rows = [(1, i, 0, 0) for i in range(n)]
+    members = spark.createDataFrame(rows, "bucket bigint, node bigint, tag bigint, n bigint")
+    sizes = []
+
+    def stored(df):
+        out = materialize(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(links, "materialize", stored)
+    always = lambda tag, n, other_tag, other_n: np.ones(np.broadcast(tag, other_tag).shape, bool)
+    alike = lambda pairs: pairs.filter("a > 0")  # noqa: E731  the lead of all is like none
+    found = links.close_links(members, alike, always).collect()
+    assert {(r["node"], r["root"]) for r in found} == {(i, 1) for i in range(1, n)}
+    assert max(sizes) <= n + n
