@@ -106,6 +106,22 @@ class Rows:
         margin = matrix("margin") if "margin" in data.schema.names else None
         return cls(*plain, matrix("x"), margin)
 
+    def batch(self) -> pa.RecordBatch:
+        def listed(matrix, kind):
+            at = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+            return pa.ListArray.from_arrays(pa.array(at), pa.array(matrix.ravel(), kind))
+
+        columns = {
+            "row": pa.array(self.row, pa.int64()),
+            "label": pa.array(self.label, pa.int32()),
+            "weight": pa.array(self.weight, pa.float64()),
+            "fold": pa.array(self.fold, pa.int32()),
+            "x": listed(self.x, pa.int16()),
+        }
+        if self.margin is not None:
+            columns["margin"] = listed(self.margin, pa.float64())
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
     def take(self, index: np.ndarray) -> Rows:
         margin = None if self.margin is None else self.margin[index]
         return Rows(
@@ -539,11 +555,10 @@ def _parts(tops: dict[int, tuple[Tree, Nodes]], n_rows: int, per_part: int, per_
     return parts
 
 
-def _dealt(rows: DataFrame, tops: dict, parts: list[Part], channels: Channels) -> DataFrame:
-    """Rows with the parts they belong to, held-out rows included."""
+def dealer(tops: dict, parts: list[Part], channels: Channels) -> Callable[[Rows], Iterator[tuple[int, Rows]]] | None:
+    """Gives rows to the parts they belong to, held-out rows included; None if each part takes all rows."""
     if all(p.key is None for p in parts):
-        every = F.sequence(F.lit(0), F.lit(len(parts) - 1))
-        return rows.select("*", F.explode(every).alias("part"))
+        return None
     at: dict[tuple[int, int], list[int]] = {}
     for i, p in enumerate(parts):
         if p.key is not None:
@@ -551,29 +566,57 @@ def _dealt(rows: DataFrame, tops: dict, parts: list[Part], channels: Channels) -
     whole = [i for i, p in enumerate(parts) if p.key is None]
     split = sorted({number for number, _ in at})
 
+    def deal(data: Rows) -> Iterator[tuple[int, Rows]]:
+        for i in whole:
+            yield i, data
+        for number in split:
+            tree, nodes = tops[number]
+            leaf = nodes.leaf(data.x, np.zeros(len(data.row), np.int64))
+            first, count = np.zeros((2, len(nodes.feature)), np.int64)
+            for node in np.flatnonzero(nodes.feature < 0):
+                first[node], count[node] = at[(number, int(node))][0], len(at[(number, int(node))])
+            used = np.zeros(len(leaf), bool)
+            used[channels(tree, data)[0]] = True
+            used &= nodes.n[leaf] == 0
+            used |= data.fold == tree.fold
+            shard = (scramble(data.row) % count[leaf].astype(np.uint64)).astype(np.int64)
+            target = np.where(used, first[leaf] + shard, -1)
+            for part in np.unique(target[used]):
+                yield int(part), data.take(np.flatnonzero(target == part))
+
+    return deal
+
+
+def _dealt(rows: DataFrame, parts: int, deal: Callable[[Rows], Iterator[tuple[int, Rows]]] | None) -> DataFrame:
+    """Rows with the parts they belong to."""
+    if not deal:
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = Rows.of(b)
-            for i in whole:
-                yield b.append_column("part", pa.array(np.full(b.num_rows, i, np.int32)))
-            for number in split:
-                tree, nodes = tops[number]
-                leaf = nodes.leaf(data.x, np.zeros(len(data.row), np.int64))
-                first, count = np.zeros((2, len(nodes.feature)), np.int64)
-                for node in np.flatnonzero(nodes.feature < 0):
-                    first[node], count[node] = at[(number, int(node))][0], len(at[(number, int(node))])
-                used = np.zeros(len(leaf), bool)
-                used[channels(tree, data)[0]] = True
-                used &= nodes.n[leaf] == 0
-                used |= data.fold == tree.fold
-                shard = (scramble(data.row) % count[leaf].astype(np.uint64)).astype(np.int64)
-                mine = b.append_column("part", pa.array((first[leaf] + shard).astype(np.int32)))
-                yield mine.filter(pa.array(used))
+            for part, mine in deal(Rows.of(b)):
+                yield mine.batch().append_column("part", pa.array(np.full(len(mine.row), part, np.int32)))
 
     extra = ", margin array<double>" if "margin" in rows.columns else ""
     return rows.mapInArrow(run, f"{ROW_SCHEMA}{extra}, part int")
 
 
+def tops_and_parts(
+    rows: DataFrame, width: int, trees: list[Tree], channels: Channels, n_rows: int, per_part: int, local_rows: int
+) -> tuple[dict[int, tuple[Tree, Nodes]], list[Part]]:
+    """The tree tops, and the parts that continue them.
+
+    A part holds at most ``local_rows`` rows, except where no split is left to make it smaller.
+    """
+    if n_rows > local_rows:
+        blocks = row_blocks(rows)
+        tops = top_nodes(blocks, width, trees, channels, local_rows)
+        blocks.unpersist()
+    else:
+        tops = {t.number: (t, Nodes.roots(np.array([t.key], np.uint64), np.zeros(1, np.int64))) for t in trees}
+    return tops, _parts(tops, n_rows, per_part, local_rows)
+
+
 def grow_everywhere(
     rows: DataFrame,
     width: int,
@@ -584,22 +627,14 @@ def grow_everywhere(
     n_rows: int,
     per_part: int = 25,
     local_rows: int = LOCAL_ROWS,
-    combine: Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch] | None = None,
 ) -> tuple[DataFrame, dict[int, tuple[Tree, Nodes]]]:
     """Grows ``trees`` over ``rows`` and returns what ``finish`` makes of each part, and the tree tops.
 
     ``channels(tree, rows)`` gives the rows a tree learns from and their n, a, b.  ``finish`` gets the
-    trees of a part, whose roots are the first nodes, the nodes and all rows of the part.  A part holds
-    at most ``local_rows`` rows, except where no split is left to make it smaller.  With ``combine`` what
-    several calls made of the trees of a part becomes one as soon as there are two.
+    trees of a part, whose roots are the first nodes, the nodes and all rows of the part.
     """
-    if n_rows > local_rows:
-        blocks = row_blocks(rows)
-        tops = top_nodes(blocks, width, trees, channels, local_rows)
-        blocks.unpersist()
-    else:
-        tops = {t.number: (t, Nodes.roots(np.array([t.key], np.uint64), np.zeros(1, np.int64))) for t in trees}
-    parts = _parts(tops, n_rows, per_part, local_rows)
+    tops, parts = tops_and_parts(rows, width, trees, channels, n_rows, per_part, local_rows)
+    deal = dealer(tops, parts, channels)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part = parts[key[0].as_py()]
@@ -619,13 +654,11 @@ def grow_everywhere(
             keys = [part.key if part.key is not None else t.key for t in some]
             roots = Nodes.roots(np.array(keys, np.uint64), np.full(len(some), part.depth))
             out.append(finish(some, part, grow(data.x, unit, sums, roots, some[0].rule, index), data))
-            if combine and len(out) > 1:
-                out = [combine(*out)]
         out = [b for b in out if b is not None]
         return pa.Table.from_batches(out, empty.schema) if out else empty
 
     empty = empty_table(schema)
-    return _dealt(rows, tops, parts, channels).groupBy("part").applyInArrow(run, schema), tops
+    return _dealt(rows, len(parts), deal).groupBy("part").applyInArrow(run, schema), tops
 
 
 def empty_table(schema: str) -> pa.Table:
