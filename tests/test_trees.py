@@ -316,6 +316,43 @@ def test_attribution_of_many_rows_is_shared_by_like_rows():
     assert np.abs(base + got[:40].sum(axis=1) - boxes[0] @ inside).max() < 1e-9
 
 
+def test_java_attributes_what_numpy_does(table, spark, monkeypatch):
+    """Every value of every row, with several slices and blocks and trees of one leaf among others."""
+    monkeypatch.setattr(forest, "NODES_PER_PAIR", 200)
+    monkeypatch.setattr(forest, "ROWS_PER_PAIR", 120)
+    for rule in (forest.rule_of(4), forest.rule_of(4, max_depth=0), forest.rule_of(4, 5, 4)):
+        model = forest.fit_forest(table, NAMES, "id", "y", trees=7, rule=rule)
+        got = explain.explain_rows(model, table, "id").orderBy("id").toPandas()
+        none = table.withColumn("none", F.lit(0))
+        rows = trees.Rows.of(trees.binned_rows(none.orderBy("id"), NAMES, model.edges, "id", "none").toArrow())
+        columns = [np.asarray(c) for c in model.nodes.toArrow().columns]
+        want, base = np.zeros(rows.x.shape), 0.0
+        for _, nodes in forest.trees_of(columns):
+            value, *boxes = explain.leaf_boxes(nodes, 4)
+            want += explain.attribute(rows.x, value, *boxes) / 7
+            base += (value * boxes[2].prod(axis=1)).sum() / 7
+        assert np.abs(np.stack(got["phi"]) - want).max() < 1e-12 and np.abs(got["base"] - base).max() < 1e-12
+
+
+def test_attribution_takes_whole_pieces_of_trees(spark):
+    """Sixteen trees over 20,000 rows on four cores take less than numpy would, eight leaves at a time."""
+    rng = np.random.default_rng(9)
+    n, names = 20_000, list("abcdefghijk")
+    pdf = pd.DataFrame(rng.integers(0, 255, (n, 11)).astype(float), columns=names)
+    df = materialize(spark.createDataFrame(pdf.assign(id=range(n), y=(rng.random(n) < pdf["a"] / 255).astype(int))))
+    model = forest.fit_forest(df, names, "id", "y", trees=16)
+    _, nodes = forest.trees_of([np.asarray(c) for c in model.nodes.filter("tree = 0").toArrow().columns])[0]
+    boxes = explain.leaf_boxes(nodes, 11)
+    x = trees.Rows.of(trees.binned_rows(df.withColumn("none", F.lit(0)), names, model.edges, "id", "none").toArrow()).x
+    began = time.perf_counter()
+    explain.attribute(x, *[b[:400] for b in boxes])
+    tree = (time.perf_counter() - began) * len(boxes[0]) / 400
+    explain.explain_forest(model, df.limit(50), "id").collect()
+    began = time.perf_counter()
+    found = explain.explain_forest(model, df, "id").collect()
+    assert time.perf_counter() - began < 0.7 * 16 * tree / 4 and found[0]["feature"] == "a"
+
+
 def test_growing_adds_up_one_feature_at_a_time():
     """Memory of a task does not hold the cells of all features of all rows."""
     rng = np.random.default_rng(7)

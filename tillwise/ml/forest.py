@@ -11,7 +11,7 @@ So one growth per fold and least leaf size scores every depth, split size and nu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -45,6 +45,8 @@ TREES_PER_PART = 100
 TREE_ROWS = 1_000_000  # rows of a tree that a task grows from the root: some 80 bytes each
 NODES_PER_SLICE = 200_000
 ROWS_PER_BLOCK = 50_000
+NODES_PER_PAIR = 1_000_000  # some 40 bytes each
+ROWS_PER_PAIR = 150_000  # some 200 bytes each
 
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
@@ -330,6 +332,34 @@ class Forest:
         pair = nodes.groupBy("slice", "block").cogroup(rows.groupBy("slice", "block"))
         return pair.applyInArrow(run, schema)
 
+    def in_pairs(self, df: DataFrame, id_col: str, function: Callable[..., Column], specification: bytes) -> DataFrame:
+        """What a Java function makes of slices of packed trees and blocks of packed rows, a task a pair.
+
+        There are as many slices as keep all cores busy, and more where trees are large; a block has about
+        ``ROWS_PER_PAIR`` rows.
+        """
+        n_nodes, n_rows = self.nodes.count(), df.count()
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        slices = min(max(-(-n_nodes // NODES_PER_PAIR), 4 * cores), self.trees)
+        blocks = max(-(-n_rows // ROWS_PER_PAIR), 1)
+        names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+
+        def packed_trees(batch: pa.Table) -> pa.Table:
+            trees = trees_of([np.asarray(batch.column(c)) for c in names])
+            packed = [(number % slices, jvm.packed_tree(nodes)) for number, nodes in trees]
+            columns = [pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())]
+            return pa.Table.from_arrays(columns, names=["part", "block"])
+
+        trees = self.nodes.groupBy("tree").applyInArrow(packed_trees, jvm.BLOCK_SCHEMA)
+        rows = binned_rows(df.withColumn("_none", F.lit(0)), self.features, self.edges, id_col, "_none")
+
+        def deal(data: Rows) -> Iterator[tuple[int, Rows]]:
+            block = data.row % blocks
+            for b in np.unique(block):
+                yield int(b), data.take(np.flatnonzero(block == b))
+
+        return jvm.over_pairs(function, specification, trees, jvm.blocks_of_parts(rows, blocks, deal), slices, blocks)
+
     def scores(self, df: DataFrame, id_col: str) -> DataFrame:
         """(row, score): mean class 1 share of the trees' leaves; row is the hash of the id."""
 

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
-from tillwise.ml.trees import BLOCK_ROWS, Part, Rows
+from tillwise.ml.trees import BLOCK_ROWS, Nodes, Part, Rows
 
-CLASSES = ("ForestPart",)
+CLASSES = ("ForestPart", "ForestValues")
 BLOCK_SCHEMA = "part int, block binary"
 
 
@@ -31,20 +31,20 @@ def java_function(spark: SparkSession, name: str) -> Callable[..., Column]:
     sc, jvm = spark.sparkContext, spark._jvm
     loader = getattr(sc, "_tillwise_java", None)
     if loader is None:
-        jar = io.BytesIO()
-        compiler = jvm.org.codehaus.janino.SimpleCompiler()
-        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
-        sources = [files(__package__).joinpath("java", f"{c}.java").read_text() for c in CLASSES]
-        compiler.cook("\n".join([sources[0], *[s.split("package tillwise;")[1] for s in sources[1:]]]))
-        codes = compiler.getBytecodes()
+        jar, loader = io.BytesIO(), {}
         with zipfile.ZipFile(jar, "w") as z:
-            for c in codes:
-                z.writestr(c.replace(".", "/") + ".class", bytes(codes[c]))
+            for c in CLASSES:
+                compiler = jvm.org.codehaus.janino.SimpleCompiler()
+                compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+                compiler.cook(files(__package__).joinpath("java", f"{c}.java").read_text())
+                for made, code in compiler.getBytecodes().items():
+                    z.writestr(made.replace(".", "/") + ".class", bytes(code))
+                loader[c] = compiler.getClassLoader()
         target = Path(tempfile.mkdtemp(prefix="tillwise-")) / "tillwise-loops.jar"
         target.write_bytes(jar.getvalue())
         sc._jsc.addJar(str(target))
-        loader = sc._tillwise_java = compiler.getClassLoader()
-    made = loader.loadClass(f"tillwise.{name}").getDeclaredConstructors()[0]
+        sc._tillwise_java = loader
+    made = loader[name].loadClass(f"tillwise.{name}").getDeclaredConstructors()[0]
     function = made.newInstance(sc._gateway.new_array(jvm.java.lang.Object, 0))
     kind = spark._jsparkSession.parseDataType(ArrayType(BinaryType()).json())
     spark._jsparkSession.udf().register(f"tillwise_{name}", function, kind)
@@ -114,3 +114,26 @@ def forest_part(
     out.append(struct.pack("<i", len(part.trees)))
     out += [struct.pack("<2q", t.number, k) for t, k in zip(part.trees, signed[1:], strict=True)]
     return b"".join(out)
+
+
+def packed_tree(nodes: Nodes) -> bytes:
+    """Number of nodes, then column after column: feature, bin, children, weight of the rows, class 1 share."""
+    cover = np.maximum(nodes.a + nodes.b, 1)
+    columns = [(c, "<i4") for c in (nodes.feature, nodes.bin, nodes.left, nodes.right)]
+    columns += [(cover, "<f8"), (nodes.a / cover, "<f8")]
+    return struct.pack("<i", len(cover)) + b"".join(c.astype(kind).tobytes() for c, kind in columns)
+
+
+def over_pairs(function: Callable[..., Column], specification: bytes, trees: DataFrame, rows: DataFrame, slices: int, blocks: int) -> DataFrame:
+    """``out``: what ``function`` makes of each slice of packed trees and each block of packed rows, a task a pair.
+
+    ``trees`` are (part, block) with the slice as part, ``rows`` with the number of the block.
+    """
+    def spread(count, pair):
+        return F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), pair)).alias("pair")
+
+    left = trees.select(spread(blocks, lambda b: F.col("part") * blocks + b), F.col("block").alias("tree"), F.lit(None).cast("binary").alias("rows"))
+    right = rows.select(spread(slices, lambda s: s * blocks + F.col("part")), F.lit(None).cast("binary").alias("tree"), F.col("block").alias("rows"))
+    dealt = left.union(right).repartitionById(slices * blocks, F.col("pair"))
+    whole = dealt.groupBy("pair").agg(F.collect_list("tree").alias("trees"), F.collect_list("rows").alias("rows"))
+    return whole.select(F.explode(function(F.lit(specification), F.col("trees"), F.col("rows"))).alias("out"))
