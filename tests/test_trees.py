@@ -335,12 +335,12 @@ def test_java_attributes_what_numpy_does(table, spark, monkeypatch):
 
 
 def test_attribution_takes_whole_pieces_of_trees(spark):
-    """Sixteen trees over 20,000 rows on four cores take less than numpy would, eight leaves at a time."""
+    """Forty trees over 20,000 rows on four cores take less than numpy would, eight leaves at a time."""
     rng = np.random.default_rng(9)
     n, names = 20_000, list("abcdefghijk")
     pdf = pd.DataFrame(rng.integers(0, 255, (n, 11)).astype(float), columns=names)
     df = materialize(spark.createDataFrame(pdf.assign(id=range(n), y=(rng.random(n) < pdf["a"] / 255).astype(int))))
-    model = forest.fit_forest(df, names, "id", "y", trees=16)
+    model = forest.fit_forest(df, names, "id", "y", trees=40)
     _, nodes = forest.trees_of([np.asarray(c) for c in model.nodes.filter("tree = 0").toArrow().columns])[0]
     boxes = explain.leaf_boxes(nodes, 11)
     x = trees.Rows.of(trees.binned_rows(df.withColumn("none", F.lit(0)), names, model.edges, "id", "none").toArrow()).x
@@ -350,7 +350,9 @@ def test_attribution_takes_whole_pieces_of_trees(spark):
     explain.explain_forest(model, df.limit(50), "id").collect()
     began = time.perf_counter()
     found = explain.explain_forest(model, df, "id").collect()
-    assert time.perf_counter() - began < 0.7 * 16 * tree / 4 and found[0]["feature"] == "a"
+    took = time.perf_counter() - began
+    assert took < 0.7 * 40 * tree / 4, (took, tree)
+    assert found[0]["feature"] == "a"
 
 
 def test_growing_adds_up_one_feature_at_a_time():
