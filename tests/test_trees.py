@@ -118,6 +118,37 @@ def test_boosting_from_the_top_equals_boosting_in_tasks(binned, how):
     assert (margins[0] == margins[1]).all() and margins[0].std() > 0.1
 
 
+def test_gradients_are_worked_out_once_a_round(spark, binned):
+    """Levels of a round read stored channels; before, each level worked them out again."""
+    calls = spark.sparkContext.accumulator(0)
+    gradients = boost.Gradients(boost.Steps([[]]))
+
+    def counted(tree, rows):
+        calls.add(1)
+        return gradients(tree, rows)
+
+    rows = materialize(binned.coalesce(1).withColumn("margin", F.array(F.lit(0.0))))
+    some = [trees.Tree(0, 5, 0, boost.Boosting(depth=3).rule())]
+    one = trees.top_nodes(trees.row_blocks(rows), 4, some, counted, 0, keep=True)
+    assert calls.value == 1
+    two = trees.top_nodes(trees.row_blocks(rows), 4, some, gradients, 0)
+    assert len(one[0][1].feature) > 7 and (one[0][1].bin == two[0][1].bin).all()
+
+
+def test_rows_follow_a_tree_in_slices(monkeypatch):
+    monkeypatch.setattr(trees, "ROWS_IN_CACHE", 7)
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 30, (50, 3)).astype(np.int16), rng.integers(0, 2, 50)
+    root = trees.Nodes.roots(np.array([5], np.uint64), np.zeros(1, np.int64))
+    tree = trees.grow(x, np.zeros(50, np.int64), (np.ones(50, np.int64), y, 1 - y), root, trees.Rule())
+    found = tree.leaf(x, np.zeros(50, np.int64))
+    for r, leaf in zip(x, found, strict=True):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] if r[tree.feature[at]] <= tree.bin[at] else tree.right[at]
+        assert at == leaf
+
+
 def test_splits_from_the_top_move_no_rows(binned, monkeypatch):
     """With more rows than a task takes, boosting adds up cells and deals no rows out to parts."""
     monkeypatch.setattr(boost, "grow_everywhere", None)

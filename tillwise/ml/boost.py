@@ -219,7 +219,7 @@ def boost(
         seeds = scramble(np.arange(len(folds)) + (number << 20))
         trees = [Tree(i, int(seeds[i]), f, how.rule()) for i, f in enumerate(folds)]
         if top_down:
-            tops = top_nodes(blocks, width, trees, Gradients(since), 0)
+            tops = top_nodes(blocks, width, trees, Gradients(since), 0, keep=True)
             found = [(fit, nodes) for fit, (_, nodes) in tops.items() if nodes.n[0]]
         else:
             grown, _ = grow_everywhere(

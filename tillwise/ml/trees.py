@@ -30,6 +30,7 @@ SKETCH_ACCURACY = 20_000
 LOCAL_ROWS = 200_000
 PAIRS_AT_ONCE = 300_000  # (row, tree) pairs grown together in a task
 BLOCK_ROWS = 100_000
+ROWS_IN_CACHE = 8_192  # rows that follow a tree together
 OPEN_AT_ONCE = 512  # nodes of one aggregation
 _WIDTH = 256
 
@@ -91,6 +92,7 @@ class Rows:
     fold: np.ndarray
     x: np.ndarray
     margin: np.ndarray | None = None
+    kept: dict[int, tuple] | None = None  # channels by number of the tree, see ``top_nodes``
 
     @classmethod
     def of(cls, data: pa.RecordBatch | pa.Table) -> Rows:
@@ -203,21 +205,22 @@ class Nodes:
         for name in self.__dataclass_fields__:
             setattr(self, name, np.concatenate([getattr(self, name), getattr(more, name)]))
 
-    def steps(self, x: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-        """The node of each row, level after level, until all rest in leaves."""
-        while True:
-            yield at
-            f = self.feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return
-            low = x[np.arange(len(x)), np.maximum(f, 0)] <= self.bin[at]
-            at = np.where(inner, np.where(low, self.left[at], self.right[at]), at)
-
     def leaf(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for spot in self.steps(x, at):
-            pass
-        return spot
+        """The leaf that each row comes to from its node ``at``, some rows at a time so that they stay in cache."""
+        inner = self.feature >= 0
+        feature, cut = np.where(inner, self.feature, 0), np.where(inner, self.bin, 1 << 15)
+        here = np.arange(len(inner))
+        child = np.stack([np.where(inner, c, here) for c in (self.left, self.right)], 1).ravel()
+        out, flat, width = np.array(at, np.int64), np.ascontiguousarray(x).reshape(-1), x.shape[1]
+        first = np.arange(min(len(out), ROWS_IN_CACHE)) * width
+        for lo in range(0, len(out), ROWS_IN_CACHE):
+            spot = out[lo : lo + ROWS_IN_CACHE]
+            start = first[: len(spot)] + lo * width
+            while inner.take(spot).any():
+                right = flat.take(start + feature.take(spot)) > cut.take(spot)
+                spot = child.take(2 * spot + right)
+            out[lo : lo + ROWS_IN_CACHE] = spot
+        return out
 
 
 def cells_of(node: np.ndarray, x: np.ndarray, channels: tuple[np.ndarray, ...]):
@@ -445,6 +448,25 @@ def row_blocks(rows: DataFrame) -> RDD:
     return packed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _keeping(trees: list[Tree], channels: Channels) -> Callable[[Iterator[bytes]], Iterator[bytes]]:
+    """Blocks with the channels of all trees."""
+
+    def run(packed: Iterator[bytes]) -> Iterator[bytes]:
+        for block in packed:
+            data = pickle.loads(block)
+            data.kept = {}
+            for tree in trees:
+                index, _, *sums = channels(tree, data)
+                data.kept[tree.number] = (index.astype(np.int32), None, *sums)
+            yield pickle.dumps(replace(data, margin=None))
+
+    return run
+
+
+def _kept(tree: Tree, rows: Rows) -> tuple:
+    return rows.kept[tree.number]
+
+
 def _open_cells(blocks: RDD, width: int, tops: dict, open_: list, channels: Channels) -> RDD:
     """(slot, sums of n, a, b by feature and bin) for each open (tree, node), added up by task."""
     size = width * _WIDTH
@@ -500,13 +522,19 @@ def _chooser(rules: list[Rule], keys: np.ndarray, depths: list[int], width: int)
 
 
 def top_nodes(
-    blocks: RDD, width: int, trees: list[Tree], channels: Channels, local_rows: int
+    blocks: RDD, width: int, trees: list[Tree], channels: Channels, local_rows: int, keep: bool = False
 ) -> dict[int, tuple[Tree, Nodes]]:
     """Splits nodes of more than ``local_rows`` rows, one aggregation a level; the driver sees splits.
 
     ``blocks`` are those of ``row_blocks``.  A child that cannot split gets its sums from the split and
-    is not looked at again.
+    is not looked at again.  With ``keep`` channels are worked out once and stored with the rows for all
+    levels, which suits a few trees of many levels.
     """
+    if keep:
+        kept = blocks.mapPartitions(_keeping(trees, channels)).persist(StorageLevel.MEMORY_AND_DISK)
+        tops = top_nodes(kept, width, trees, _kept, local_rows)
+        kept.unpersist()
+        return tops
     tops = {
         t.number: (t, Nodes.roots(np.array([t.key], np.uint64), np.zeros(1, np.int64))) for t in trees
     }
