@@ -352,6 +352,7 @@ def test_java_attributes_what_numpy_does(table, spark, monkeypatch):
     monkeypatch.setattr(forest, "NODES_PER_PAIR", 200)
     monkeypatch.setattr(forest, "ROWS_PER_PAIR", 120)
     for rule in (forest.rule_of(4), forest.rule_of(4, max_depth=0), forest.rule_of(4, 5, 4)):
+        monkeypatch.setattr(explain, "MASKED_FEATURES", 3 if rule.min_leaf == 5 else 16)
         model = forest.fit_forest(table, NAMES, "id", "y", trees=7, rule=rule)
         got = explain.explain_rows(model, table, "id").orderBy("id").toPandas()
         none = table.withColumn("none", F.lit(0))

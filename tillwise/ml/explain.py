@@ -9,7 +9,7 @@ not matter, only leaves times features.
 
 Trees come in slices of the stored forest, rows in blocks; neither the driver nor a task holds all
 leaves, and a row's values are summed over the slices.  Tasks run ``ForestValues`` in Java; ``attribute``
-is the same in numpy, for any number of leaves.
+is the same in numpy, which forests of many features use.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from tillwise.ml import jvm
 from tillwise.ml.forest import Forest
-from tillwise.ml.trees import Nodes
+from tillwise.ml.trees import Nodes, Rows
 
 LEAVES_AT_ONCE = 8  # bits of a mask
+MASKED_FEATURES = 16  # that ForestValues takes
 DENSE = 1 << 18  # codes that a table may hold
 
 
@@ -134,9 +135,9 @@ def attribute(x: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndarra
 def explain_rows(model: Forest, df: DataFrame, id_col: str) -> DataFrame:
     """Per row: base value and one contribution per feature; they add up to the class-1 probability.
 
-    ``id_col`` is unique.  There may be 16 features.
+    ``id_col`` is unique.
     """
-    width = len(model.features)
+    width, schema = len(model.features), "row bigint, base double, phi array<double>"
     spots, weights = np.polynomial.legendre.leggauss(width // 2 + 1)
     points = struct.pack(f"<2i{2 * len(spots)}d", width, len(spots), *((spots + 1) / 2), *(weights / 2))
 
@@ -150,8 +151,21 @@ def explain_rows(model: Forest, df: DataFrame, id_col: str) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), phi)
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(base), listed], names=["row", "base", "phi"])
 
-    function = jvm.java_function(df.sparkSession, "ForestValues")
-    parts = model.in_pairs(df, id_col, function, points).mapInArrow(values, "row bigint, base double, phi array<double>")
+    def work(trees: list[Nodes], rows: Rows) -> pa.Table:
+        phi, base = np.zeros(rows.x.shape), 0.0
+        for tree in trees:
+            value, *boxes = leaf_boxes(tree, width)
+            phi += attribute(rows.x, value, *boxes)
+            base += float((value * boxes[2].prod(axis=1)).sum())
+        at = pa.array(np.arange(len(rows.row) + 1, dtype=np.int32) * width)
+        listed = pa.ListArray.from_arrays(at, pa.array(phi.ravel()))
+        return pa.table({"row": rows.row, "base": np.full(len(rows.row), base), "phi": listed})
+
+    if width <= MASKED_FEATURES:
+        function = jvm.java_function(df.sparkSession, "ForestValues")
+        parts = model.in_pairs(df, id_col, function, points).mapInArrow(values, schema)
+    else:
+        parts = model.by_slices(df, id_col, work, schema)
     trees = model.trees
     sums = [(F.sum(F.col("phi")[i]) / trees).alias(f"_{i}") for i in range(width)]
     total = parts.groupBy("row").agg((F.sum("base") / trees).alias("base"), *sums)
